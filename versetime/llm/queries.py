@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from versetime.llm.common import read_table
+from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
+from versetime.llm.tokens import read_tokens, token_count, with_global_start, write_tokens
+
+#: The tokenizer's vocabulary is 50,257 ids; the id that ends a document is 2.
+VOCABULARY, END_ID = 50_257, 2
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def packed_tokens(docs: DataFrame) -> DataFrame:
+    """Write ``docs`` as token files, read them back and return what they say of each document."""
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    path = new_shared_path(spark, "tokens")
+    write_tokens(docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID, vocabulary=VOCABULARY)
+    read = read_tokens(spark, path)
+    rows = staged(read.select("file", "doc_id", "file_start", token_count(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "token-index")
+    return with_global_start(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_token_binary, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
