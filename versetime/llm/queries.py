@@ -11,6 +11,7 @@ from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
 from versetime.llm.tokens import read_tokens, token_count, with_global_start, write_tokens
+from versetime.llm.warc import read_warc, resolved, write_warc
 
 #: The tokenizer's vocabulary is 50,257 ids; the id that ends a document is 2.
 VOCABULARY, END_ID = 50_257, 2
@@ -20,6 +21,21 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def archived_pages(pages: DataFrame) -> DataFrame:
+    """Write ``pages`` as archives, read them back and return what they say of each page."""
+    spark = pages.sparkSession
+    path = new_shared_path(spark, "warc")
+    write_warc(pages, path)
+    measured = read_warc(spark, path).select(
+        "page_id", "kind", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    )
+    return resolved(staged(measured, "warc-index")).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read_table(spark, sf_dir, "pages"))
+
+
 def packed_tokens(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as token files, read them back and return what they say of each document."""
     import public_tokenizers
@@ -41,8 +57,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_token_binary, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_warc, op5_token_binary, op10_lm_scoring)}
+
+
+#: DuckDB's SQL for the same rows.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
