@@ -23,8 +23,9 @@ ORDER = 5
 END = 0xFF
 #: Bytes that are scored at once, and distinct keys that a counting task gathers before it sends them on.
 BLOCK_BYTES, GATHERED_KEYS = 1 << 20, 1 << 21
-#: Entries of the model that are broadcast at once (about 24 bytes each); larger models take more passes.
-BROADCAST_ENTRIES = 12_000_000
+#: Entries of the trie (about 24 bytes each) and words (16 bytes) that a task holds at once; larger models take
+#: more passes over the rows.  Words are broadcast in slices of so many.
+TRIE_ENTRIES, WORD_ENTRIES, SLICE_WORDS = 4_000_000, 8_000_000, 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -217,17 +218,13 @@ class Lookup:
         return found
 
 
-class Model:
-    """A part of the tables: all contexts whose last two bytes fall in it, and the words whose hash does."""
+class Trie:
+    """A part of the scoring tables: all contexts whose last two bytes fall in it."""
 
-    def __init__(self, order: int, part: int, parts: int, tables: dict, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
+    def __init__(self, order: int, part: int, parts: int, tables: dict) -> None:
         self.order, self.part, self.parts, self.tables = order, part, parts, tables
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
         self.find: dict[int, Lookup] = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"find": {}}
-
     def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
         if kind not in self.find:
             self.find[kind] = Lookup(self.tables[kind][0])
@@ -244,7 +241,7 @@ class Model:
             key = keys[at] & np.int64((1 << 8 * (j + 1)) - 1)
             found = self.look(2 * j, key)
             hit, fresh = found >= 0, excluded < 0
-            _, x, y, _ = self.tables[2 * j]
+            _, x, y = self.tables[2 * j]
             longer = self.tables.get(2 * j + 3)
             out[at[hit & fresh]] += x[found[hit & fresh]]
             now = hit & ~fresh
@@ -262,40 +259,52 @@ class Model:
         out[at] -= self.tables[1][2][0] if len(self.tables[1][0]) else np.log10(256)
         return out
 
-    def word_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(training count of each word, whether the word belongs to this part)."""
-        own = np.ones(len(words), bool) if self.parts == 1 else words % self.parts == self.part
-        counts = np.zeros(len(words), np.int64)
-        if len(self.words) and len(words):
-            order = np.argsort(words)
-            ranked = words[order]
-            at = np.minimum(np.searchsorted(self.words, ranked), len(self.words) - 1)
-            counts[order] = np.where(self.words[at] == ranked, self.counts[at], 0)
-        return counts, own
+
+@dataclass
+class Words:
+    """A slice of the words: those whose hash leaves ``number`` when divided by ``slices``, in order."""
+
+    number: int
+    slices: int
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def count(self, words: np.ndarray, into: np.ndarray) -> None:
+        """Set the training counts of this slice's words; ``into`` stays -1 for those of other slices."""
+        at = np.flatnonzero(words % self.slices == self.number) if self.slices > 1 else np.arange(len(words))
+        into[at] = 0
+        if len(self.keys) and len(at):
+            at = at[np.argsort(words[at])]
+            ranked = words[at]
+            place = np.minimum(np.searchsorted(self.keys, ranked), len(self.keys) - 1)
+            into[at] = np.where(self.keys[place] == ranked, self.counts[place], 0)
 
 
 def part_of_context(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> 8) & 0xFFFF) % parts
 
 
-def _scored(shared, order: int):
+def _scored(shared, slices: list, order: int, train_tokens: int, distinct: int):
+    cost = float(np.log10(train_tokens + distinct + 1)) if train_tokens + distinct else 0.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        cost = float(np.log10(model.total + model.distinct + 1))
+        trie: Trie = shared.value
         for batch in batches:
             n = batch.num_rows
             sums = {c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("n_tokens", "n_known", "n_bytes", "base_score", "score")}
             for block in blocks(batch.column("text").to_pylist(), order):
                 keys, first, words, piece = block.keys()
                 rows = np.array(block.rows)
-                np.add.at(sums["score"], rows, np.add.reduceat(model.log_probabilities(keys.view(np.int64)), first))
+                np.add.at(sums["score"], rows, np.add.reduceat(trie.log_probabilities(keys.view(np.int64)), first))
                 ends = np.flatnonzero([p[-1:] == bytes([END]) for p in block.parts[1::2]])
                 tokens = np.concatenate([words, np.full(len(ends), _END_WORD)])
                 owner = np.concatenate([rows[piece], rows[ends]])
-                counts, own = model.word_counts(tokens)
-                sums["base_score"] += np.bincount(owner, np.where(own, np.log10(counts + 1.0) - cost, 0.0), minlength=n)
-                sums["n_known"] += np.bincount(owner[own & (counts > 0)], minlength=n)
-                if model.part == 0:
+                counts = np.full(len(tokens), -1)
+                for own in slices:
+                    own.value.count(tokens, counts)
+                sums["base_score"] += np.bincount(owner, np.where(counts >= 0, np.log10(counts + 1.0, where=counts >= 0, out=np.zeros(len(counts))) - cost, 0.0), minlength=n)
+                sums["n_known"] += np.bincount(owner[counts > 0], minlength=n)
+                if trie.part == 0:
                     sums["n_tokens"] += np.bincount(owner, minlength=n)
                     np.add.at(sums["n_bytes"], rows, block.lengths)
             kept = {c: batch.column(c) for c in ("doc_id", "text")}
@@ -309,7 +318,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, trie_entries: int = TRIE_ENTRIES, word_entries: int = WORD_ENTRIES, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Score every text by a byte-context trie that is trained on the rows which are not held out.
 
     A text is its words (runs without ASCII white space, A-Z lower-cased) with one space between them and one
@@ -319,8 +328,9 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the text's probability.  ``base_score`` is that of single words with one added to each count,
     ``train_tokens`` counts the words and ends trained on, and ``n_known`` a text's tokens among them.
 
-    The scoring tables grow with the corpus.  Up to ``broadcast_entries`` of them are broadcast at once; a
-    larger model is dealt out by context and word hash and the rows pass through a staged table once a part.
+    The scoring tables grow with the corpus.  Up to ``trie_entries`` and ``word_entries`` of them are broadcast
+    at once; a larger model is dealt out by context and word hash and the rows pass through a staged table once
+    a part, so that neither the driver nor a task ever holds more.
     Whole texts count, in blocks of bounded memory.  Null texts are empty ones (one end symbol); null ids are
     trained on; repeated rows count as often as they occur; without training rows every byte is uniform; an
     empty table gives no rows; other columns are not read.
@@ -334,29 +344,35 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = counts.where("kind = 1").select("key", "c")
     tables = staged(_trie(counts.where("kind = 0").select("key", "c"), order), "trie")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    parts = max(1, -(-(tables.count() + distinct) // broadcast_entries))
+    passes = max(1, -(-tables.count() // trie_entries), -(-distinct // word_entries))
+    slices = passes * max(1, -(-distinct // (passes * slice_words)))
     sums = {"n_tokens": "long", "n_known": "long", "n_bytes": "long", "base_score": "double", "score": "double"}
     out = rows.select("*", *(F.lit(0).cast(kind).alias(c) for c, kind in sums.items()))
-    for part in range(parts):
-        model = _collected(tables, words, order, part, parts, total, distinct)
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-        out = out.mapInArrow(_scored(shared, order), out.schema)
-        if part < parts - 1:
+    share = docs.sparkSession.sparkContext.broadcast
+    for part in range(passes):
+        trie = share(_collected_trie(tables, order, part, passes))
+        own = [share(_collected_words(words, i, slices)) for i in range(part, slices, passes)]
+        out = out.mapInArrow(_scored(trie, own, order, int(total), distinct), out.schema)
+        if part < passes - 1:
             out = staged(out, "scores")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 
-def _collected(tables: DataFrame, words: DataFrame, order: int, part: int, parts: int, total: int, distinct: int) -> Model:
-    """One part of the model; contexts of less than two bytes, 66,000 entries at most, go to every part."""
+def _collected_trie(tables: DataFrame, order: int, part: int, parts: int) -> Trie:
+    """One part of the trie; contexts of less than two bytes, 66,000 entries at most, go to every part."""
     if parts > 1:
         context = F.when(F.col("kind") % 2 == 0, F.shiftright("key", 8)).otherwise(F.col("key"))
         tables = tables.where((F.col("kind") < 4) | (context.bitwiseAND(F.lit(0xFFFF)) % parts == part))
-        words = words.where(F.pmod("key", F.lit(parts)) == part)
-    rows = tables.toArrow()
-    kinds = rows.column("kind").to_numpy()
-    columns = [rows.column(c).to_numpy() for c in ("key", "x", "y", "z")]
-    split = {k: tuple(c[kinds == k] for c in columns) for k in range(2 * order + 2)}
-    known = words.toArrow()
-    key, c = known.column("key").to_numpy(), known.column("c").to_numpy()
-    at = np.argsort(key)
-    return Model(order, part, parts, split, key[at], c[at], int(total), int(distinct))
+    split = {}
+    for kind in range(2 * order + 2):
+        names = ("key", "x", "y", "z") if kind % 2 else ("key", "x", "y")
+        rows = tables.where(F.col("kind") == kind).select(*names).toArrow()
+        split[kind] = tuple(rows.column(c).to_numpy() for c in names)
+    return Trie(order, part, parts, split)
+
+
+def _collected_words(words: DataFrame, number: int, slices: int) -> Words:
+    rows = words.where(F.pmod("key", F.lit(slices)) == number).toArrow()
+    keys = rows.column("key").to_numpy()
+    order = np.argsort(keys)
+    return Words(number, slices, keys[order], rows.column("c").to_numpy()[order])
