@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
@@ -52,12 +53,31 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def stored_audio(docs: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Store each text's bytes as 8-bit audio, read the stored bytes back and compute features from them."""
+    text = F.encode("text", "UTF-8")
+    stored = staged(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), wav(padded(text), rate).alias("media")), "audio")
+    payload = wav_payload(F.col("media"))
+    measured = stored.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring("media", -PAD_TO, PAD_TO)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media",
+    )
+    active = F.expr("aggregate(segments, 0L, (n, x) -> n + x.end_ms - x.start_ms)")
+    feature = F.concat_ws(":", "n_frames", F.size("spans"), F.size("segments"), active, F.md5("tensors"))
+    return audio_features(measured).select(*(c for c in measured.columns if c != "media"), feature.alias("feature"))
+
+
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_audio(read_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_warc, op5_token_binary, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_warc, op5_token_binary, op7_audio_features, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
