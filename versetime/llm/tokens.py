@@ -31,7 +31,7 @@ HEADER, TRAILER = struct.Struct("<4sBxHI"), struct.Struct("<IQQQ4s")
 BLOCK_IDS = 1 << 16
 #: Units whose ids an encoder remembers in each of two generations, characters of a text encoded at once, and
 #: bytes of ids in a batch that a task returns.
-REMEMBERED, SLICE_CHARS, BATCH_BYTES = 150_000, 1 << 18, 4 << 20
+REMEMBERED, SLICE_CHARS, BATCH_BYTES = 350_000, 1 << 18, 4 << 20
 
 
 def bits_needed(vocabulary: int) -> int:
