@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
 from versetime.llm.common import new_shared_path, read_table, staged
+from versetime.llm.decontaminate import contamination
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
 from versetime.llm.tokens import read_tokens, token_count, with_global_start, write_tokens
@@ -22,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, read them back and return what they say of each page."""
     spark = pages.sparkSession
@@ -77,7 +82,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_warc, op5_token_binary, op7_audio_features, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op5_token_binary, op7_audio_features, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
