@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
+from versetime.llm.mixing import MixtureWeights, mix
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
 from versetime.llm.tokens import read_tokens, token_count, with_global_start, write_tokens
@@ -42,6 +43,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(read_table(spark, sf_dir, "pages"))
 
 
+#: Target weights of the mixture, in hundredths; sources of a language are alike.
+WEIGHTS = MixtureWeights(domain={"crawl": 50, "curated": 30, "forum": 20}, language={"en": 60, "de": 15, "fr": 15, "es": 10})
+DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN right(source, 1) IN ('1', '3', '5', '7', '9') THEN 'forum' ELSE 'curated' END"
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read_table(spark, sf_dir, "documents"), F.expr(DOMAIN), WEIGHTS)
+    return mixed.select("doc_id", "domain", "language", "origin", "n_tokens", "epoch")
+
+
 def packed_tokens(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as token files, read them back and return what they say of each document."""
     import public_tokenizers
@@ -82,7 +93,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op5_token_binary, op7_audio_features, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op7_audio_features, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
@@ -96,5 +107,36 @@ FROM f
 """
 
 
+def _mixing_sql(percent: int = 80, epochs: int = 2, seed: int = 7) -> str:
+    """The mixture in SQL: one block for each level of the tree, then each leaf's prefix by a running sum."""
+    weight = {
+        level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in getattr(WEIGHTS, level).items()) + f" ELSE {WEIGHTS.default} END"
+        for level in ("domain", "language")
+    } | {"origin": str(WEIGHTS.default)}
+    parts, given = [], "(SELECT CAST(sum(tokens)::HUGEINT * %d // 100 AS BIGINT) AS given FROM leaves)" % percent
+    for above, level in (([], "domain"), (["domain"], "language"), (["domain", "language"], "origin")):
+        own, by = ", ".join([*above, level]), f"PARTITION BY {', '.join(above)}" if above else ""
+        on = f"JOIN {given} g USING ({', '.join(above)})" if above else f"CROSS JOIN {given} g"
+        parts.append(f"""
+{level}_a AS (SELECT n.*, g.given AS budget, {weight[level]} AS w
+  FROM (SELECT {own}, sum(tokens)::HUGEINT AS tokens, sum(docs) AS docs, {epochs} * sum(tokens)::HUGEINT AS cap FROM leaves GROUP BY {own}) n {on}),
+{level}_b AS (SELECT *, cap * (sum(w) OVER ({by}) - coalesce(sum(w) OVER o, 0)) <= w * (budget - coalesce(sum(cap) OVER o, 0)) AS full_up
+  FROM {level}_a WINDOW o AS ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{level}_given AS (SELECT {own}, tokens, docs, CAST(CASE WHEN full_up THEN cap ELSE
+  (budget - coalesce(sum(CASE WHEN full_up THEN cap END) OVER ({by}), 0)) * w // (sum(CASE WHEN full_up THEN 0 ELSE w END) OVER ({by})) END AS BIGINT) AS given FROM {level}_b)""")
+        given = f"{level}_given"
+    return f"""
+WITH d AS (SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, 'und') AS language, coalesce(source, 'unknown') AS origin,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, origin, sum(n_tokens) AS tokens, count(*) AS docs FROM d GROUP BY ALL),{",".join(parts)},
+r AS (SELECT d.*, g.given // greatest(g.tokens, 1) AS full_epochs, g.given % greatest(g.tokens, 1) AS rest,
+    md5('{seed}:' || CAST(g.given // greatest(g.tokens, 1) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS seeded
+  FROM d JOIN origin_given g USING (domain, language, origin)),
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY seeded, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS until FROM r)
+SELECT doc_id, domain, language, origin, n_tokens, CAST(epoch AS BIGINT) AS epoch
+FROM (SELECT *, unnest(range(0, CAST(full_epochs + CASE WHEN until <= rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql()}
