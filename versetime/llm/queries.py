@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
+from versetime.llm.chat import neighbour_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
 from versetime.llm.mixing import MixtureWeights, mix
@@ -88,12 +89,18 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_audio(read_table(spark, sf_dir, "documents"))
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    examples = preference_examples(conversations, neighbour_pairs(conversations))
+    return examples.withColumns({c: F.array_join(c, ",") for c in ("chosen_mask", "rejected_mask")})
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op7_audio_features, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op7_audio_features, op8_preference_format, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
@@ -106,6 +113,25 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+OP8_SQL = """
+WITH t AS (SELECT conv_id, list({'r': replace(coalesce(role, ''), '<|', '< |'), 't': replace(coalesce(text, ''), '<|', '< |')}
+    ORDER BY turn NULLS FIRST, replace(coalesce(role, ''), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT a.conv_id // 2 AS pair_id, a.turns AS c, b.turns AS r FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+k AS (SELECT *, coalesce(list_filter(range(0, greatest(len(c), len(r))), lambda i: c[i + 1] IS DISTINCT FROM r[i + 1])[1], len(c)) AS n FROM p),
+s AS (SELECT pair_id, n, c[1:n] AS q, c[n + 1:] AS c, r[n + 1:] AS r FROM k),
+o AS (SELECT pair_id, CAST(n AS INTEGER) AS n_common,
+  array_to_string(list_transform(q, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS prompt,
+  array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS chosen,
+  array_to_string(list_transform(r, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS rejected,
+  flatten(list_transform(c, lambda x: CASE WHEN x.r = 'assistant' THEN [-22, length(x.t) + 10, -1] ELSE [-(length(x.r) + length(x.t) + 24)] END)) AS cm,
+  flatten(list_transform(r, lambda x: CASE WHEN x.r = 'assistant' THEN [-22, length(x.t) + 10, -1] ELSE [-(length(x.r) + length(x.t) + 24)] END)) AS rm FROM s)
+SELECT pair_id, n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(array_to_string(cm, ','), '') AS chosen_mask,
+  coalesce(rejected, '') AS rejected, coalesce(array_to_string(rm, ','), '') AS rejected_mask,
+  coalesce(chosen <> rejected AND list_max(cm) > 0 AND list_max(rm) > 0, false) AS usable
+FROM o
+"""
+
 
 def _mixing_sql(percent: int = 80, epochs: int = 2, seed: int = 7) -> str:
     """The mixture in SQL: one block for each level of the tree, then each leaf's prefix by a running sum."""
@@ -139,4 +165,4 @@ FROM (SELECT *, unnest(range(0, CAST(full_epochs + CASE WHEN until <= rest THEN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql()}
+    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL}
