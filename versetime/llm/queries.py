@@ -11,6 +11,7 @@ from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
 from versetime.llm.chat import neighbour_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
+from versetime.llm.language import identify, train
 from versetime.llm.mixing import MixtureWeights, mix
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
@@ -70,6 +71,26 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(read_table(spark, sf_dir, "documents"))
 
 
+#: Languages that are told apart, those of the labelled documents.
+LANGUAGES = ["en", "de", "fr", "es"]
+#: What is not text in a page: scripts, styles, comments, tags and entities.
+_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;"
+
+
+def page_languages(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """The language of each page, by a model trained on labelled documents."""
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    found = identify(
+        pages, train(documents, LANGUAGES), keep=["page_id"], text=F.regexp_replace("html", _MARKUP, " "), host=F.nullif(host, F.lit("")),
+        declared=F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1),
+    )
+    return found.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "accepted", "declared", "suffix_language")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def stored_audio(docs: DataFrame, rate: int = 16_000) -> DataFrame:
     """Store each text's bytes as 8-bit audio, read the stored bytes back and compute features from them."""
     text = F.encode("text", "UTF-8")
@@ -100,7 +121,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op7_audio_features, op8_preference_format, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
