@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versetime.llm import licences
 from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
 from versetime.llm.chat import neighbour_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
@@ -116,12 +117,18 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.withColumns({c: F.array_join(c, ",") for c in ("chosen_mask", "rejected_mask")})
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    found = licences.licence_paragraphs(documents, licences.train(documents))
+    return found.withColumns({c: F.round(c, 6) for c in ("probability", "template_share")})
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format, op9_licence_scan, op10_lm_scoring)}
 
 
 #: DuckDB's SQL for the same rows.
