@@ -91,12 +91,21 @@ def train(labelled: DataFrame, languages: list[str], *, id_col: str = "doc_id",
 
 
 def text_evidence(shared):
-    """Column function: a broadcast model's log likelihoods of a text, null for one without letters."""
+    """Column function: a broadcast model's log likelihoods of a text, then the posteriors by these alone.
+
+    Null for a text without letters.
+    """
 
     @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        return pa.array([None if (e := model.evidence(t.as_py())) is None else e.tolist() for t in texts], pa.list_(pa.float64()))
+        out = []
+        for text in texts:
+            found = shared.value.evidence(text.as_py())
+            if found is not None:
+                powers = np.exp(found - found.max())
+                found = [*found.tolist(), *(powers / powers.sum()).tolist()]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.float64()))
 
     return of
 
@@ -106,12 +115,6 @@ def primary_language(declared: Column) -> Column:
     return F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
 
 
-def _normalised(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    powers = [F.exp(s - top) for s in scores]
-    return [p / sum(powers[1:], powers[0]) for p in powers]
-
-
 def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``language``, ``posterior``, ``accepted`` and each kind of evidence by itself.
 
@@ -135,8 +138,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     kept = [F.col(c) for c in keep]
     own = rows.select(*kept, text.alias("_text"), F.nullif(primary_language(declared), F.lit("")).alias("_declared"), F.lower(host).alias("_host"))
     own = staged(own.withColumn("_likelihood", text_evidence(share(model))("_text")).drop("_text"), "evidence")
-    posterior = _normalised([F.col("_likelihood")[i] for i in range(n)])
-    own = own.withColumns({f"_p{i}": posterior[i] for i in range(n)} | {"_domain": F.substring_index("_host", ".", -2)})
+    own = own.withColumns({f"_p{i}": F.col("_likelihood")[n + i] for i in range(n)} | {"_domain": F.substring_index("_host", ".", -2)})
     known = own.where("_likelihood is not null")
     sums = [F.sum(f"_p{i}").alias(f"s{i}") for i in range(n)]
     added = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
@@ -158,7 +160,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     own = own.join(hosts, "_host", "left")
     count = sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0)) - 1
     prior = [
-        F.log(F.coalesce((F.greatest(F.col(f"s{i}") - F.col(f"_p{i}"), F.lit(0.0)) + HOST_WEIGHT * F.col(f"d{i}")) / (F.greatest(count, F.lit(0.0)) + HOST_WEIGHT), F.lit(general[i])))
+        F.coalesce((F.greatest(F.col(f"s{i}") - F.col(f"_p{i}"), F.lit(0.0)) + HOST_WEIGHT * F.col(f"d{i}")) / (F.greatest(count, F.lit(0.0)) + HOST_WEIGHT), F.lit(general[i]))
         for i in range(n)
     ]
     said = [
@@ -168,14 +170,14 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     country = F.coalesce(*(F.when(suffix == s, F.lit(lang)) for s, lang in SUFFIXES.items() if lang in languages), F.lit(""))
     near, far = float(np.log(SUFFIX_TRUST)), float(np.log((1 - SUFFIX_TRUST) / max(1, n - 1)))
     address = [F.when(country == "", 0.0).when(country == lang, near).otherwise(far) for lang in languages]
-    fused = _normalised([F.col("_likelihood")[i] + said[i] + address[i] + prior[i] for i in range(n)])
-    out = own.withColumn("_fused", F.array(*fused))
-    best = F.array_max("_fused")
+    fused = F.array(*(F.col("_likelihood")[i] + said[i] + address[i] + F.log(F.col(f"_prior{i}")) for i in range(n)))
+    out = own.withColumns({f"_prior{i}": p for i, p in enumerate(prior)}).withColumn("_fused", fused).withColumn("_top", F.array_max("_fused"))
+    best = 1 / F.aggregate("_fused", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_top")))
     names = F.array(*(F.lit(x) for x in languages))
     known_row = F.col("_likelihood").isNotNull()
     return out.select(
-        *kept, F.when(known_row, names[F.array_position("_fused", best).cast("int") - 1]).otherwise(UNKNOWN).alias("language"),
-        F.coalesce(best, F.lit(0.0)).alias("posterior"), F.coalesce(known_row & (best >= LEAST_POSTERIOR), F.lit(False)).alias("accepted"),
+        *kept, F.when(known_row, names[F.array_position("_fused", F.col("_top")).cast("int") - 1]).otherwise(UNKNOWN).alias("language"),
+        F.when(known_row, best).otherwise(0.0).alias("posterior"), F.coalesce(known_row & (best >= LEAST_POSTERIOR), F.lit(False)).alias("accepted"),
         F.array(*(F.col(f"_p{i}") for i in range(n))).alias("text_posterior"), F.col("_declared").alias("declared"),
-        F.nullif(country, F.lit("")).alias("suffix_language"), F.array(*(F.exp(p) for p in prior)).alias("host_prior"),
+        F.nullif(country, F.lit("")).alias("suffix_language"), F.array(*(F.col(f"_prior{i}") for i in range(n))).alias("host_prior"),
     )

@@ -215,6 +215,15 @@ def hamming_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     return codes.mapInArrow(routed, "shard int, code long").groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """``(code, root, component_id)`` for the codes of ``rows(doc_id, code)`` with links or copies; no others."""
+    first = rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    roots = connected_components(hamming_links(rows.select("code"), radius)).withColumnRenamed("node", "code")
+    grouped = first.join(roots, "code", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "code"))
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return grouped.join(lowest, "root").select("code", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, radius: int = 2
 ) -> DataFrame:
@@ -229,12 +238,27 @@ def near_duplicates(
     empty table gives no rows.  Other columns of ``docs`` are not read.
     """
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col), words, seed).alias("code")), "fingerprints")
-    first = rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    roots = connected_components(hamming_links(rows.select("code"), radius)).withColumnRenamed("node", "code")
-    # Only points with links or copies need another id than their row's own.
-    grouped = first.join(roots, "code", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "code"))
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = grouped.join(lowest, "root").select("code", "component_id")
+    component = _components(rows, radius).select("code", "component_id")
     return rows.join(component, "code", "left").select(
         "doc_id", hex_fingerprint(F.col("code")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, seed: int = 42, radius: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` with one of each group of :func:`near_duplicates`, all their columns as they were.
+
+    The row with the smallest id stays; where that id repeats, or all ids of a group are null, one such row
+    does.  The rows are written to the shared folder with their fingerprints, so texts are read once.
+    """
+    rows = staged(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), simhash64(F.col(text_col), words, seed).alias("code")), "fingerprints")
+    component = staged(_components(rows.select("doc_id", "code"), radius), "components")
+    marked = rows.join(component, "code", "left")
+    lowest = F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    repeated = staged(marked.where(lowest).groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "repeated")
+    kept = marked.where(F.col("root").isNull() | lowest)
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "root", "left_semi").dropDuplicates(["root"])
+        kept = kept.join(repeated, "root", "left_anti").unionByName(again.select(kept.columns))
+    return kept.select("row.*")
