@@ -14,6 +14,7 @@ a lost executor had half written.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
@@ -31,7 +32,7 @@ HEADER, TRAILER = struct.Struct("<4sBxHI"), struct.Struct("<IQQQ4s")
 BLOCK_IDS = 1 << 16
 #: Units whose ids an encoder remembers in each of two generations, characters of a text encoded at once, and
 #: bytes of ids in a batch that a task returns.
-REMEMBERED, SLICE_CHARS, BATCH_BYTES = 350_000, 1 << 18, 4 << 20
+REMEMBERED, SLICE_CHARS, BATCH_BYTES = 300_000, 1 << 18, 4 << 20
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -60,12 +61,21 @@ def unpack(block: bytes | memoryview, bits: int, begin: int, end: int) -> np.nda
     return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that stand for bytes in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file, with the ids of recurring words remembered.
 
-    The tokenizer's pattern never joins a character that isn't white space to white space after it, so a text
-    may be cut before any single blank or line feed between such characters, and its ids are those of the
-    parts.  Texts with other white space are encoded as they are.
+    The pattern of a byte-level tokenizer never joins a character that isn't white space to white space after
+    it, nor a letter to punctuation after it, so a text may be cut before any single blank or line feed
+    between such characters, and its ids are those of the parts.  Words of letters alone are one piece each
+    and go to the model at once; other parts, texts with other white space, and all texts of tokenizers of
+    another kind are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,44 +83,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        self.by_word = (
+            split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+            and kind["normalizer"] is None and not any(x["content"].strip().isalpha() for x in kind["added_tokens"])
+        )
+        self.letters = _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece of the pattern."""
+        shown = text.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a part of a text: with a blank before it, or a line feed, or neither where it begins with NUL."""
+        first, core = unit[:1], unit
+        lead = " "
+        if first in ("\n", "\0"):
+            lead, core = "", unit[1:]
+        word = core.rstrip(".,;:!?")
+        if not word.isalpha():
+            return self._whole(unit if first == "\n" else lead + core)
+        ids = self._piece(lead + word)
+        if len(word) < len(core):
+            ids += self._remembered(core[len(word) :])
+        return self._remembered("\n") + ids if first == "\n" else ids
+
+    def _remembered(self, mark: str) -> bytes:
+        key = "\0" + mark
+        if key not in self.new:
+            self.new[key] = self.old.get(key) or self._piece(mark)
+        return self.new[key]
 
     def __call__(self, text: str) -> Iterator[bytes]:
         """Little-endian 32-bit ids of a text, by slices of bounded length."""
         at = 0
         while at < len(text):
-            cut = SAFE_CUT.search(text, at + SLICE_CHARS)
+            cut = SAFE_CUT.search(text, at + SLICE_CHARS) if self.by_word else None
             stop = cut.start() if cut else len(text)
             yield self._slice(text[at:stop], at > 0)
             at = stop
 
     def _slice(self, text: str, later: bool) -> bytes:
         own = text[1:] if later else text
-        if "\0" in own or len(own.split()) != own.count(" ") + own.count("\n") + 1:
-            return self._ids([text])[0]
+        if not self.by_word or "\0" in own or len(own.split()) != own.count(" ") + own.count("\n") + 1:
+            return self._whole(text)
         units = own.replace("\n", " \n").split(" ")
         if not later:
             units[0] = "\0" + units[0]
         found = list(map(self.new.get, units))
-        if None in found:
-            lacking = dict.fromkeys(u for u, f in zip(units, found, strict=True) if f is None)
-            fresh = [u for u in lacking if u not in self.old]
-            made = dict(zip(fresh, self._ids([u if u[:1] == "\n" else u[1:] if u[:1] == "\0" else " " + u for u in fresh]), strict=True))
-            if len(self.new) + len(lacking) > REMEMBERED:
-                self.new, self.old = {}, self.new
-            self.new.update((u, made[u] if u in made else self.old.get(u) or self._again(u)) for u in lacking)
-            found = list(map(self.new.get, units))
-            if None in found:  # the generation has just changed
-                found = [f if f is not None else self.old[u] for u, f in zip(units, found, strict=True)]
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            unit = units[i]
+            ids = self.new.get(unit) or self.old.get(unit) or self._unit(unit)
+            self.new[unit] = found[i] = ids
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
         return b"".join(found)
 
-    def _again(self, unit: str) -> bytes:
-        return self._ids([unit if unit[:1] == "\n" else unit[1:] if unit[:1] == "\0" else " " + unit])[0]
-
 
 #: A blank between two characters that are not white space.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
