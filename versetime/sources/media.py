@@ -96,3 +96,19 @@ def assets(lyrics: DataFrame, artwork: DataFrame) -> DataFrame:
 
 def candidate_names(candidates: Column) -> Column:
     return F.transform(candidates, lambda c: display_name(c["source"], c["tag"], F.size(c["timed"]) > 0))
+
+
+def best_rows(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the best row of a table ``(…, cand_no, text, timed)``: timed first, then longest, then first.
+
+    A maximum that is combined before the shuffle, whatever a key's number of rows.
+    """
+    rank = F.struct((F.size("timed") > 0).alias("a"), utf16_length(F.col("text")).alias("b"), (-F.col("cand_no")).alias("c"))
+    others = [c for c in candidates.columns if c not in keys]
+    return candidates.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("best")).select(*keys, "best.*")
+
+
+def first_of_equal(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row, by ``cand_no``, of those that agree in ``keys``."""
+    others = [c for c in candidates.columns if c not in keys]
+    return candidates.groupBy(*keys).agg(F.min_by(F.struct(*others), "cand_no").alias("first")).select(*keys, "first.*")
