@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ _EDGES = r"^[\s\x00\x1c-\x1f\p{Z}]+|[\s\x00\x1c-\x1f\p{Z}]+$"
 LINE_BREAK = r"\r\n|\n|\r"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and deep in functions of arrays it occurs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(text: Column) -> Column:
     """Without NUL and Unicode white space at either end."""
     return F.regexp_replace(text, _EDGES, "")
@@ -78,10 +85,13 @@ def clock_ms(clock: Column) -> Column:
 
 def spread(tokens: Column, start: Column, end: Column, least_ms: int) -> Column:
     """Array of ``(text, start_ms, end_ms)``: the tokens share the time evenly, ``least_ms`` each at least."""
-    count = F.size(tokens).cast("long")
-    span = F.greatest(end - start, count * least_ms)
-    exact = lambda i: start + _div(span * i, F.greatest(count, F.lit(1)))
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("text"), exact(i.cast("long")).alias("start_ms"), exact(i.cast("long") + 1).alias("end_ms")))
+    def shared(own: Column) -> Column:
+        count = F.greatest(F.size(own), F.lit(1)).cast("long")
+        span = F.greatest(end - start, F.size(own).cast("long") * least_ms)
+        at = lambda i: start + _div(span * i, count)
+        return F.transform(own, lambda t, i: F.struct(t.alias("text"), at(i.cast("long")).alias("start_ms"), at(i.cast("long") + 1).alias("end_ms")))
+
+    return let(tokens, shared)
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versetime.functions.text import near_match
@@ -92,14 +92,18 @@ def align_words(reference: list[str], transcript: list[str]) -> list[int]:
     return mapping
 
 
-@F.arrow_udf("array<int>")
-def matched_positions(reference: pa.Array, transcript: pa.Array) -> pa.Array:
+def matched_positions(reference: Column, transcript: Column) -> Column:
     """Per row, :func:`align_words` of two arrays of normalised words; null where either is null."""
-    rows = zip(reference.to_pylist(), transcript.to_pylist(), strict=True)
-    return pa.array([None if a is None or b is None else align_words(a, b) for a, b in rows], pa.list_(pa.int32()))
 
+    @F.arrow_udf("array<int>")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = zip(left.to_pylist(), right.to_pylist(), strict=True)
+        return pa.array([None if a is None or b is None else align_words(a, b) for a, b in rows], pa.list_(pa.int32()))
 
-def alignment_status(reference_words: str, transcript_words: str):
+    return of(reference, transcript)
+
+
+def alignment_status(reference_words: str, transcript_words: str) -> Column:
     """Why a text cannot be aligned, or ``ok``; by the sizes of both sides."""
     r, t = F.col(reference_words), F.col(transcript_words)
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versetime.functions.text import LINE_BREAK, spread, trimmed, visible_tokens
+from versetime.functions.text import LINE_BREAK, let, spread, trimmed, visible_tokens
 
 LINES = "array<struct<start_ms:bigint,text:string>>"
 # The syntax of LRC.
@@ -27,20 +27,19 @@ def lrc_lines(text: Column) -> Column:
     and of equal lines only one stays.  Nothing is shuffled: a text's lines are sorted where it is.
     """
     number = lambda stamp, group: F.regexp_extract(stamp, STAMP, group)
-    offset = offset_ms(text)
 
-    def time(stamp: Column) -> Column:
+    def time(stamp: Column, offset: Column) -> Column:
         fraction = F.rpad(number(stamp, 3), 3, "0").cast("long")
         return F.greatest(number(stamp, 1).cast("long") * 60_000 + number(stamp, 2).cast("long") * 1000 + fraction + offset, F.lit(0).cast("long"))
 
-    def of_line(line: Column, i: Column) -> Column:
-        lyric = trimmed(F.regexp_replace(line, STAMP, ""))
+    def of_line(line: Column, i: Column, offset: Column) -> Column:
         stamps = F.regexp_extract_all(line, F.lit(STAMP), F.lit(0))
-        return F.when(lyric != "", F.transform(stamps, lambda s, j: F.struct(time(s).alias("start_ms"), i.alias("i"), j.alias("j"), lyric.alias("text")))).otherwise(F.array().cast("array<struct<start_ms:bigint,i:int,j:int,text:string>>"))
+        rows = lambda lyric: F.transform(stamps, lambda s, j: F.struct(time(s, offset).alias("start_ms"), i.alias("i"), j.alias("j"), lyric.alias("text")))
+        return F.filter(let(trimmed(F.regexp_replace(line, STAMP, "")), rows), lambda x: x["text"] != "")
 
     timed = F.filter(F.split(text, LINE_BREAK, -1), lambda line: line.rlike(STAMP))
-    ordered = F.array_sort(F.flatten(F.transform(timed, of_line)))
-    return F.array_distinct(F.transform(ordered, lambda x: F.struct(x["start_ms"].alias("start_ms"), x["text"].alias("text"))))
+    found = let(offset_ms(text), lambda offset: F.array_sort(F.flatten(F.transform(timed, lambda line, i: of_line(line, i, offset)))))
+    return F.array_distinct(F.transform(found, lambda x: F.struct(x["start_ms"].alias("start_ms"), x["text"].alias("text"))))
 
 
 def timed_alignment(lines: Column, audio_ms: Column) -> Column:
@@ -48,17 +47,21 @@ def timed_alignment(lines: Column, audio_ms: Column) -> Column:
 
     Array of ``(text, start_ms, end_ms, words)``; all words count as matched.
     """
-    last = F.element_at(lines, -1)["start_ms"]
-    end_of_all = F.greatest(audio_ms, F.coalesce(last, F.lit(0)) + LAST_LINE_MS)
+    def timed(own: Column) -> Column:
+        end_of_all = F.greatest(audio_ms, F.coalesce(F.get(own, F.size(own) - 1)["start_ms"], F.lit(0)) + LAST_LINE_MS)
 
-    def line(x: Column, i: Column) -> Column:
-        following = F.get(lines, i + 1)["start_ms"]
-        end = F.greatest(x["start_ms"] + LEAST_LINE_MS, F.coalesce(following, end_of_all))
-        words = spread(visible_tokens(x["text"]), x["start_ms"], end, LEAST_WORD_MS)
-        matched = F.transform(words, lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), F.lit(True).alias("matched")))
-        return F.struct(x["text"].alias("text"), x["start_ms"].alias("start_ms"), end.alias("end_ms"), matched.alias("words"))
+        def line(x: Column, i: Column) -> Column:
+            end = F.greatest(x["start_ms"] + LEAST_LINE_MS, F.coalesce(F.get(own, i + 1)["start_ms"], end_of_all))
+            return F.struct(x["text"].alias("text"), x["start_ms"].alias("start_ms"), end.alias("end_ms"))
 
-    return F.transform(lines, line)
+        return F.transform(own, line)
+
+    def words(x: Column) -> Column:
+        spoken = spread(visible_tokens(x["text"]), x["start_ms"], x["end_ms"], LEAST_WORD_MS)
+        matched = F.transform(spoken, lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), F.lit(True).alias("matched")))
+        return F.struct(x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), matched.alias("words"))
+
+    return F.transform(let(lines, timed), words)
 
 
 def line_rows(tracks: DataFrame, lines: str = "lines") -> DataFrame:

@@ -176,11 +176,13 @@ def near_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.near_pairs(own("benchmark", "a"), own("conversations", "b"))
 
 
+#: DuckDB counts bytes in its edit distance, so each letter of more than one becomes a capital first.
+_BYTES = "translate({}, 'àâäçèéêëîïñóôöùûüßáíúÿœæ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
 NEAR_SQL = rf"""
 WITH a AS (SELECT DISTINCT {_NORM.format('w')} AS a FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS w FROM benchmark)),
 b AS (SELECT DISTINCT {_NORM.format('w')} AS b FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS w FROM conversations))
 SELECT a, b FROM a JOIN b ON a <> '' AND b <> '' AND CASE WHEN starts_with(a, b) OR starts_with(b, a) THEN least(length(a), length(b)) >= 4
-  WHEN abs(length(a) - length(b)) > 1 OR greatest(length(a), length(b)) > 12 OR least(length(a), length(b)) < 4 THEN false ELSE levenshtein(a, b) <= 1 END
+  WHEN abs(length(a) - length(b)) > 1 OR greatest(length(a), length(b)) > 12 OR least(length(a), length(b)) < 4 THEN false ELSE levenshtein({_BYTES.format('a')}, {_BYTES.format('b')}) <= 1 END
 """
 
 
@@ -340,7 +342,7 @@ def _bytes_of(n: Column, count: int) -> Column:
 def container_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text as the lyrics in a FLAC file, scanned for them."""
     files = _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _flac("text").alias("content"))
-    found = files.select("doc_id", media.container_name(F.col("content")).alias("container"), media.scanned("content").alias("scan"))
+    found = files.select("doc_id", media.container_name(F.col("content")).alias("container"), media.scanned(F.col("content")).alias("scan"))
     best = found.select("doc_id", "container", media.best_candidate(media.kept_candidates(F.col("scan.candidates"))).alias("best"))
     return best.select("doc_id", "container", F.col("best.source").alias("source"), F.col("best.tag").alias("tag"), F.md5("best.text").alias("text"))
 

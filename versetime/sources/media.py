@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versetime.functions.text import display_name, is_blank, trimmed, utf16_length
+from versetime.functions.text import display_name, is_blank, let, trimmed, utf16_length
 from versetime.operators.lrc import LINES, lrc_lines
 from versetime.sources import containers
 
@@ -18,9 +18,12 @@ _SCAN_DDL = f"struct<container:string,candidates:array<struct<text:string,source
 LARGEST_FILE = 1 << 30
 
 
-@F.arrow_udf(_SCAN_DDL)
-def scanned(content: pa.Array) -> pa.Array:
-    """Container, lyric candidates and warnings of each file's bytes."""
+def scanned(content: Column) -> Column:
+    """Container, lyric candidates and warnings of each file's bytes; null bytes give null."""
+    return F.arrow_udf(_scans, _SCAN_DDL)(content)
+
+
+def _scans(content: pa.Array) -> pa.Array:
     out = []
     for raw in content:
         if not raw.is_valid:
@@ -43,9 +46,9 @@ def kept_candidates(candidates: Column) -> Column:
             trimmed(c["text"]).alias("text"), c["source"].alias("source"), c["tag"].alias("tag"), F.coalesce(c["timed"], lrc_lines(trimmed(c["text"]))).alias("timed")
         ),
     )
-    filled = F.filter(ready, lambda c: c["text"] != "")
     key = lambda c: F.struct(c["source"], c["tag"], c["text"])
-    return F.filter(filled, lambda c, i: F.array_position(F.transform(filled, key), key(c)) == i + 1)
+    first = lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda c, i: F.array_position(keys, key(c)) == i + 1))
+    return let(F.filter(ready, lambda c: c["text"] != ""), first)
 
 
 def best_candidate(candidates: Column) -> Column:
@@ -76,7 +79,7 @@ def read_tracks(spark: SparkSession, path: str, *, largest: int = LARGEST_FILE,
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length") <= largest)
     rows = files.select(
-        F.col("path").alias("track_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), scanned("content").alias("scan")
+        F.col("path").alias("track_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), scanned(F.col("content")).alias("scan")
     )
     found = rows.select("track_id", "file_name", "size_bytes", "sha256", "scan.container", "scan.warnings", kept_candidates(F.col("scan.candidates")).alias("candidates"))
     return found.withColumn("best", best_candidate(F.col("candidates")))
