@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from versetime.functions.text import let
+
 RATE = 16_000
 #: Silence is judged by every so many samples: all below four times the threshold, their mean power below it.
 STRIDE, PEAK_TIMES, SILENCE = 16, 4, 0.0035
@@ -18,9 +20,15 @@ def clipped(sample: Column) -> Column:
 
 def downmixed(samples: Column, channels: int) -> Column:
     """Mean of each frame's channels, clipped; what is left of a frame at the end is dropped."""
-    frames = F.floor(F.size(samples) / channels).cast("int")
-    mean = lambda f: clipped(F.aggregate(F.slice(samples, f * channels + 1, channels), F.lit(0.0).cast("float"), lambda a, x: (a + x.cast("float")).cast("float")) / channels)
-    return F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), mean)).otherwise(F.array().cast("array<float>"))
+    zero = F.lit(0.0).cast("float")
+    total = lambda own, f: F.aggregate(F.slice(own, f * channels + 1, channels), zero, lambda a, x: (a + x.cast("float")).cast("float"))
+
+    def frames(own: Column) -> Column:
+        count = F.floor(F.size(own) / channels).cast("int")
+        mean = F.transform(F.sequence(F.lit(0), count - 1), lambda f: clipped(total(own, f) / channels))
+        return F.when(count > 0, mean).otherwise(F.array().cast("array<float>"))
+
+    return let(samples, frames)
 
 
 def from_pcm16(samples: Column) -> Column:
@@ -67,11 +75,14 @@ def resampled(samples: Column, rate: Column) -> Column:
 def near_silence(samples: Column, threshold: float = SILENCE) -> Column:
     """Whether the tested samples are quiet: an empty array is."""
     limit = F.lit(threshold).cast("float")
-    tested = F.when(F.size(samples) > 0, F.transform(F.sequence(F.lit(1), F.size(samples), F.lit(STRIDE)), lambda i: F.abs(F.element_at(samples, i).cast("float")))).otherwise(F.array().cast("array<float>"))
-    power = F.aggregate(tested, F.lit(0.0), lambda a, x: a + (x * x).cast("float").cast("double"))
-    rms = F.sqrt(power / F.greatest(F.size(tested), F.lit(1))).cast("float")
-    peak = F.coalesce(F.array_max(tested), F.lit(0.0).cast("float"))
-    return (peak < (limit * F.lit(PEAK_TIMES)).cast("float")) & (rms < limit)
+    every = lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(STRIDE)), lambda i: F.abs(F.element_at(own, i).cast("float")))
+
+    def judged(tested: Column) -> Column:
+        power = F.aggregate(tested, F.lit(0.0), lambda a, x: a + (x * x).cast("float").cast("double"))
+        rms = F.sqrt(power / F.size(tested)).cast("float")
+        return (F.array_max(tested) < (limit * F.lit(PEAK_TIMES)).cast("float")) & (rms < limit)
+
+    return let(samples, lambda own: F.when(F.size(own) > 0, let(every(own), judged)).otherwise(F.lit(True)))
 
 
 def window_samples(samples: Column, start_sample: Column, n_samples: Column) -> Column:
