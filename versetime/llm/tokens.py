@@ -75,24 +75,30 @@ class Encoder:
     it, nor a letter to punctuation after it, so a text may be cut before any single blank or line feed
     between such characters, and its ids are those of the parts.  Words of letters alone are one piece each
     and go to the model at once; other parts, texts with other white space, and all texts of tokenizers of
-    another kind are encoded as they are.
+    another kind are encoded as they are.  A special token's string in a text gets the token's id, as the
+    library gives it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         kind = json.loads(self.tokenizer.to_str())
         split = kind["pre_tokenizer"] or {}
         self.by_word = (
             split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-            and kind["normalizer"] is None and not any(x["content"].strip().isalpha() for x in kind["added_tokens"])
+            and kind["normalizer"] is None and not any(self._spans_units(x) for x in kind["added_tokens"])
         )
         self.letters = _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def _spans_units(token: dict) -> bool:
+        """Whether an added token may take in white space, or stand in what goes to the model at once."""
+        text = token["content"]
+        return token["lstrip"] or token["rstrip"] or len(text.split()) != 1 or text != text.strip() or all(c.isalpha() or c in ".,;:!?" for c in text)
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
