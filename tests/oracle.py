@@ -6,7 +6,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or str(value) == "<NA>" or value != value:
         return None
     if isinstance(value, bool) or str(type(value)).find("bool") >= 0:
         return bool(value)

@@ -75,7 +75,8 @@ def container_name(content: Column) -> Column:
 def read_tracks(spark: SparkSession, path: str, *, largest: int = LARGEST_FILE, pattern: str = "*") -> DataFrame:
     """``(track_id, file_name, size_bytes, sha256, container, warnings, candidates, best)`` of the media files in ``path``.
 
-    The size filter reaches the scan, so larger files are never read.
+    The size filter reaches the scan, so larger files are never read.  Files without any bytes give no row, as
+    Spark's scan passes over them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length") <= largest)
     rows = files.select(
