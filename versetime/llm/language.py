@@ -21,6 +21,10 @@ HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 20.0
 #: Certainty of an address suffix, and the smallest posterior of a language that is accepted.
 SUFFIX_TRUST, LEAST_POSTERIOR = 0.7, 0.5
 UNKNOWN = "und"
+#: Another language or no language is one more hypothesis.  It gives each trigram the mean likelihood of the labelled row
+#: at LOW_SHARE from below, less UNKNOWN_MARGIN, and starts with the log odds UNKNOWN_PRIOR, so a few odd trigrams don't
+#: decide for it.
+LOW_SHARE, UNKNOWN_MARGIN, UNKNOWN_PRIOR = 0.05, 2.4, -16.0
 # Country suffixes and the language of most pages there.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
@@ -45,19 +49,21 @@ def trigram_counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log probabilities of trigram buckets by language."""
+    """Log probabilities of trigram buckets by language, and of any trigram of a text in none of them."""
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    unknown: float = -float(np.log(BUCKETS))
 
     def evidence(self, text: str | None) -> np.ndarray | None:
-        """Log likelihood of each language, tempered to ``EVIDENCE`` trigrams; None for a text without letters."""
+        """Log likelihood of each language and of none, tempered to ``EVIDENCE`` trigrams; None for a text without letters."""
         if not text or not any(c.isalpha() for c in text):
             return None
         counts = trigram_counts(text)
         seen = np.flatnonzero(counts)
         n = counts.sum()
-        return self.weights[:, seen] @ counts[seen] * (min(n, EVIDENCE) / n)
+        own = self.weights[:, seen] @ counts[seen] * (min(n, EVIDENCE) / n)
+        return np.append(own, self.unknown * min(n, EVIDENCE) + UNKNOWN_PRIOR)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +79,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, languages: list[str], *, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", rows: int = TRAINING_ROWS) -> TextModel:
     """A naive Bayes model from at most about ``rows`` labelled rows of each language, chosen by a hash of the id.
 
-    Rows with a null text, or labelled with another language, are not used.
+    Rows with a null text, or labelled with another language, are not used.  The same rows, those of ``EVIDENCE``
+    trigrams or more, set how likely a trigram must be for a text to be in one of the languages.
     """
     own = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(language_col).alias("language"))
     own = own.where(F.col("language").isin(languages) & F.col("text").isNotNull())
@@ -87,7 +94,17 @@ def train(labelled: DataFrame, languages: list[str], *, id_col: str = "doc_id",
     table = np.full((len(languages), BUCKETS), 0.5)
     at = [languages.index(x) for x in found.column("language").to_pylist()]
     np.add.at(table, (at, found.column("bucket").to_numpy()), found.column("n").to_numpy())
-    return TextModel(tuple(languages), np.log(table / table.sum(axis=1, keepdims=True)))
+    weights = np.log(table / table.sum(axis=1, keepdims=True))
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [c for c in map(trigram_counts, batch.column(0).to_pylist()) if c.sum() >= EVIDENCE]
+            yield pa.record_batch({"mean": pa.array([float((weights @ c).max() / c.sum()) for c in counts], pa.float64())})
+
+    means = own.where(chosen).select("text").mapInArrow(rated, "mean double").toArrow().column("mean").to_numpy()  # a number for each chosen row
+    if not len(means):
+        return TextModel(tuple(languages), weights)
+    return TextModel(tuple(languages), weights, float(np.quantile(means, LOW_SHARE)) - UNKNOWN_MARGIN)
 
 
 def text_evidence(shared):
@@ -118,9 +135,9 @@ def primary_language(declared: Column) -> Column:
 def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``language``, ``posterior``, ``accepted`` and each kind of evidence by itself.
 
-    * text: the trained likelihood of the text, tempered;
-    * declared: how often rows that declare this language have it by their text, from all rows;
-    * suffix: the language of the host's country suffix, with trust ``SUFFIX_TRUST``;
+    * text: the trained likelihood of the text, tempered, and that of a text in none of the languages;
+    * declared: how often rows that declare this language, or any other, have it by their text, from all rows;
+    * suffix: the language of the host's country suffix, another one too, with trust ``SUFFIX_TRUST``;
     * host: the languages of the host's other rows, smoothed by those of its domain (the last two labels),
       which are smoothed by those of all rows.
 
@@ -128,12 +145,13 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     back to the rows, where adaptive execution splits a host that has very many.  The likelihoods are written
     to the shared folder with the ``keep`` columns, so texts are read once.
 
-    A text without letters (null and empty ones too) is ``und``, with posterior zero and not accepted; other
-    rows are accepted from posterior ``LEAST_POSTERIOR``.  Null declarations and hosts are no evidence; ties
+    ``und``, for any other language or none, is the last hypothesis and never accepted; ``text_posterior`` and
+    ``host_prior`` have it last.  A text without letters (null and empty ones too) is ``und``, with posterior zero;
+    other rows are accepted from posterior ``LEAST_POSTERIOR``.  Null declarations and hosts are no evidence; ties
     go to the first language of the model; repeated rows count as often as they occur; an empty table gives
     no rows.
     """
-    languages, share = model.languages, rows.sparkSession.sparkContext.broadcast
+    languages, share = (*model.languages, UNKNOWN), rows.sparkSession.sparkContext.broadcast
     n = len(languages)
     kept = [F.col(c) for c in keep]
     own = rows.select(*kept, text.alias("_text"), F.nullif(primary_language(declared), F.lit("")).alias("_declared"), F.lower(host).alias("_host"))
@@ -147,11 +165,13 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     whole = by_host.agg(*added).first()
     totals = [float(x or 0.0) + 1.0 for x in whole]
     general = [x / sum(totals) for x in totals]
-    # How a declaration and the text's language go together: languages x languages numbers.
-    pairs = known.where(F.col("_declared").isin(list(languages))).groupBy("_declared").agg(*sums).collect()
+    # How a declaration and the text's language go together: languages x languages numbers, all others as one.
+    named = F.when(F.col("_declared").isin(list(model.languages)), F.col("_declared")).when(F.col("_declared").isNotNull(), F.lit(UNKNOWN))
+    own, known = own.withColumn("_named", named), known.withColumn("_named", named)
+    pairs = known.where("_named is not null").groupBy("_named").agg(*sums).collect()
     confusion = np.full((n, n), 0.5)
     for r in pairs:
-        confusion[languages.index(r["_declared"])] += [r[f"s{i}"] for i in range(n)]
+        confusion[languages.index(r["_named"])] += [r[f"s{i}"] for i in range(n)]
     told = np.log(confusion / confusion.sum(axis=0, keepdims=True))
 
     domain_total = sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0))
@@ -164,12 +184,13 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
         for i in range(n)
     ]
     said = [
-        F.coalesce(*(F.when(F.col("_declared") == d, F.lit(float(told[k, i]))) for k, d in enumerate(languages)), F.lit(0.0)) for i in range(n)
+        F.coalesce(*(F.when(F.col("_named") == d, F.lit(float(told[k, i]))) for k, d in enumerate(languages)), F.lit(0.0)) for i in range(n)
     ]
     suffix = F.substring_index("_host", ".", -1)
-    country = F.coalesce(*(F.when(suffix == s, F.lit(lang)) for s, lang in SUFFIXES.items() if lang in languages), F.lit(""))
+    country = F.coalesce(*(F.when(suffix == s, F.lit(lang)) for s, lang in SUFFIXES.items()), F.lit(""))
+    there = F.when((country == "") | country.isin(list(languages)), country).otherwise(UNKNOWN)
     near, far = float(np.log(SUFFIX_TRUST)), float(np.log((1 - SUFFIX_TRUST) / max(1, n - 1)))
-    address = [F.when(country == "", 0.0).when(country == lang, near).otherwise(far) for lang in languages]
+    address = [F.when(there == "", 0.0).when(there == lang, near).otherwise(far) for lang in languages]
     fused = F.array(*(F.col("_likelihood")[i] + said[i] + address[i] + F.log(F.col(f"_prior{i}")) for i in range(n)))
     out = own.withColumns({f"_prior{i}": p for i, p in enumerate(prior)}).withColumn("_fused", fused).withColumn("_top", F.array_max("_fused"))
     best = 1 / F.aggregate("_fused", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_top")))
@@ -177,7 +198,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     known_row = F.col("_likelihood").isNotNull()
     return out.select(
         *kept, F.when(known_row, names[F.array_position("_fused", F.col("_top")).cast("int") - 1]).otherwise(UNKNOWN).alias("language"),
-        F.when(known_row, best).otherwise(0.0).alias("posterior"), F.coalesce(known_row & (best >= LEAST_POSTERIOR), F.lit(False)).alias("accepted"),
+        F.when(known_row, best).otherwise(0.0).alias("posterior"), F.coalesce(known_row & (best >= LEAST_POSTERIOR) & (F.col("_fused")[n - 1] < F.col("_top")), F.lit(False)).alias("accepted"),
         F.array(*(F.col(f"_p{i}") for i in range(n))).alias("text_posterior"), F.col("_declared").alias("declared"),
         F.nullif(country, F.lit("")).alias("suffix_language"), F.array(*(F.col(f"_prior{i}") for i in range(n))).alias("host_prior"),
     )
