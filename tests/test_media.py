@@ -52,8 +52,7 @@ def test_repeats_in_a_stream(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame([(t, x, s, s + 100) for t, x, s in rows], schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = without_repeats_stream(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
+    query = without_repeats_stream(stream, idle_ms=None).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
     got = sorted((r.track_id, r.start_ms) for r in spark.table("kept").collect())
     assert got == [("t", 0), ("t", 1000), ("t", 3000), ("t", 3100), ("u", 0), ("u", 10)]

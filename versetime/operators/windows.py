@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -77,13 +77,17 @@ def segment_rows(windows: DataFrame, plan: WindowPlan = WindowPlan(), raw: str =
     return rows.where((F.col("text") != "") & (middle >= accepted) & (F.col("end_ms") > F.col("start_ms"))).drop("_from")
 
 
-def accepted_segments(segments: Iterator[tuple[int, str]]) -> Iterator[bool]:
-    """Whether each (start, normalised text), in order of start, is kept: not empty, nor a repeat of the last kept."""
-    kept: list[tuple[int, str]] = []
+def accepted_segments(segments: Iterable[tuple[int, str]], kept: list[tuple[int, str]] | None = None) -> Iterator[bool]:
+    """Whether each (start, normalised text), in order of start, is kept: not empty, nor a repeat of the last kept.
+
+    ``kept`` has the last accepted segments before these and then those up to the last one given.
+    """
+    kept = [] if kept is None else kept
     for start, text in segments:
         keep = bool(text) and not any(text == t and abs(start - s) < REPEAT_MS for s, t in kept)
         if keep:
-            kept = [*kept[1 - LOOK_BACK :], (start, text)] if len(kept) >= LOOK_BACK else [*kept, (start, text)]
+            kept.append((start, text))
+            del kept[:-LOOK_BACK]
         yield keep
 
 
