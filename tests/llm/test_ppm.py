@@ -73,8 +73,8 @@ def test_query_against_dictionaries(spark):
 TEXTS = ["the cat sat on the mat", "THE cat\tsat\n\non a hat", None, "", " \x0b ", "über élan", "zq", "the cat sat on the mat", "a" * 300, "x y \x85z"]
 
 
-@pytest.mark.parametrize(("order", "limits"), [(3, {}), (5, {}), (4, {"trie_entries": 60, "word_entries": 7, "slice_words": 3})])
-def test_odd_texts_in_one_part_and_in_many(spark, order, limits):
+@pytest.mark.parametrize(("order", "limits"), [(1, {}), (3, {"common_keys": 0, "common_words": 0}), (5, {}), (4, {"common_keys": 60, "common_words": 7, "rated_keys": 40})])
+def test_odd_texts_with_all_and_with_few_values_broadcast(spark, order, limits):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "null id"), (5, "again"), (5, "again")]
     df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], "doc_id long, text string, score double, n_tokens int")
     same(rows, ppm.ppm_scores(df, order=order, **limits).collect(), order)
