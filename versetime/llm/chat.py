@@ -43,25 +43,51 @@ def loss_mask(turns: Column) -> Column:
     return F.flatten(F.transform(turns, runs))
 
 
-def preference_examples(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask, usable)`` for ``pairs(pair_id, chosen_id, rejected_id)``.
+def conversation_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(pair_id, chosen, rejected)``, the turns of both conversations of ``pairs(pair_id, chosen_id, rejected_id)``.
+
+    A conversation in very many pairs is a skewed key of these joins, which adaptive execution splits.
+    """
+    turns = turns_of(conversations)
+    sides = [turns.select(F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(side)) for side in ("chosen", "rejected")]
+    rows = pairs.select("pair_id", "chosen_id", "rejected_id").join(sides[0], "chosen_id", "left").join(sides[1], "rejected_id", "left")
+    return rows.select("pair_id", "chosen", "rejected")
+
+
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """``(pair_id, chosen, rejected)`` for every conversation: its own last answer, and another's in the same place.
+
+    ``chosen`` are its turns up to the last of the assistant, or all if it has none; what follows would train
+    nothing.  ``rejected`` has the last assistant turn of the conversation with the next id instead; without
+    either it is null.  A conversation is joined once, so no key is skewed.
+    """
+    last = F.expr("size(turns) - array_position(reverse(transform(turns, t -> t.role = 'assistant')), true) + 1")
+    turns = turns_of(conversations).withColumn("last", F.when(F.exists("turns", lambda t: t["role"] == "assistant"), last).cast("int"))
+    answers = turns.where("last is not null").select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("last")).alias("answer"))
+    rows = turns.join(answers, "conv_id", "left")
+    return rows.select(
+        F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.coalesce("last", F.size("turns"))).alias("chosen"),
+        F.when(F.col("last").isNotNull() & F.col("answer").isNotNull(), F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array("answer"))).alias("rejected"),
+    )
+
+
+def preference_examples(pairs: DataFrame) -> DataFrame:
+    """``(pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask, usable)`` for ``pairs(pair_id, chosen, rejected)``.
 
     The longest common prefix of turns is rendered once, as the prompt.  What is left of either conversation
     is its completion, with a mask of run lengths (:func:`loss_mask`).  A pair is ``usable`` if the
     completions differ and both have something that trains.
 
-    Conversations are gathered by one shuffle and joined to the pairs; a conversation in very many pairs is a
-    skewed key of those joins, which adaptive execution splits.  One conversation must fit a row, as its
+    Conversations are gathered by one shuffle (:func:`turns_of`); one conversation must fit a row, as its
     example does.  Turns with a null conversation are left out; null roles and texts are empty; turns of the
-    same number are ordered by role and text; repeated turns stay; a pair that lacks a conversation gets a
-    null completion and is not usable; an empty table gives no rows; other columns are not read.
+    same number are ordered by role and text; repeated turns stay; a pair that lacks a conversation has no
+    common turns, a null completion there, and is not usable; an empty table gives no rows; other columns are
+    not read.
     """
-    turns = turns_of(conversations)
-    sides = [turns.select(F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(side)) for side in ("chosen", "rejected")]
-    rows = pairs.select("pair_id", "chosen_id", "rejected_id").join(sides[0], "chosen_id", "left").join(sides[1], "rejected_id", "left")
-    rows = rows.withColumn("n_common", common_turns(F.col("chosen"), F.col("rejected")))
+    rows = pairs.withColumn("n_common", F.coalesce(common_turns(F.col("chosen"), F.col("rejected")), F.lit(0)))
     rest = lambda c: F.slice(F.col(c), F.col("n_common") + 1, F.greatest(F.size(c) - F.col("n_common"), F.lit(0)))
-    rows = rows.withColumns({"prompt": rendered(F.slice("chosen", F.lit(1), F.col("n_common"))), "chosen": rest("chosen"), "rejected": rest("rejected")})
+    prompt = F.coalesce(rendered(F.slice("chosen", F.lit(1), F.col("n_common"))), F.lit(""))
+    rows = rows.withColumns({"prompt": prompt, "chosen": rest("chosen"), "rejected": rest("rejected")})
     out = rows.select(
         "pair_id", "n_common", "prompt", rendered(F.col("chosen")).alias("chosen"), loss_mask(F.col("chosen")).alias("chosen_mask"),
         rendered(F.col("rejected")).alias("rejected"), loss_mask(F.col("rejected")).alias("rejected_mask"),
@@ -69,10 +95,3 @@ def preference_examples(conversations: DataFrame, pairs: DataFrame) -> DataFrame
     trains = lambda c: F.exists(c, lambda n: n > 0)
     usable = (F.col("chosen") != F.col("rejected")) & trains("chosen_mask") & trains("rejected_mask")
     return out.withColumn("usable", F.coalesce(usable, F.lit(False)))
-
-
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs of a conversation with an even id, as chosen, and that with the next id, as rejected."""
-    ids = conversations.where("conv_id is not null").select("conv_id").distinct()
-    chosen = ids.where("conv_id % 2 = 0").select(F.expr("conv_id div 2").alias("pair_id"), F.col("conv_id").alias("chosen_id"))
-    return chosen.join(ids.select(F.col("conv_id").alias("rejected_id")), F.expr("rejected_id = chosen_id + 1"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from versetime.llm import licences
 from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
-from versetime.llm.chat import neighbour_pairs, preference_examples
+from versetime.llm.chat import answer_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
 from versetime.llm.language import identify, train
@@ -112,8 +112,7 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = read_table(spark, sf_dir, "conversations")
-    examples = preference_examples(conversations, neighbour_pairs(conversations))
+    examples = preference_examples(answer_pairs(read_table(spark, sf_dir, "conversations")))
     return examples.withColumns({c: F.array_join(c, ",") for c in ("chosen_mask", "rejected_mask")})
 
 
@@ -145,17 +144,19 @@ OP8_SQL = """
 WITH t AS (SELECT conv_id, list({'r': replace(coalesce(role, ''), '<|', '< |'), 't': replace(coalesce(text, ''), '<|', '< |')}
     ORDER BY turn NULLS FIRST, replace(coalesce(role, ''), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT a.conv_id // 2 AS pair_id, a.turns AS c, b.turns AS r FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
-k AS (SELECT *, coalesce(list_filter(range(0, greatest(len(c), len(r))), lambda i: c[i + 1] IS DISTINCT FROM r[i + 1])[1], len(c)) AS n FROM p),
+l AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].r = 'assistant')) AS last FROM t),
+p AS (SELECT a.conv_id AS pair_id, a.turns[1:coalesce(a.last, len(a.turns))] AS c, CASE WHEN a.last IS NOT NULL AND b.last IS NOT NULL THEN a.turns[1:a.last - 1] || [b.turns[b.last]] END AS r
+  FROM l a LEFT JOIN l b ON b.conv_id = a.conv_id + 1),
+k AS (SELECT *, CASE WHEN r IS NULL THEN 0 ELSE coalesce(list_filter(range(0, greatest(len(c), len(r))), lambda i: c[i + 1] IS DISTINCT FROM r[i + 1])[1], len(c)) END AS n FROM p),
 s AS (SELECT pair_id, n, c[1:n] AS q, c[n + 1:] AS c, r[n + 1:] AS r FROM k),
 o AS (SELECT pair_id, CAST(n AS INTEGER) AS n_common,
   array_to_string(list_transform(q, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS prompt,
   array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS chosen,
-  array_to_string(list_transform(r, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS rejected,
+  CASE WHEN r IS NOT NULL THEN coalesce(array_to_string(list_transform(r, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), ''), '') END AS rejected,
   flatten(list_transform(c, lambda x: CASE WHEN x.r = 'assistant' THEN [-22, length(x.t) + 10, -1] ELSE [-(length(x.r) + length(x.t) + 24)] END)) AS cm,
   flatten(list_transform(r, lambda x: CASE WHEN x.r = 'assistant' THEN [-22, length(x.t) + 10, -1] ELSE [-(length(x.r) + length(x.t) + 24)] END)) AS rm FROM s)
 SELECT pair_id, n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(array_to_string(cm, ','), '') AS chosen_mask,
-  coalesce(rejected, '') AS rejected, coalesce(array_to_string(rm, ','), '') AS rejected_mask,
+  rejected, CASE WHEN rejected IS NOT NULL THEN coalesce(array_to_string(rm, ','), '') END AS rejected_mask,
   coalesce(chosen <> rejected AND list_max(cm) > 0 AND list_max(rm) > 0, false) AS usable
 FROM o
 """
