@@ -1,4 +1,6 @@
 import math
+import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -6,6 +8,8 @@ import pytest
 from versetime.llm import licences as L
 
 SF = "/root/testdata/sf0.001"
+# Wordings that are in no frame, and in no template.
+REWORDED = ["We publish everything here under the {}, enjoy.", "Note that our sources fall under {} as of today.", "You get this package under the conditions of the {}.", "All examples of the book are covered by the {}."]
 
 
 @pytest.fixture(scope="module")
@@ -14,39 +18,79 @@ def model(spark):
 
 
 def plain(model, rows):
-    """(doc, paragraph, family, probability, share) of every paragraph, n-grams listed one by one."""
-    weight, out = dict(zip(model.grams, model.weights, strict=True)), []
+    """The passages of every paragraph, n-grams listed one by one."""
+    number, out = {g: k for k, g in enumerate(model.grams)}, []
     for doc, text in rows:
-        for k, line in enumerate((text or "").split("\n")):
-            own = [g for g in L.grams_of(L.words_of(line)) if g in weight]
-            scores = [(b + sum(weight[g][i] for g in own)) / model.temperature for i, b in enumerate(model.bias)]
-            best = scores.index(max(scores))
-            if own and best:
-                p = 1 / sum(math.exp(s - scores[best]) for s in scores)
-                share = max(len(t & set(own)) / len(t) for f, t in model.templates if f == model.classes[best])
-                family = model.classes[best] if p >= L.LEAST_PROBABILITY and share >= L.LEAST_TEMPLATE else L.UNKNOWN
-                out.append((str(doc), k, family, round(p, 6), round(share, 6)))
+        for p, body in enumerate(re.split(r"\n(?:[ \t\r\x0b\f]*\n)+", text or "")):
+            words = L.words_of(body)
+            hits = [(i, i + n, number[g]) for i in range(len(words)) for n in (1, 2, 3) if (g := tuple(words[i : i + n])) in number and len(g) == n]
+            groups, end = [], None
+            for hit in sorted(hits):
+                if end is None or hit[0] - end > L.GAP:
+                    groups.append([])
+                groups[-1].append(hit)
+                end = max(end or 0, hit[1])
+            for group in groups:
+                own = {k for _, _, k in group}
+                scores = [(b + sum(model.weights[k][i] for k in own)) / model.temperature for i, b in enumerate(model.bias)]
+                best = scores.index(max(scores))
+                if best:
+                    chance, grams = 1 / sum(math.exp(s - scores[best]) for s in scores), {model.grams[k] for k in own}
+                    share = max([len(t & grams) / len(t) for f, t in model.templates if f == model.classes[best]], default=0.0)
+                    family = model.classes[best] if chance >= L.LEAST_PROBABILITY and share >= L.LEAST_TEMPLATE else L.UNKNOWN
+                    begin = min(h[0] for h in group)
+                    out.append((str(doc), p, begin, max(h[1] for h in group) - begin, family, round(chance, 5), round(share, 5)))
     return Counter(out)
 
 
 def found(df, model):
-    return Counter((str(r.doc_id), r.paragraph, r.family, round(r.probability, 6), round(r.template_share, 6)) for r in L.licence_paragraphs(df, model).collect())
+    return Counter((str(r.doc_id), r.paragraph, r.first_word, r.n_words, r.family, round(r.probability, 5), round(r.template_share, 5)) for r in L.licence_paragraphs(df, model).collect())
 
 
 def test_query_against_listed_ngrams(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = found(docs, model)
-    assert got == plain(model, [(r.doc_id, r.text) for r in docs.collect()]) and len(got) >= 3
+    assert got == plain(model, [(r.doc_id, r.text) for r in docs.collect()])
+    lines = Counter((str(r.doc_id), f) for r in docs.collect() for line in r.text.split("\n") for f, mark in {"MIT": "MIT License", "Apache-2.0": "Apache License", "GPL-3.0": "Public License, version 3", "CC-BY-NC": "CC BY-NC"}.items() if mark in line)
+    assert {(k[0], k[4]) for k in got if k[4] != L.UNKNOWN} == set(lines) and len(lines) >= 3
 
 
-def test_families_in_running_text_and_odd_rows(spark, model):
-    notices = [(k, "Some text before.\n" + texts[0] + "\nAnd after.", f) for k, (f, texts) in enumerate(L.NOTICES.items())]
-    data = [(d, t) for d, t, _ in notices] + [(100, None), (101, ""), (102, "\n\n"), (None, L.NOTICES["MIT"][0]), (103, "Nothing of the kind is said here."), (104, "word " * 100_000), (0, notices[0][1])]
+def judged(spark, model, texts):
+    """Recall and precision of the families of ``(family or None, text)``."""
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.family) for r in L.licence_paragraphs(df, model).collect() if r.family != L.UNKNOWN}
+    right = sum((k, f) in got for k, (f, _) in enumerate(texts))
+    return right / sum(f is not None for f, _ in texts), right / max(1, len(got))
+
+
+def prose(text, k):
+    return f"The first day was long and the second one was no better for us.\n{text}\nAfter that they went home by train, number {k}."
+
+
+def test_held_out_and_reworded_notices(spark):
+    held = L.FRAMES[2::3]
+    own = L.train(spark.read.parquet(f"{SF}/documents.parquet"), frames=[f for f in L.FRAMES if f not in held])
+    texts = [(f, prose(frame.format(name), k)) for k, frame in enumerate([*held, *REWORDED]) for f, names in L.NAMES.items() for name in names]
+    texts += [(None, frame.format(name)) for frame in REWORDED for name in ("Ruby License", "Unicode License Agreement", "JSON License", "Vim License", "license of the city council")]
+    texts += [(None, t) for t in ("She took her driving licence to the general store.", "The public may use the software of the library free of charge.", "Permission to copy is granted by the head of the school.", "No apache was seen near the source of the river.", "He works at MIT on version 3 of the map.")]
+    recall, precision = judged(spark, own, texts)
+    print("held-out and reworded notices: recall", round(recall, 3), "precision", round(precision, 3))
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_wrapped_notices(spark, model):
+    texts = [(f, "Title\n\n" + textwrap.fill("Copyright 2021 A. Writer. " + " ".join(s), width) + "\n\nMore.") for f, s in L.SENTENCES.items() for width in (40, 72)]
+    recall, precision = judged(spark, model, texts)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_odd_rows(spark, model):
+    data = [(100, None), (101, ""), (102, "\n\n"), (None, L.SENTENCES["MIT"][0]), (103, "Nothing of the kind is said here."), (104, "word " * 100_000), (0, "Released under the MIT License."), (0, "Released under the MIT License."), (105, "?! MIT License\r\n \r\nGPLv3"), (106, "license " * 50_000)]
     df = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, family int, gram string")
     got = found(df, model)
     assert got == plain(model, data)
-    right = sum(any(k[:3] == (str(d), 1, f) for k in got) for d, _, f in notices)
-    assert right >= 0.9 * len(notices) and not any(k[0] in ("100", "101", "102", "103", "104") and k[2] != L.UNKNOWN for k in got)
+    assert got[next(k for k in got if k[0] == "0")] == 2 and {(k[1], k[4]) for k in got if k[0] == "105"} == {(0, "MIT"), (1, "GPL-3.0")}
+    assert not any(k[0] in ("100", "101", "102", "103", "104") for k in got)
     assert L.licence_paragraphs(df.limit(0), model).count() == 0
 
 

@@ -1,4 +1,4 @@
-"""Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates.
+"""Licence scans: a trained classifier of passages in paragraphs, confirmed by comparison with templates.
 
 Everything is DataFrame functions and Spark's own logistic regression.  A paragraph's word n-grams are never
 all listed: each n-gram of the model has one anchor word, and a word of the text that is an anchor is compared
@@ -8,36 +8,72 @@ with its n-grams in place.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Longest n-gram, paragraphs of the corpus that are trained on as negatives at most, and thresholds: the
-#: calibrated probability below which a family is unknown, and the share of a template that confirms it.
-WORDS, NEGATIVES, LEAST_PROBABILITY, LEAST_TEMPLATE = 3, 400, 0.7, 0.6
+#: Longest n-gram, words between n-grams of one passage at most, lines of the corpus that are trained on as negatives at
+#: most, and thresholds: the calibrated probability below which a family is unknown, the share of a template that
+#: confirms it, and the share of the negatives from which an n-gram is too common to be used.
+WORDS, GAP, NEGATIVES, LEAST_PROBABILITY, LEAST_TEMPLATE, TOO_COMMON = 3, 8, 400, 0.7, 0.6, 0.01
 OTHER, UNKNOWN = "other", "unknown"
 
-# The usual short notices of each family.
-NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is available under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GPL version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Released under the GPL version 2.", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License."],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Released under the BSD License.", "Licensed under the 3-Clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+# Names of each family's licence, as notices give them.
+NAMES = {
+    "MIT": ["MIT License", "MIT licence", "SPDX-License-Identifier: MIT"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "SPDX-License-Identifier: Apache-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL version 3", "GPL version 3", "GPLv3", "GPL-3.0 license", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL version 2", "GPL version 2", "GPLv2", "GPL-2.0 license", "SPDX-License-Identifier: GPL-2.0-only"],
+    "LGPL": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU Library General Public License", "LGPL", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License", "AGPL", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "BSD": ["BSD License", "3-Clause BSD License", "2-Clause BSD License", "BSD-style license", "New BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "ISC": ["ISC License", "SPDX-License-Identifier: ISC"],
+    "CC-BY": ["CC BY 4.0", "CC-BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC-BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC0": ["CC0 1.0", "CC0 1.0 Universal", "CC0 public domain dedication", "SPDX-License-Identifier: CC0-1.0"],
+    "Unlicense": ["The Unlicense", "Unlicense", "SPDX-License-Identifier: Unlicense"],
 }
+# Sentences of the licences themselves, and of the notices that they ask for.
+SENTENCES = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "Apache-2.0": [
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    ],
+    "GPL-3.0": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
+    "GPL-2.0": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"],
+    "LGPL": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "AGPL-3.0": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"],
+}
+# How notices put a name.
+FRAMES = [
+    "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This project is available under the {}.", "This software is distributed under the terms of the {}.",
+    "License: {}", "{}", "See the file LICENSE, {}.", "The code in this repository is provided under {}.", "Copyright 2020 the authors, {}.", "is made available under the {} by its authors.",
+]
+# Licences of no family here.
+OTHER_NAMES = [
+    "Eclipse Public License 2.0", "zlib License", "Artistic License 2.0", "European Union Public Licence", "Boost Software License 1.0", "SIL Open Font License 1.1", "PostgreSQL License", "Academic Free License", "Common Development and Distribution License",
+    "Microsoft Public License", "Open Software License 3.0", "Python Software Foundation License", "a commercial license", "a proprietary license", "the license agreement of the vendor", "Acme Public License", "Server Side Public License", "SPDX-License-Identifier: EPL-2.0",
+]
 # Paragraphs that share words with notices and are none.
 NOT_NOTICES = [
     "All rights reserved.", "Copyright by the author.", "Your driving licence must be renewed under the new rules.", "The software is in version 2 and free of charge.",
@@ -75,69 +111,78 @@ class LicenceModel:
     weights: list[list[float]]
     bias: list[float]
     temperature: float
-    templates: list[tuple[str, set[tuple[str, ...]]]]
+    templates: list[tuple[str, frozenset[tuple[str, ...]]]]
+
+    def anchors(self, spark: SparkSession) -> DataFrame:
+        """``(anchor, place, words_of_gram, gram)``, a few thousand rows for any corpus."""
+        rows = [(g[i], i, list(g), k) for k, g in enumerate(self.grams) for i in (anchor_of(g),)]
+        return spark.createDataFrame(rows, "anchor string, place int, gram_words array<string>, gram int")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``(anchor, place, gram, weights, templates)``, a few thousand rows for any corpus."""
+        """``(gram, weights, templates)``: what each n-gram says."""
         within = defaultdict(list)
         for k, (_, own) in enumerate(self.templates):
             for g in own:
                 within[g].append(k)
-        rows = [(g[i], i, list(g), w, within[g]) for g, w in zip(self.grams, self.weights, strict=True) for i in (anchor_of(g),)]
-        return spark.createDataFrame(rows, "anchor string, place int, gram array<string>, weights array<double>, templates array<int>")
+        return spark.createDataFrame([(k, w, within[g]) for k, (g, w) in enumerate(zip(self.grams, self.weights, strict=True))], "gram int, weights array<double>, templates array<int>")
+
+
+def notices(family: str, frames: list[str]) -> list[list[str]]:
+    """Words of the training notices of a family: its names in frames, its sentences, and parts of these."""
+    found = [words_of(frame.format(name)) for name in NAMES.get(family, OTHER_NAMES) for frame in frames]
+    for text in SENTENCES.get(family, []):
+        own = words_of(text)
+        found += [own, own[1:], own[: len(own) * 3 // 4], own[len(own) // 3 :], own[: len(own) // 2]]
+    return found
 
 
-def _fit(rows: DataFrame, classes: int, size: int):
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=2e-3, maxIter=60, standardization=False).fit(rows)
+def _fit(spark: SparkSession, rows: list, classes: int, size: int):
+    data = spark.createDataFrame([(float(y), Vectors.sparse(size, {k: 1.0 for k in x})) for y, x in rows], ["y", "x"]).coalesce(1)
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=3e-4, maxIter=60, standardization=False).fit(data)
     coefficients, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     assert coefficients.shape == (classes, size)
     return coefficients, bias
 
 
-def train(documents: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> LicenceModel:
-    """Fit the classifier on the notices, and on at most ``negatives`` paragraphs of ``documents`` as ``other``.
+def negative_lines(documents: DataFrame, text_col: str, most: int) -> list[list[str]]:
+    """Words of at most ``most`` distinct lines of the corpus that name no licence, the first by a hash."""
+    named = "licen[sc]e|copyright|permission|redistribut|spdx|creative commons|public domain"
+    lines = documents.select(F.explode(F.split(text_col, "\n")).alias("p")).where((F.length("p") > 0) & ~F.lower("p").rlike(named))
+    return [words_of(r["p"]) for r in lines.distinct().orderBy(F.xxhash64("p"), "p").limit(most).collect()]
 
-    Each notice also counts without its first or last words, so that parts of one are known.  Half of the
-    examples set the temperature by which probabilities are calibrated; the final fit takes all of them.
-    Paragraphs of the corpus that name a licence are not used.
+
+def train(documents: DataFrame, text_col: str = "text", negatives: int = NEGATIVES, frames: list[str] | None = None) -> LicenceModel:
+    """Fit the classifier on the notices, and on at most ``negatives`` lines of ``documents`` as ``other``.
+
+    Notices of licences of no family are the class ``unknown``.  The n-grams are those that two training notices
+    share and few of the negatives have.  A third of the examples set the temperature by which probabilities are
+    calibrated, by a model that has not seen them; the final fit takes all.  Templates are the names and sentences.
     """
-    spark = documents.sparkSession
-    classes = [OTHER, *NOTICES]
-    templates = [(family, set(grams_of(words_of(text)))) for family, texts in NOTICES.items() for text in texts]
-    grams = sorted(set().union(*(own for _, own in templates)))
+    spark, frames = documents.sparkSession, frames or FRAMES
+    classes = [OTHER, UNKNOWN, *NAMES]
+    lines = negative_lines(documents, text_col, negatives)
+    examples = [(0, w) for w in [*map(words_of, NOT_NOTICES), *lines]]
+    examples += [(y, w) for y, family in enumerate(classes) if y for w in notices(family, frames)]
+    held, common = Counter(), Counter()
+    for y, w in examples:
+        (held if y else common).update(grams_of(w))
+    grams = sorted(g for g, n in held.items() if n > 1 and common[g] <= TOO_COMMON * (len(lines) + len(NOT_NOTICES)))
     number = {g: i for i, g in enumerate(grams)}
-    examples = []
-    for y, family in enumerate(classes):
-        for text in NOT_NOTICES if family == OTHER else NOTICES[family]:
-            own = words_of(text)
-            cuts = [own] if family == OTHER else [own, own[1:], own[: max(2, len(own) * 3 // 4)], own[len(own) // 3 :]]
-            examples += [(y, w) for w in cuts if len(w) > 1]
-    named = "licen[sc]e|copyright|permission|redistribut|spdx"
-    chosen = documents.select(F.explode(F.split(text_col, "\n+")).alias("p")).where((F.pmod(F.xxhash64("p"), F.lit(50)) == 0) & ~F.lower("p").rlike(named)).limit(negatives)
-    examples += [(0, words_of(r["p"])) for r in chosen.collect()]
-    rows = [(float(y), [float(v) for v in _vector(w, number)]) for y, w in examples]
-    vectors = lambda own: spark.createDataFrame(own, "y double, v array<double>").select("y", array_to_vector("v").alias("x")).coalesce(1)
+    rows = [(y, x) for y, w in examples if (x := sorted({number[g] for g in grams_of(w) if g in number}))]  # passages have an n-gram
     size = (len(classes), len(grams))
-    temperature = _temperature(*_fit(vectors(rows[1::2] + rows[:1]), *size), rows[::2])
-    coefficients, bias = _fit(vectors(rows), *size)
-    kept = [i for i in range(len(grams)) if abs(coefficients[:, i]).max() > 1e-6]
-    return LicenceModel(classes, [grams[i] for i in kept], [coefficients[:, i].tolist() for i in kept], bias.tolist(), temperature, templates)
-
-
-def _vector(words: list[str], number: dict) -> list[int]:
-    out = [0] * len(number)
-    for g in grams_of(words):
-        if g in number:
-            out[number[g]] = 1
-    return out
+    left_out = [r for k, r in enumerate(rows) if k % 3 == 1]
+    temperature = _temperature(*_fit(spark, [r for k, r in enumerate(rows) if k % 3 != 1], *size), left_out)
+    coefficients, bias = _fit(spark, rows, *size)
+    templates = [(family, frozenset(g for g in grams_of(words_of(text)) if g in number)) for family in NAMES for text in (*NAMES[family], *SENTENCES.get(family, ()))]
+    return LicenceModel(classes, grams, coefficients.T.tolist(), bias.tolist(), temperature, [(f, t) for f, t in templates if t])
 
 
 def _temperature(coefficients, bias, rows: list) -> float:
     """The divisor of the scores, from a grid, that makes the examples left out most likely."""
     import numpy as np
 
-    scores = np.array([v for _, v in rows]) @ coefficients.T + bias
-    y = np.array([int(y) for y, _ in rows])
+    scores = np.array([coefficients[:, x].sum(axis=1) for _, x in rows]) + bias
+    y = np.array([y for y, _ in rows])
 
     def loss(t: float) -> float:
         z = scores / t
@@ -148,43 +193,52 @@ def _temperature(coefficients, bias, rows: list) -> float:
 
 
 def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, paragraph, family, probability, template_share, confirmed)``: the paragraphs that look like a licence notice.
+    """``(doc_id, paragraph, first_word, n_words, family, probability, template_share, confirmed)``: the passages that are a licence notice.
 
-    A paragraph is a run without line feeds, numbered from 0 over the text's lines.  Its distinct n-grams give
-    each class a score; ``probability`` is that of the best class after calibration.  ``family`` is ``unknown``
-    below ``LEAST_PROBABILITY`` and where no template of the predicted family is in the paragraph to at least
-    ``LEAST_TEMPLATE`` of its n-grams (``template_share``), which is what ``confirmed`` says.  Paragraphs of
-    the class ``other`` are left out, and so are those without any n-gram of the model, which have its score.
+    A paragraph is a run of lines that aren't blank, numbered from 0, so a notice may be wrapped over lines.  Where
+    its n-grams of the model lie at most ``GAP`` words apart they make one passage, from ``first_word`` (0 is the
+    paragraph's first) over ``n_words``; prose around a notice doesn't count.  A passage's distinct n-grams give each
+    class a score; ``probability`` is that of the best class after calibration.  ``family`` is ``unknown`` where that
+    class is best, below ``LEAST_PROBABILITY``, and where no template of the family is in the passage to at least
+    ``LEAST_TEMPLATE`` of its n-grams (``template_share``), which is what ``confirmed`` says.  Passages of the class
+    ``other`` are left out.
 
     The words of the texts are met with the model's anchors by a broadcast join (its size does not depend on
-    the corpus); only n-grams that are found are grouped, by row and paragraph.  Null and empty texts give no
-    rows; null ids are returned as such; repeated rows are each returned; ties go to the first class; an
-    empty table gives no rows; other columns are not read.
+    the corpus); only n-grams that are found are shuffled, once, by row and paragraph.  Null and empty texts give no
+    rows; null ids are returned as such; repeated rows are each returned; ties go to the first class; two notices that
+    are nearer than ``GAP`` are one passage; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     n = len(model.classes)
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    words = lines.select("row", "doc_id", "paragraph", F.split(F.lower("line"), "[^a-z0-9]+").alias("words"))
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, r"\n(?:[ \t\r\x0b\f]*\n)+")).alias("paragraph", "body"))
+    words = parts.select("row", "doc_id", "paragraph", F.split(F.regexp_replace(F.lower("body"), "^[^a-z0-9]+", ""), "[^a-z0-9]+").alias("words"))
     placed = words.select("row", "doc_id", "paragraph", "words", F.posexplode("words").alias("at", "anchor"))
-    grams = F.broadcast(model.table(spark))
-    found = placed.join(grams, "anchor").where(
-        (F.col("at") >= F.col("place")) & (F.slice("words", F.greatest(F.lit(1), F.col("at") - F.col("place") + 1), F.size("gram")) == F.col("gram"))
-    )
-    # A gram counts once a paragraph, however often it occurs there.
-    once = found.groupBy("row", "paragraph", "gram").agg(F.first("doc_id").alias("doc_id"), F.first("weights").alias("weights"), F.first("templates").alias("templates"))
-    each = once.groupBy("row", "paragraph").agg(
-        F.first("doc_id").alias("doc_id"), *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(n)), F.flatten(F.collect_list("templates")).alias("within")
-    )
+    same = F.slice("words", F.greatest(F.lit(1), F.col("at") - F.col("place") + 1), F.size("gram_words")) == F.col("gram_words")
+    found = placed.join(F.broadcast(model.anchors(spark)), "anchor").where((F.col("at") >= F.col("place")) & same)
+    found = found.select("row", "doc_id", "paragraph", (F.col("at") - F.col("place")).alias("at"), (F.col("at") - F.col("place") + F.size("gram_words")).alias("end"), "gram")
+    # Passages: an n-gram that begins more than GAP words after all before it have ended opens one.
+    order = Window.partitionBy("row", "paragraph").orderBy("at", "gram")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("opens", F.when(F.col("at") - before > GAP, 1).otherwise(0))
+    placed = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A gram counts once a passage, however often it occurs there.
+    keys = ["row", "paragraph", "passage"]
+    once = placed.groupBy(*keys, "gram").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"))
+    each = once.join(F.broadcast(model.table(spark)), "gram").groupBy(*keys).agg(
+        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"),
+        *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(n)), F.flatten(F.collect_list("templates")).alias("within"),
+    )
     scores = F.array(*((F.col(f"w{i}") + model.bias[i]) / model.temperature for i in range(n)))
-
-    def share(k: int, family: str, size: int) -> Column:
-        return F.when(F.col("best") == model.classes.index(family), F.size(F.filter("within", lambda t: t == k)) / size)
-
-    shares = [share(k, family, len(own)) for k, (family, own) in enumerate(model.templates)]
     rated = each.withColumn("scores", scores).withColumn("top", F.array_max("scores")).withColumn("best", F.array_position("scores", F.col("top")).cast("int") - 1).where("best > 0")
     mass = F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    rated = rated.withColumns({"probability": 1 / mass, "template_share": F.greatest(F.lit(0.0), *shares)})
+    # The templates as columns of one row: their class and the number of their n-grams.
+    sizes = F.array(*(F.struct(F.lit(model.classes.index(f)).alias("c"), F.lit(len(t)).alias("n")) for f, t in model.templates))
+    shares = F.transform(sizes, lambda t, k: F.when(t["c"] == F.col("best"), F.size(F.filter("within", lambda x: x == k)) / t["n"]).otherwise(0.0))
+    rated = rated.withColumns({"probability": 1 / mass, "template_share": F.array_max(shares)})
     names = F.array(*(F.lit(c) for c in model.classes))
     confirmed = F.col("template_share") >= LEAST_TEMPLATE
     family = F.when((F.col("probability") >= LEAST_PROBABILITY) & confirmed, names[F.col("best")]).otherwise(UNKNOWN)
-    return rated.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), family.alias("family"), "probability", "template_share", confirmed.alias("confirmed"))
+    return rated.select(
+        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("at").alias("first_word"), (F.col("end") - F.col("at")).alias("n_words"),
+        family.alias("family"), "probability", "template_share", confirmed.alias("confirmed"),
+    )
