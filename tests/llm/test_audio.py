@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from versetime.llm.audio import AudioFeatures, read_wav
+from versetime.llm.audio import AudioFeatures, read_wav, stored_tensors
 from versetime.llm.queries import stored_audio
 
 
@@ -33,8 +33,41 @@ def test_tone_and_segments():
     assert abs(centre[mel[len(mel) * 45 // 100].argmax()] - 1000) < 120
     (first, end), *rest = own.segments(mel)
     assert not rest and abs(first * 128 / 8000 - 0.3) < 0.04 and abs(end * 128 / 8000 - 0.6) < 0.04
-    tensors = own.tensors(mel)
-    assert tensors.shape[1:] == (32, 32) and own.tensor_array(tensors.tobytes()).to_numpy_ndarray().shape == tensors.shape
+    table = stored_tensors(own.stored(mel)).combine_chunks()
+    assert table.schema.field("tensor").type == own.tensor_type()
+    read = table.column("tensor").chunk(0).to_numpy_ndarray()
+    assert read.shape == (-(-len(mel) // 32), 32, 32) and (read == own.tensors(mel)).all()
+    assert np.abs(read.reshape(-1, 32)[: len(mel)].astype(np.float32) - mel).max() < 0.04 and (read.reshape(-1, 32)[len(mel) :] == -60).all()
+    assert table.column("start_ms").to_pylist() == [k * 32 * 16 for k in range(len(read))] and table.column("end_ms")[-1].as_py() == len(mel) * 16
+
+
+def test_log_mel_and_segments_by_their_definitions():
+    own, rng = AudioFeatures(), np.random.default_rng(4)
+    samples = (rng.normal(size=5000) * np.repeat([0.001, 0.5, 0.001, 0.01, 0.7], 1000)).astype(np.float32)
+    mel = own.log_mel(samples)
+    assert len(mel) == 1 + -(-(5000 - 256) // 128)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edge = [hz(2595 * np.log10(1 + 4000 / 700) * k / 33) for k in range(34)]
+    for t in (0, 17, len(mel) - 1):
+        frame = np.zeros(256)
+        part = samples[t * 128 : t * 128 + 256]
+        frame[: len(part)] = part
+        frame *= [0.5 - 0.5 * np.cos(2 * np.pi * k / 256) for k in range(256)]
+        power = [abs(sum(frame * np.exp(-2j * np.pi * b * np.arange(256) / 256))) ** 2 for b in range(129)]
+        for m in (0, 5, 31):
+            low, mid, high = edge[m : m + 3]
+            weight = [max(0, min((b * 8000 / 256 - low) / (mid - low), (high - b * 8000 / 256) / (high - mid))) for b in range(129)]
+            assert mel[t, m] == pytest.approx(10 * np.log10(np.dot(weight, power) + 1e-6), abs=0.02)
+    energy = mel.mean(axis=1)
+    floor, runs, begin, active = np.sort(energy)[len(energy) // 10], [], 0, False
+    for t, e in enumerate(energy):
+        if not active and e >= floor + 6:
+            active, begin = True, t
+        elif active and e < floor + 3:
+            active = False
+            runs.append((begin, t))
+    runs += [(begin, len(energy))] if active else []
+    assert own.segments(mel).tolist() == [list(r) for r in runs if r[1] - r[0] >= 3] and len(runs) >= 2
 
 
 def test_stored_bytes(spark):

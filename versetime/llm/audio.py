@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -152,17 +153,51 @@ class AudioFeatures:
     def tensors(self, log_mel: np.ndarray) -> np.ndarray:
         """The frames as tensors of one shape, the last filled up with the floor of the scale."""
         n = -(-len(log_mel) // self.frames)
-        out = np.full((n * self.frames, self.mels), -60, np.float32)
+        out = np.full((n * self.frames, self.mels), -60, np.float16)
         out[: len(log_mel)] = log_mel
         return out.reshape(n, self.frames, self.mels)
 
     def tensor_type(self) -> pa.DataType:
-        return pa.fixed_shape_tensor(pa.float32(), (self.frames, self.mels), dim_names=("frame", "mel"))
+        return pa.fixed_shape_tensor(pa.float16(), (self.frames, self.mels), dim_names=("frame", "mel"))
+
+    def stored(self, log_mel: np.ndarray) -> bytes:
+        """An Arrow stream of the tensors, fixed in shape, with the time span of each."""
+        tensors = self.tensors(log_mel)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), self.frames * self.mels)
+        first = np.arange(0, len(log_mel), self.frames)
+        ms = lambda frame: pa.array(frame * self.hop * 1000 // self.rate, pa.int64())
+        batch = pa.record_batch({
+            "tensor": pa.ExtensionArray.from_storage(self.tensor_type(), flat), "start_ms": ms(first), "end_ms": ms(np.minimum(first + self.frames, len(log_mel))),
+        })
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+
+def stored_tensors(content: bytes | pa.Buffer) -> pa.Table:
+    """``(tensor, start_ms, end_ms)`` of stored tensors; ``tensor`` is an Arrow array of fixed-shape tensors."""
+    return pa.ipc.open_stream(content).read_all()
+
+
+def tensor_digest(tensors: Column) -> Column:
+    """Number of stored tensors, end of the last span and md5 of shape, values and spans, as they are read back."""
+
+    @F.arrow_udf("string")
+    def of(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            if not row.is_valid:
+                out.append(None)
+                continue
+            own = stored_tensors(row.as_buffer()).combine_chunks()
+            values = own.column("tensor").chunk(0).to_numpy_ndarray()
+            spans = [own.column(c).to_numpy() for c in ("start_ms", "end_ms")]
+            code = hashlib.md5(repr(values.shape).encode() + np.ascontiguousarray(values).tobytes() + spans[0].tobytes() + spans[1].tobytes())
+            out.append(f"{len(values)}:{spans[1][-1]}:{code.hexdigest()}")
+        return pa.array(out, pa.string())
 
-    def tensor_array(self, tensors: bytes) -> pa.Array:
-        """The stored bytes of one audio's tensors as an Arrow array of fixed-shape tensors."""
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(tensors, "<f4")), self.frames * self.mels)
-        return pa.ExtensionArray.from_storage(self.tensor_type(), flat)
+    return of(tensors)
 
 
 _SPAN = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
@@ -175,36 +210,34 @@ def _spans(first: np.ndarray, end: np.ndarray, settings: AudioFeatures) -> list[
 
 def _analysed(batches: Iterator[pa.RecordBatch], settings: AudioFeatures) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, tensors, spans, active = [], [], [], []
+        counts, tensors, active = [], [], []
         for media in batch.column("media"):
             if not media.is_valid:
-                for out in (counts, tensors, spans, active):
+                for out in (counts, tensors, active):
                     out.append(None)
                 continue
             rate, samples = read_wav(media.as_buffer())
             log_mel = settings.log_mel(settings.resampled(samples, rate))
-            first = np.arange(0, len(log_mel), settings.frames)
             found = settings.segments(log_mel)
             counts.append(len(log_mel))
-            tensors.append(settings.tensors(log_mel).tobytes())
-            spans.append(_spans(first, np.minimum(first + settings.frames, len(log_mel)), settings))
+            tensors.append(settings.stored(log_mel))
             active.append(_spans(found[:, 0], found[:, 1], settings))
         kept = {c: batch.column(c) for c in batch.schema.names if c != "media"}
         yield pa.record_batch(kept | {
             "n_frames": pa.array(counts, pa.int64()), "tensors": pa.array(tensors, pa.binary()),
-            "spans": pa.array(spans, pa.list_(_SPAN)), "segments": pa.array(active, pa.list_(_SPAN)),
+            "segments": pa.array(active, pa.list_(_SPAN)),
         })
 
 
 def audio_features(audio: DataFrame, settings: AudioFeatures = AudioFeatures()) -> DataFrame:  # noqa: B008
     """Features of the WAV files in the column ``media``, which they replace; other columns stay.
 
-    ``tensors`` are the bytes of log-mel tensors of one shape (see :meth:`AudioFeatures.tensor_array`), with
-    a time span for each in ``spans``; ``segments`` are the spans of activity; ``n_frames`` counts frames.
+    ``tensors`` are Arrow streams of log-mel tensors of one shape, with the time span of each (see
+    :func:`stored_tensors`); ``segments`` are the spans of activity; ``n_frames`` counts frames.
     Null media give nulls; an empty table gives no rows; every row stands alone, so equal audio has equal
     features.  Columns named as an output are replaced.
     """
-    outputs = "n_frames long, tensors binary, spans array<struct<start_ms:long,end_ms:long>>, segments array<struct<start_ms:long,end_ms:long>>"
-    rows = audio.drop("n_frames", "tensors", "spans", "segments")
+    outputs = "n_frames long, tensors binary, segments array<struct<start_ms:long,end_ms:long>>"
+    rows = audio.drop("n_frames", "tensors", "segments")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "media")
     return rows.mapInArrow(lambda own: _analysed(own, settings), f"{kept}, {outputs}" if kept else outputs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetime.llm import licences
-from versetime.llm.audio import PAD_TO, audio_features, padded, wav, wav_payload
+from versetime.llm.audio import PAD_TO, audio_features, padded, tensor_digest, wav, wav_payload
 from versetime.llm.chat import answer_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
@@ -93,7 +93,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_audio(docs: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Store each text's bytes as 8-bit audio, read the stored bytes back and compute features from them."""
+    """Store each text's bytes as 8-bit audio, read them back, and store their features; what comes out is read from both.
+
+    Null texts are empty; rows with a null id and repeated rows are each returned; an empty table gives no rows;
+    other columns are not read.
+    """
     text = F.encode("text", "UTF-8")
     stored = staged(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), wav(padded(text), rate).alias("media")), "audio")
     payload = wav_payload(F.col("media"))
@@ -103,8 +107,9 @@ def stored_audio(docs: DataFrame, rate: int = 16_000) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media",
     )
     active = F.expr("aggregate(segments, 0L, (n, x) -> n + x.end_ms - x.start_ms)")
-    feature = F.concat_ws(":", "n_frames", F.size("spans"), F.size("segments"), active, F.md5("tensors"))
-    return audio_features(measured).select(*(c for c in measured.columns if c != "media"), feature.alias("feature"))
+    found = staged(audio_features(measured), "audio-features")
+    feature = F.concat_ws(":", "n_frames", F.size("segments"), active, tensor_digest(F.col("tensors")))
+    return found.select(*(c for c in measured.columns if c != "media"), feature.alias("feature"))
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
