@@ -61,3 +61,11 @@ def test_segments_are_written(spark, tmp_path):
     warc.write_warc(df, str(tmp_path / "w"), segment_bytes=64)
     row = warc.read_warc(spark, str(tmp_path / "w")).first()
     assert row.whole and bytes(row.payload) == b"q" * 1000
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    df = spark.range(300, numPartitions=2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("q"), (F.col("id") % 50).cast("int") * 10).alias("html"))
+    warc.write_warc(df, str(tmp_path / "w"), archive_records=20, segment_bytes=128)
+    assert len(list((tmp_path / "w").glob("part-*"))) > 15
+    rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in rows) == list(range(300)) and all(r.whole or r.kind == "revisit" for r in rows)

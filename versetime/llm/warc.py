@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versetime.llm.common import staged
+
 #: Bytes of a record's block in one segment, of one chunk of the transfer framing, and of records that a task
 #: returns at once or reads from a compressed file at once.
 SEGMENT_BYTES, CHUNK_BYTES, BATCH_BYTES = 64 << 10, 8 << 10, 4 << 20
+#: Records of one archive at most: with their segments' bound, 512 MiB before compression.
+ARCHIVE_RECORDS = 8192
 #: Equal payloads of fewer bytes are not referred to.
 LEAST_REVISIT_BYTES = 100
 #: Field for the number of the page that a record holds, and of that which a revisit refers to.
@@ -108,22 +112,26 @@ def _written(batches: Iterator[pa.RecordBatch], segment_bytes: int, date: str) -
 
 def write_warc(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    segment_bytes: int = SEGMENT_BYTES, least_revisit_bytes: int = LEAST_REVISIT_BYTES, date: str = "2020-01-01T00:00:00Z",
+    segment_bytes: int = SEGMENT_BYTES, least_revisit_bytes: int = LEAST_REVISIT_BYTES, date: str = "2020-01-01T00:00:00Z", archive_records: int = ARCHIVE_RECORDS,
 ) -> None:
-    """Write one record per page, or several segments, to gzip archives in ``path``.
+    """Write one record per page, or several segments, to gzip archives in ``path``, at most ``archive_records`` each.
 
     Of pages with equal payloads of at least ``least_revisit_bytes``, that with the smallest id is a response
     and the others revisit it.  Null markup is an empty payload; a null id or url leaves out its field; pages
     with a null id, and all that share the smallest id, are responses; repeated rows are each written; an
     empty table leaves no archive.  Other columns are not read.
+
+    Which digests repeat is a narrow table that is written first, so Spark knows its size: a small one is
+    broadcast and pages are written where they are read; only beyond the threshold are pages shuffled by digest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least_revisit_bytes
-    first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = staged(repeated, "repeated-digests")
     rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     records = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda own: _written(own, segment_bytes, date), "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
 class _Stream:
