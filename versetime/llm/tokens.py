@@ -33,6 +33,8 @@ BLOCK_IDS = 1 << 16
 #: Units whose ids an encoder remembers in each of two generations, characters of a text encoded at once, and
 #: bytes of ids in a batch that a task returns.
 REMEMBERED, SLICE_CHARS, BATCH_BYTES = 300_000, 1 << 18, 4 << 20
+#: Bytes of text in a file, on average, at most.
+FILE_BYTES = 128 << 20
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -214,15 +216,18 @@ def _sections(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bi
         yield out([index + TRAILER.pack(BLOCK_IDS, len(offsets), len(ids), total, MAGIC)])
 
 
-def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending order of id to files in ``path``.
 
     Rows are dealt out by ranges of the id (and of a hash of the text, so that an id that repeats very often
-    does not fill one file), one file a range.  Null texts are empty (one end id); null ids come first;
+    does not fill one file), one file a range, as many as the session's shuffles have partitions or, for more text,
+    one for each ``file_bytes``.  Null texts are empty (one end id); null ids come first;
     repeated rows are each written; an empty table leaves no files.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // file_bytes))
+    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     bits = bits_needed(vocabulary)
     sections = ranged.select("doc_id", "text").mapInArrow(lambda own: _sections(own, tokenizer, end_id, bits), "section binary")
     sections.select(F.col("section").cast("string")).write.text(path)
