@@ -1,6 +1,8 @@
 import string
 from collections import Counter
 
+import numpy as np
+
 from versetime.llm import decontaminate as D
 from versetime.llm.queries import op2_decontamination
 
@@ -80,5 +82,39 @@ def test_short_items_and_odd_rows(spark):
 
 def test_blocks_of_items(spark):
     items = spark.createDataFrame([(i, f"text number {i} of the whole set") for i in range(40)], "item_id long, text string")
-    own = [b.ids for b in D.item_blocks(items, item_bytes=300)]
+    own = [read().ids for read in D.item_blocks(items, item_bytes=300)]
     assert len(own) > 2 and sorted(sum(own, [])) == list(range(40))
+    df = spark.createDataFrame([(k, f"so text number {k} of the whole set is", "z") for k in range(0, 80, 2)] + [(7, "nothing of the kind", None), (None, None, "n")], "doc_id long, text string, number string")
+    found = lambda **more: sorted((r.doc_id, r.item_id) for r in D.contamination(df, items, **more).collect())
+    assert found(item_bytes=300) == found() == [(k, k) for k in range(0, 40, 2)]
+    kept = lambda **more: sorted(map(str, D.clean(df, items, **more).collect()))
+    assert kept(item_bytes=300) == kept() and len(kept()) == 22
+
+
+def test_recall_by_length_of_the_item(spark):
+    """Copies with words replaced, for items of all lengths, against every window; pairs that are missed are counted."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for n in [*range(5, 26), 30, 40, 50, 75, 100, 150]:
+        for k in range(4):
+            own = [f"w{x}" for x in rng.integers(0, 3000, n)]
+            items.append((len(items), " ".join(own)))
+            for edits in range(4):
+                new = list(own)
+                for at in rng.choice(n, min(n, edits), replace=False):
+                    new[rng.choice([0, n - 1, at])] = f"e{at}"
+                docs.append((len(docs), " ".join([*(f"f{k}{i}" for i in range(k)), *new, "end"])))
+    found = {(r.doc_id, r.item_id) for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = best_windows(docs, items).keys()
+    missed = Counter(len(items[i][1].split()) for _, i in want - found)
+    print("pairs", len(want), "missed by length", dict(missed))
+    assert found <= want and len(found) >= 0.999 * len(want)
+
+
+def test_text_that_repeats_an_item(monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    items = D.Items(list(range(50)), [item] + [f"{item} more {k}" for k in range(49)])
+    whole = items.search((item + " ") * 300)
+    assert [x[0] for x in whole] == list(range(50))[: len(whole)] and whole[0][1:4] == (1.0, 0, 10)
+    monkeypatch.setattr(D, "PAIRS", 100)
+    assert items.search((item + " ") * 300) == whole

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a shingle, least similarity, and bits that fingerprints may differ in.  Windows of similarity 0.8
-#: differ in ten bits on average with a deviation of three, so that 23 bits leave none out in practice.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
+from versetime.llm.common import staged
+
+#: Words of a shingle, least similarity, and bits that fingerprints may differ in.  At similarity 0.8 at most one in nine
+#: shingles of a window differs from the item's, and fingerprints in ten bits on average with a deviation of three, so that
+#: 23 bits leave none out in practice (see the tests for recall by length).  Items of fewer than nine shingles must agree.
+SHINGLE, SIMILARITY, RADIUS, EXACT_SHINGLES = 5, 0.8, 23, 9
 #: Blocks of a fingerprint: of those within the radius one block differs in RADIUS // BLOCKS bits or fewer.
 BLOCKS = 8
 #: Bytes of benchmark text that are broadcast at once; more take more passes.
 ITEM_BYTES = 8 << 20
-#: Characters of a text that are split into words at once.
-PIECE_CHARS = 1 << 20
+#: Characters of a text that are split into words at once, and pairs of windows and items that are looked up at once.
+PIECE_CHARS, PAIRS = 1 << 20, 1 << 20
 
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,21 +87,32 @@ class Items:
         self.hashes = [shingle_hashes(w, min(SHINGLE, len(w))) for w in self.words]
         self.counts = [Counter(h.tolist()) for h in self.hashes]
         self.prints = np.array([window_fingerprints(h, np.zeros(1, np.int64), len(h))[0] for h in self.hashes], np.uint64)
-        # Which items have a shingle, and a table that rules out most others at sight, for each shingle size.
-        self.holders: dict[int, dict[int, list[int]]] = {}
-        for k, (w, h) in enumerate(zip(self.words, self.hashes, strict=True)):
-            own = self.holders.setdefault(min(SHINGLE, len(w)), {})
+        # Lengths of the items that have a shingle, and a table that rules out most others at sight, for each shingle size.
+        self.lengths: dict[int, dict[int, set[int]]] = {}
+        for w, h in zip(self.words, self.hashes, strict=True):
+            own = self.lengths.setdefault(min(SHINGLE, len(w)), {})
             for x in set(h.tolist()):
-                own.setdefault(x, []).append(k)
+                own.setdefault(x, set()).add(len(w))
         numbers: dict[bytes, int] = {}
         for w in self.words:
             for x in w:
                 numbers.setdefault(x, len(numbers) + 1)
         self.numbers = numbers
-        self.runs = {s: self._runs(s) for s in self.holders}
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
+        self.runs = {s: self._runs(s) for s in self.lengths}
+        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
         #: For each size, block and value of a block: the items whose block is near enough.
-        self.index = {s: [near[:, (self.prints[k] >> np.uint64(8 * b)).astype(np.uint8)] for b in range(BLOCKS)] for s, k in self.sizes.items()}
+        self.index = {
+            s: [apart[:, (self.prints[k] >> np.uint64(8 * b)).astype(np.uint8)] <= self.radius_of(s, s) // BLOCKS for b in range(BLOCKS)] for s, k in self.sizes.items()
+        }
+
+    def radius_of(self, size: int, width: int) -> int:
+        """Bits that the fingerprints of an item of ``size`` words and of a window of ``width`` may differ in.
+
+        A text shorter than the item is one window, which is always verified.
+        """
+        if width < size:
+            return 64
+        return 0 if size - SHINGLE + 1 < EXACT_SHINGLES else self.radius
 
     def _run_keys(self, numbers: np.ndarray, size: int) -> np.ndarray:
         n = max(0, len(numbers) - size + 1)
@@ -139,29 +154,37 @@ class Items:
         low = max(0, int(at[0]) - self.longest)
         high = min(len(words), int(at[-1]) + size + self.longest)
         hashes = shingle_hashes(words[low:high], size)
-        starts: dict[int, list[np.ndarray]] = {}
-        for p in at.tolist():
-            for k in self.holders[size].get(int(hashes[p - low]), ()):
-                n = len(self.words[k])
-                width = min(n, len(words))  # a text shorter than the item is one window
-                starts.setdefault(n, []).append(np.arange(max(0, p + size - width), min(p, len(words) - width) + 1))
-        for n, found in starts.items():
-            width = min(n, len(words))
-            own = np.unique(np.concatenate(found)) - low
-            count = width - size + 1
-            prints = window_fingerprints(hashes, own, count)
-            items = self.sizes[n]
-            near = np.zeros((len(own), len(items)), bool)
-            for b in range(BLOCKS):
+        places: dict[int, list[int]] = {}
+        get = self.lengths[size].get
+        for p, shingle in zip(at.tolist(), hashes[at - low].tolist(), strict=True):
+            for n in get(shingle, ()):
+                places.setdefault(n, []).append(p)
+        for n, own in places.items():
+            width = min(n, len(words))  # a text shorter than the item is one window
+            # Windows that hold one of the places: each opens a run of starts.
+            p = np.array(own)
+            edges = np.zeros(len(words) + 2, np.int32)
+            np.add.at(edges, np.maximum(0, p + size - width), 1)
+            np.add.at(edges, np.minimum(p, len(words) - width) + 1, -1)
+            self._verified(hashes, np.flatnonzero(np.cumsum(edges) > 0) - low, low, before, n, width, width - size + 1, best)
+
+    def _verified(self, hashes: np.ndarray, starts: np.ndarray, low: int, before: int, n: int, width: int, count: int, best: dict) -> None:
+        """Keep the best of the windows from ``starts`` for each item of n words, in blocks of bounded size."""
+        items, radius = self.sizes[n], self.radius_of(n, width)
+        for begin in range(0, len(starts), max(1, PAIRS // len(items))):
+            own = starts[begin : begin + max(1, PAIRS // len(items))]
+            first = int(own[0])
+            prints = window_fingerprints(hashes[first : int(own[-1]) + count], own - first, count)
+            near = np.full((len(own), len(items)), radius >= 64)
+            for b in range(0 if radius >= 64 else BLOCKS):
                 near |= self.index[n][b][(prints >> np.uint64(8 * b)).astype(np.uint8)]
-            for w, i in np.argwhere(near):
-                k, bits = int(items[i]), int(np.bitwise_count(prints[w] ^ self.prints[items[i]]))
-                if bits > self.radius:
-                    continue
-                seen = Counter(hashes[own[w] : own[w] + count].tolist())
-                both = (seen & self.counts[k]).total()
+            w, i = np.nonzero(near)
+            bits = np.bitwise_count(prints[w] ^ self.prints[items[i]])
+            for w, i, apart in zip(*(x[bits <= radius].tolist() for x in (w, i, bits)), strict=True):  # noqa: B020
+                k, at = int(items[i]), int(own[w])
+                both = (Counter(hashes[at : at + count].tolist()) & self.counts[k]).total()
                 score = both / (count + len(self.hashes[k]) - both)
-                rank = (-score, before + low + int(own[w]), width, bits)
+                rank = (-score, before + low + at, width, apart)
                 if score >= self.similarity and (k not in best or rank < best[k]):
                     best[k] = rank
 
@@ -178,41 +201,62 @@ def found_items(shared) -> object:
     return of
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> Iterator[Items]:
-    """The benchmark as blocks of at most about ``item_bytes``, each small enough to be broadcast."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> list[Callable[[], Items]]:
+    """The benchmark as blocks of at most about ``item_bytes``, each small enough to be broadcast, read when called."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // item_bytes))
-    for k in range(blocks):
+
+    def read(k: int) -> Items:
         own = rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).sort("item_id", "text").toArrow()
-        yield Items(own.column("item_id").to_pylist(), own.column("text").to_pylist())
+        return Items(own.column("item_id").to_pylist(), own.column("text").to_pylist())
+
+    return [partial(read, k) for k in range(blocks)]
+
+
+def _each_block(rows: DataFrame, blocks: list[Callable[[], Items]], use: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """``use(rows, column function)`` of each block, put together; one block is broadcast at a time."""
+    share, out = rows.sparkSession.sparkContext.broadcast, None
+    for read in blocks:
+        shared = share(read())
+        own = use(rows, found_items(shared))
+        if len(blocks) > 1:
+            own = staged(own, "found")
+            shared.unpersist()
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, n_words, hamming)``: the best window for each item a document holds.
 
     A window has as many words as the item (all words of a shorter text) and at least one of its shingles,
     without which no similarity is possible.  Its SimHash is looked up in blocks of the items' fingerprints:
-    every item within ``RADIUS`` bits agrees in some block up to a few bits.  Those are verified by the exact
-    weighted Jaccard similarity of five-word shingles, a shingle's weight being how often it occurs; shorter
+    every item within the radius (:meth:`Items.radius_of`) agrees in some block up to a few bits.  Those are verified
+    by the exact weighted Jaccard similarity of five-word shingles, a shingle's weight being how often it occurs; shorter
     items are one shingle.
 
-    The documents are never shuffled; the benchmark is broadcast in blocks of bounded size.  Null and empty
+    The documents are never shuffled; the benchmark is broadcast in blocks of bounded size, and where it has several,
+    what one finds is written before the next is sent.  Null and empty
     texts hold nothing; items that are null or have no words are never found; repeated rows, and items that
-    repeat, are each returned; of equal windows the first counts; other columns are not read.
+    repeat, are each returned; of equal windows the first counts; an empty table gives no rows; other columns are
+    not read; item ids must be whole numbers.
     """
-    share, out = docs.sparkSession.sparkContext.broadcast, None
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    for items in item_blocks(benchmark):
-        own = rows.select("doc_id", F.explode(found_items(share(items))("text")).alias("found")).select("doc_id", "found.*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    use = lambda own, found: own.select("doc_id", F.explode(found("text")).alias("found")).select("doc_id", "found.*")
+    return _each_block(rows, item_blocks(benchmark, item_bytes=item_bytes), use)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no item of the benchmark."""
-    share = docs.sparkSession.sparkContext.broadcast
-    for items in item_blocks(benchmark):
-        docs = docs.where(F.size(found_items(share(items))(F.col(text_col))) == 0)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no item of the benchmark.
 
+    With one block of items that is a filter.  With more, rows are written with a number first, and the numbers of
+    those that hold an item are taken away at the end.
+    """
+    blocks = item_blocks(benchmark, item_bytes=item_bytes)
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks[0]())
+        return docs.where(F.size(found_items(shared)(F.col(text_col))) == 0)
+    rows = staged(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")), "numbered")
+    holding = _each_block(rows.select("number", "text"), blocks, lambda own, found: own.where(F.size(found("text")) > 0).select("number"))
+    return rows.join(holding.distinct(), "number", "left_anti").select("row.*")
