@@ -38,12 +38,14 @@ def trigram_counts(text: str) -> np.ndarray:
     """Hashed counts of the byte trigrams of a text's letters; all else is one space."""
     out = np.zeros(BUCKETS, np.int64)
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    tail, before = np.array([32], np.uint32), 0
     for at in range(0, len(data), BLOCK_BYTES):
-        own = _LETTERS[data[at : at + BLOCK_BYTES + 2]]
-        own = own[np.concatenate([[True], (own[1:] != 32) | (own[:-1] != 32)])] if len(own) else own
-        own = np.concatenate([[32], own, [32]]).astype(np.uint32) if at == 0 else own.astype(np.uint32)
+        raw = _LETTERS[data[at : at + BLOCK_BYTES]]
+        once = (raw != 32) | (np.concatenate([[before], raw[:-1]]) != 32)
+        own = np.concatenate([tail, raw[once], [32] if at + BLOCK_BYTES >= len(data) else []]).astype(np.uint32)
         key = ((own[:-2] << 16 | own[1:-1] << 8 | own[2:]) * np.uint32(2654435761)) >> np.uint32(18)
         out += np.bincount(key[(own[1:-1] != 32) | (own[:-2] != 32)], minlength=BUCKETS)
+        tail, before = own[-2:], raw[-1]
     return out
 
 
@@ -149,12 +151,11 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     ``host_prior`` have it last.  A text without letters (null and empty ones too) is ``und``, with posterior zero;
     other rows are accepted from posterior ``LEAST_POSTERIOR``.  Null declarations and hosts are no evidence; ties
     go to the first language of the model; repeated rows count as often as they occur; an empty table gives
-    no rows.
+    no rows.  A ``keep`` column named as an output is replaced; other columns are not read.
     """
     languages, share = (*model.languages, UNKNOWN), rows.sparkSession.sparkContext.broadcast
     n = len(languages)
-    kept = [F.col(c) for c in keep]
-    own = rows.select(*kept, text.alias("_text"), F.nullif(primary_language(declared), F.lit("")).alias("_declared"), F.lower(host).alias("_host"))
+    own = rows.select(F.struct(*keep).alias("_keep"), text.alias("_text"), F.nullif(primary_language(declared), F.lit("")).alias("_declared"), F.lower(host).alias("_host"))
     own = staged(own.withColumn("_likelihood", text_evidence(share(model))("_text")).drop("_text"), "evidence")
     own = own.withColumns({f"_p{i}": F.col("_likelihood")[n + i] for i in range(n)} | {"_domain": F.substring_index("_host", ".", -2)})
     known = own.where("_likelihood is not null")
@@ -196,9 +197,10 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     best = 1 / F.aggregate("_fused", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_top")))
     names = F.array(*(F.lit(x) for x in languages))
     known_row = F.col("_likelihood").isNotNull()
-    return out.select(
-        *kept, F.when(known_row, names[F.array_position("_fused", F.col("_top")).cast("int") - 1]).otherwise(UNKNOWN).alias("language"),
-        F.when(known_row, best).otherwise(0.0).alias("posterior"), F.coalesce(known_row & (best >= LEAST_POSTERIOR) & (F.col("_fused")[n - 1] < F.col("_top")), F.lit(False)).alias("accepted"),
-        F.array(*(F.col(f"_p{i}") for i in range(n))).alias("text_posterior"), F.col("_declared").alias("declared"),
-        F.nullif(country, F.lit("")).alias("suffix_language"), F.array(*(F.col(f"_prior{i}") for i in range(n))).alias("host_prior"),
-    )
+    found = {
+        "language": F.when(known_row, names[F.array_position("_fused", F.col("_top")).cast("int") - 1]).otherwise(UNKNOWN), "posterior": F.when(known_row, best).otherwise(0.0),
+        "accepted": F.coalesce(known_row & (best >= LEAST_POSTERIOR) & (F.col("_fused")[n - 1] < F.col("_top")), F.lit(False)),
+        "text_posterior": F.array(*(F.col(f"_p{i}") for i in range(n))), "declared": F.col("_declared"), "suffix_language": F.nullif(country, F.lit("")),
+        "host_prior": F.array(*(F.col(f"_prior{i}") for i in range(n))),
+    }
+    return out.select(*(F.col(f"_keep.`{c}`") for c in keep if c not in found), *(value.alias(c) for c, value in found.items()))
