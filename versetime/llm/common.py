@@ -12,10 +12,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where neither that setting nor a checkpoint
-    folder exists, as in local tests, a temporary folder is made and set.
+    folder exists and all runs in one process, as in tests, a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="versetime-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

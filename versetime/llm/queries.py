@@ -52,7 +52,7 @@ DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN right(source, 1) IN ('1',
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(read_table(spark, sf_dir, "documents"), F.expr(DOMAIN), WEIGHTS)
+    mixed = mix(read_table(spark, sf_dir, "documents"), F.expr(DOMAIN), WEIGHTS, keep=["doc_id"])
     return mixed.select("doc_id", "domain", "language", "origin", "n_tokens", "epoch")
 
 
