@@ -103,12 +103,12 @@ def matched_positions(reference: Column, transcript: Column) -> Column:
     return of(reference, transcript)
 
 
-def alignment_status(reference_words: str, transcript_words: str) -> Column:
+def alignment_status(reference_words: str, transcript_words: str, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS) -> Column:
     """Why a text cannot be aligned, or ``ok``; by the sizes of both sides."""
     r, t = F.col(reference_words), F.col(transcript_words)
     return (
-        F.when(r == 0, "no words in the text").when(r > REFERENCE_WORDS, "text too long").when(t == 0, "no words in the transcript")
-        .when(t > TRANSCRIPT_WORDS, "transcript too long").otherwise("ok")
+        F.when(r == 0, "no words in the text").when(r > most_reference, "text too long").when(t == 0, "no words in the transcript")
+        .when(t > most_transcript, "transcript too long").otherwise("ok")
     )
 
 
@@ -117,12 +117,13 @@ def filled_gaps(words: DataFrame, key: str = "track_id", order: str = "pos") ->
 
     A matched word keeps its time.  Others share the time between the matches around them, before the first,
     after the last (``TRAILING_WORD_MS`` each at least) or, without any match, the whole.  Positions count
-    from zero.  Every word lasts ``WORD_MS``.  One partitioning and order serves both directions.
+    from zero.  Every word lasts ``WORD_MS``.  One partitioning serves both directions, each a running value.
     """
     track = Window.partitionBy(key).orderBy(order)
-    before, after = track.rowsBetween(Window.unboundedPreceding, -1), track.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(key).orderBy(F.desc(order))
+    before, after = (way.rowsBetween(Window.unboundedPreceding, -1) for way in (track, back))
     hit = F.when(F.col("match_start").isNotNull(), F.struct(F.col(order).cast("long").alias("at"), "match_start", "match_end"))
-    rows = words.withColumn("_p", F.last(hit, ignorenulls=True).over(before)).withColumn("_n", F.first(hit, ignorenulls=True).over(after))
+    rows = words.withColumn("_p", F.last(hit, ignorenulls=True).over(before)).withColumn("_n", F.last(hit, ignorenulls=True).over(after))
     i = f"cast({order} as bigint)"
     rows = rows.withColumns({
         "_low": F.expr("case when _p is not null then _p.match_end else 0L end"),

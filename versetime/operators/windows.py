@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versetime.functions.text import LINE_BREAK, clock_ms, normalized, trimmed
@@ -94,14 +94,18 @@ def accepted_segments(segments: Iterable[tuple[int, str]], kept: list[tuple[int,
 def without_repeats(segments: DataFrame, key: str = "track_id", order: list[str] | None = None) -> DataFrame:
     """Segments ``(track_id, …, text, start_ms, …)`` without repeats, in time order within each track.
 
-    Each accepted segment changes what the next is compared with, so a track is walked in order; of equal
-    starts ``order`` decides.  One track, a recording, is what a task holds at once.
+    Each accepted segment changes what the next is compared with, so a stretch of a track is walked in order; of
+    equal starts ``order`` decides.  A track is cut where a segment starts ``REPEAT_MS`` or more after the one
+    before it, as no repeat reaches across.  One stretch is what a task holds at once.
     """
-    ranked = segments.withColumn("_norm", normalized(F.col("text")))
     by = ["start_ms", *(order or [])]
+    track = Window.partitionBy(key).orderBy(*by)
+    cut = F.when(F.col("start_ms") - F.lag("start_ms").over(track) >= REPEAT_MS, 1).otherwise(0)
+    ranked = segments.withColumns({"_norm": normalized(F.col("text")), "_cut": cut})
+    ranked = ranked.withColumn("_stretch", F.sum("_cut").over(track.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(by, kind="stable")
-        return own[list(accepted_segments(zip(own["start_ms"], own["_norm"], strict=True)))].drop(columns="_norm")
+        return own[list(accepted_segments(zip(own["start_ms"], own["_norm"], strict=True)))].drop(columns=["_norm", "_stretch"])
 
-    return ranked.groupBy(key).applyInPandas(keep, segments.schema)
+    return ranked.groupBy(key, "_stretch").applyInPandas(keep, segments.schema)

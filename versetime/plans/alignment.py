@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import is_blank, normalized, visible_tokens
-from versetime.operators.align import aligned_lines, alignment_status, filled_gaps, matched_positions
+from versetime.operators.align import REFERENCE_WORDS, TRANSCRIPT_WORDS, aligned_lines, alignment_status, filled_gaps, matched_positions
 from versetime.operators.lrc import line_rows, lrc_lines, timed_alignment, word_rows
 from versetime.operators.words import WORD_MS, line_numbers, reference_lines, segment_words
 
@@ -27,7 +27,7 @@ def transcript_words(words: DataFrame) -> DataFrame:
     return rows.withColumn("matched", F.lit(True)).select(*WORD_COLUMNS)
 
 
-def plain_words(tracks: DataFrame, words: DataFrame) -> DataFrame:
+def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS) -> DataFrame:
     """``(…words of the text…, status)`` of tracks ``(track_id, text, audio_ms, transcript_ms)`` against their transcript.
 
     Each side is one array a track, at most a few thousand words by the limits of ``alignment_status``, which
@@ -37,7 +37,7 @@ def plain_words(tracks: DataFrame, words: DataFrame) -> DataFrame:
     spoken = words.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_ms", "end_ms"))).alias("spoken"))
     rows = tracks.select("track_id", "audio_ms", "transcript_ms", tokens.alias("tokens")).join(spoken, "track_id", "left")
     rows = rows.withColumn("spoken", F.coalesce("spoken", F.array().cast("array<struct<ord:bigint,text:string,start_ms:bigint,end_ms:bigint>>")))
-    rows = rows.withColumns({"r": F.size("tokens"), "t": F.size("spoken")}).withColumn("status", alignment_status("r", "t"))
+    rows = rows.withColumns({"r": F.size("tokens"), "t": F.size("spoken")}).withColumn("status", alignment_status("r", "t", most_reference, most_transcript))
     norm = lambda c: F.when(F.col("status") == "ok", F.transform(c, lambda w: normalized(w["text"])))
     rows = rows.withColumn("mapping", matched_positions(norm("tokens"), norm("spoken")))
     end = F.greatest(F.col("audio_ms"), F.coalesce("transcript_ms", F.lit(0)), F.element_at("spoken", -1)["end_ms"])

@@ -187,11 +187,12 @@ SELECT a, b FROM a JOIN b ON a <> '' AND b <> '' AND CASE WHEN starts_with(a, b)
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's first turn as text, its second as transcript."""
-    rows = _segments(spark, sf_dir).withColumnRenamed("conv_id", "track_id")
-    texts = rows.where("turn = 0").select("track_id", "text", F.lit(0).cast("long").alias("audio_ms"), F.lit(18_000).cast("long").alias("transcript_ms"))
-    spoken = words.segment_words(rows.where("turn = 1").drop("turn")).withColumn("ord", F.col("word_no").cast("long"))
-    return alignment.plain_words(texts, spoken)
+    """Every turn of even number as a text, the turn after it as its transcript."""
+    rows = _segments(spark, sf_dir).withColumn("track_id", F.expr("conv_id * 1000 + turn - turn % 2"))
+    spoken = rows.where("turn % 2 = 1")
+    texts = rows.where("turn % 2 = 0").select("track_id", "text", F.lit(0).cast("long").alias("audio_ms")).join(spoken.select("track_id", F.col("end_ms").alias("transcript_ms")), "track_id", "left")
+    heard = words.segment_words(spoken.select("track_id", "text", "start_ms", "end_ms")).withColumn("ord", F.col("word_no").cast("long"))
+    return alignment.plain_words(texts, heard)
 
 
 def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +203,47 @@ def align_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_summary(align.aligned_lines(_aligned(spark, sf_dir).where("status = 'ok'")))
 
 
+_COST = rf"""CASE WHEN {{a}} = {{b}} THEN 0 WHEN {{a}} = '' OR {{b}} = '' THEN 2 WHEN starts_with({{a}}, {{b}}) OR starts_with({{b}}, {{a}}) THEN CASE WHEN least(length({{a}}), length({{b}})) >= 4 THEN 1 ELSE 2 END
+  WHEN abs(length({{a}}) - length({{b}})) > 1 OR greatest(length({{a}}), length({{b}})) > 12 OR least(length({{a}}), length({{b}})) < 4 THEN 2 WHEN levenshtein({_BYTES.format('{a}')}, {_BYTES.format('{b}')}) <= 1 THEN 1 ELSE 2 END"""
+
+#: The alignment in SQL: edit distances row by row, the way back from the end, then times for what has no match.
+_ALIGN_SQL = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS track_id,
+  list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: {_TRIM.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^\s*\[[^\]]+\]\s*$') AND regexp_matches(x, '\S')) AS lines FROM conversations),
+ls AS (SELECT track_id, lines, unnest(range(len(lines))) AS l FROM c WHERE turn % 2 = 0),
+tk AS (SELECT track_id, l AS line_no, regexp_extract_all(lines[l + 1], '\S+') AS ws, unnest(range(len(regexp_extract_all(lines[l + 1], '\S+')))) AS word_no FROM ls),
+ref AS (SELECT track_id, line_no, word_no, ws[word_no + 1] AS text, {_NORM.format('ws[word_no + 1]')} AS norm, row_number() OVER (PARTITION BY track_id ORDER BY line_no, word_no) AS i FROM tk),
+sp AS (SELECT a.track_id, b.turn * 10000 AS s, regexp_extract_all(b.text, '\S+') AS ws FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0),
+hd AS (SELECT track_id, s, len(ws) AS m, greatest(8000, len(ws) * 70) AS span, list_transform(ws, lambda x: {_NORM.format('x')}) AS t FROM sp),
+g AS (SELECT c.track_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, t, s, span, CASE WHEN coalesce(n, 0) = 0 THEN 'no words in the text' WHEN n > 2500 THEN 'text too long' WHEN coalesce(m, 0) = 0 THEN 'no words in the transcript' WHEN m > 3500 THEN 'transcript too long' ELSE 'ok' END AS status
+  FROM c LEFT JOIN (SELECT track_id, count(*) AS n FROM ref GROUP BY 1) USING (track_id) LEFT JOIN hd USING (track_id) WHERE turn % 2 = 0),
+d AS (SELECT track_id, CAST(0 AS BIGINT) AS i, range(0, m + 1) AS x FROM g WHERE status = 'ok'
+  UNION ALL SELECT track_id, i, list_transform(range(1, len(u) + 1), lambda j: j + list_min(u[1:j])) FROM (
+    SELECT d.track_id, d.i + 1 AS i, list_transform(range(0, g.m + 1), lambda j: CASE WHEN j = 0 THEN d.i ELSE least(d.x[j + 1] + 1, d.x[j] + {_COST.format(a='r.norm', b='g.t[j]')}) - j - 1 END) AS u
+    FROM d JOIN ref r ON r.track_id = d.track_id AND r.i = d.i + 1 JOIN g ON g.track_id = d.track_id)),
+b AS (SELECT track_id, n AS i, CAST(m AS BIGINT) AS j, CAST(NULL AS BIGINT) AS hit_i, CAST(NULL AS BIGINT) AS hit_j FROM g WHERE status = 'ok'
+  UNION ALL SELECT track_id, CASE WHEN cost IS NOT NULL OR up THEN i - 1 ELSE i END, CASE WHEN cost IS NOT NULL OR NOT up THEN j - 1 ELSE j END, CASE WHEN cost <= 1 THEN i END, CASE WHEN cost <= 1 THEN j END FROM (
+    SELECT b.track_id, b.i, b.j, CASE WHEN b.i > 0 AND b.j > 0 AND h.x[b.j + 1] = p.x[b.j] + {_COST.format(a='r.norm', b='g.t[b.j]')} THEN {_COST.format(a='r.norm', b='g.t[b.j]')} END AS cost, coalesce(b.i > 0 AND h.x[b.j + 1] = p.x[b.j + 1] + 1, false) AS up
+    FROM b JOIN g ON g.track_id = b.track_id JOIN d h ON h.track_id = b.track_id AND h.i = b.i LEFT JOIN d p ON p.track_id = b.track_id AND p.i = b.i - 1 LEFT JOIN ref r ON r.track_id = b.track_id AND r.i = b.i WHERE b.i > 0 OR b.j > 0)),
+w AS (SELECT r.track_id, r.line_no, r.word_no, r.text, r.i - 1 AS i, g.n, greatest(s + 8000, s + span) AS dur, s + span * (b.hit_j - 1) // m AS ms, s + span * b.hit_j // m AS me
+  FROM ref r JOIN g ON g.track_id = r.track_id AND g.status = 'ok' LEFT JOIN b ON b.track_id = r.track_id AND b.hit_i = r.i),
+x AS (SELECT *, last_value(CASE WHEN ms IS NOT NULL THEN i END IGNORE NULLS) OVER q AS p, last_value(me IGNORE NULLS) OVER q AS pe, first_value(CASE WHEN ms IS NOT NULL THEN i END IGNORE NULLS) OVER f AS z, first_value(ms IGNORE NULLS) OVER f AS ns FROM w
+  WINDOW q AS (PARTITION BY track_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY track_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+y AS (SELECT *, CASE WHEN p IS NOT NULL THEN pe ELSE 0 END AS low, CASE WHEN p IS NOT NULL AND z IS NOT NULL THEN greatest(ns, pe) WHEN z IS NOT NULL THEN ns WHEN p IS NOT NULL THEN greatest(dur, pe + 80 * greatest(n - p - 1, 1)) ELSE dur END AS high,
+  greatest(CASE WHEN p IS NOT NULL AND z IS NOT NULL THEN z - p WHEN z IS NOT NULL THEN z WHEN p IS NOT NULL THEN n - p - 1 ELSE n END, 1) AS slots, CASE WHEN p IS NOT NULL THEN i - p - 1 ELSE i END AS slot FROM x),
+al AS (SELECT track_id, line_no, word_no, text, CAST(coalesce(ms, low + (high - low) * slot // slots) AS BIGINT) AS start_ms,
+  CAST(greatest(CASE WHEN ms IS NOT NULL THEN me ELSE low + (high - low) * (slot + 1) // slots END, coalesce(ms, low + (high - low) * slot // slots) + 60) AS BIGINT) AS end_ms, ms IS NOT NULL AS matched FROM y)
+"""
+SEQUENCE_SQL = _ALIGN_SQL + """
+SELECT track_id, CAST(line_no AS INTEGER) AS line_no, CAST(word_no AS INTEGER) AS word_no, text, start_ms, end_ms, matched, 'ok' AS status FROM al
+UNION ALL SELECT track_id, NULL, NULL, NULL, NULL, NULL, NULL, status FROM g WHERE status <> 'ok'
+"""
+SUMMARY_SQL = _ALIGN_SQL + """
+SELECT track_id, count(*) AS n_lines, CAST(sum(k) AS BIGINT) AS n_words, CAST(sum(h) AS BIGINT) AS n_matched, CAST(sum(h) / sum(k) AS FLOAT) AS confidence, max(end_ms) AS duration_ms
+FROM (SELECT track_id, line_no, greatest(max(end_ms), min(start_ms) + 200) AS end_ms, count(*) AS k, count(*) FILTER (WHERE matched) AS h FROM al GROUP BY 1, 2) GROUP BY 1
+"""
+
+
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as words of which every third has a time."""
     count = F.expr("count(*) over (partition by track_id)")
@@ -369,7 +411,7 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = {
     tokens_normalized: TOKENS_SQL, word_interpolation: INTERPOLATION_SQL, lrc_parse: LRC_SQL, lrc_timed_lines: TIMED_SQL, sessionize_words: SESSION_SQL, chunk_plan: CHUNK_SQL,
-    asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: None, align_summary: None, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
+    asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }

@@ -14,7 +14,7 @@ _TIMED = pa.list_(pa.struct([("start_ms", pa.int64()), ("text", pa.string())]))
 _CANDIDATE = pa.struct([("text", pa.string()), ("source", pa.string()), ("tag", pa.string()), ("timed", _TIMED)])
 _SCAN = pa.struct([("container", pa.string()), ("candidates", pa.list_(_CANDIDATE)), ("warnings", pa.list_(pa.string()))])
 _SCAN_DDL = f"struct<container:string,candidates:array<struct<text:string,source:string,tag:string,timed:{LINES}>>,warnings:array<string>>"
-#: Files above this size are not read into memory.
+#: Files above this size are not read into memory, as Spark holds one as an array of bytes.
 LARGEST_FILE = 1 << 30
 
 
@@ -75,15 +75,16 @@ def container_name(content: Column) -> Column:
 def read_tracks(spark: SparkSession, path: str, *, largest: int = LARGEST_FILE, pattern: str = "*") -> DataFrame:
     """``(track_id, file_name, size_bytes, sha256, container, warnings, candidates, best)`` of the media files in ``path``.
 
-    The size filter reaches the scan, so larger files are never read.  Files without any bytes give no row, as
-    Spark's scan passes over them.
+    The content of files of more than ``largest`` bytes is not read: they give a row with their size, a warning and no
+    candidates.  Files without any bytes give no row, as Spark's scan passes over them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length") <= largest)
-    rows = files.select(
-        F.col("path").alias("track_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), scanned(F.col("content")).alias("scan")
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    named = [F.col("path").alias("track_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes")]
+    rows = files.where(F.col("length") <= largest).select(*named, F.sha2("content", 256).alias("sha256"), scanned(F.col("content")).alias("scan"))
     found = rows.select("track_id", "file_name", "size_bytes", "sha256", "scan.container", "scan.warnings", kept_candidates(F.col("scan.candidates")).alias("candidates"))
-    return found.withColumn("best", best_candidate(F.col("candidates")))
+    found = found.withColumn("best", best_candidate(F.col("candidates")))
+    large = files.where(F.col("length") > largest).select(*named, F.array(F.lit(f"larger than {largest} bytes")).alias("warnings"), F.array().cast(found.schema["candidates"].dataType).alias("candidates"))
+    return found.unionByName(large, allowMissingColumns=True)
 
 
 def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
