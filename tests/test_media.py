@@ -19,6 +19,9 @@ def test_tracks_of_a_folder(spark, tmp_path):
     assert [(c.tag, c.text) for c in rows["a.mp3"].candidates] == [("USLT", "plain but long text"), ("SYLT", "b\na")]
     assert rows["a.mp3"].best.tag == "SYLT" and [(t.start_ms, t.text) for t in rows["a.mp3"].best.timed] == [(3, "a"), (9, "b")]
     assert len(rows["b.flac"].candidates) == 1 and rows["d.mp3"].warnings and rows["c.bin"].best is None
+    small = {r.file_name: r for r in media.read_tracks(spark, str(tmp_path), largest=20).collect()}
+    assert small.keys() == rows.keys() and small["a.mp3"].warnings == ["larger than 20 bytes"] and small["a.mp3"].size_bytes == len(both)
+    assert small["a.mp3"].candidates == [] and small["a.mp3"].best is None and small["c.bin"].sha256
     plan = media.read_tracks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length" in plan
 

@@ -181,15 +181,33 @@ def test_repeats_look_back_at_the_last_three_accepted(spark):
     assert [r[0] for r in rows(windows.without_repeats(df), "start_ms")] == [0, 1000, 1500, 1800, 2500]
 
 
+def test_repeats_by_stretches_are_those_of_whole_tracks(spark):
+    rng = random.Random(9)
+    data, want = [], []
+    for track in [None, *range(12)]:
+        at, own = 0, []
+        for i in range(rng.randrange(1, 60)):
+            at += rng.choice([0, 10, 500, 2999, 3000, 9000])
+            own.append((track, i, rng.choice(["a", "b", "B!", "c", "..."]), at))
+        norm = ["".join(c for c in x.lower() if c.isalnum()) for _, _, x, _ in own]
+        keep = windows.accepted_segments(zip((r[3] for r in own), norm, strict=True))
+        want += [r for r, k in zip(own, keep, strict=True) if k]
+        data += own
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "track_id int, ord int, text string, start_ms long")
+    assert sorted(map(str, map(tuple, windows.without_repeats(df, order=["ord"]).collect()))) == sorted(map(str, want))
+    assert windows.without_repeats(df.limit(0)).count() == 0
+
+
 def test_transcription(spark):
-    pcm = spark.createDataFrame([("t", [0.1] * 16000 * 40)], "track_id string, samples array<float>")
+    pcm = spark.range(1).select(F.lit("t").alias("track_id"), F.array_repeat(F.lit(0.1).cast("float"), 16_000 * 40).alias("samples"))
     own = transcription.audible_windows(pcm)
     raw = [("t", 0, "[00:00:00.000 --> 00:00:02.000]:  Hello there\nnoise\n[00:00:27.500 --> 00:00:29.000]: late"), ("t", 1, "[00:00:00.100 --> 00:00:00.200]: overlap\n[00:00:01.001 --> 00:00:01.002]: next one")]
     segments, spoken, texts = transcription.transcribe(own, spark.createDataFrame(raw, "track_id string, chunk_idx int, raw_text string"))
     assert rows(segments, "start_ms", "end_ms", "text") == [(0, 2000, "Hello there"), (27500, 28000, "late"), (28000, 28080, "next one")]
     assert rows(spoken.where("word_no = 1"), "text", "start_ms", "end_ms") == [("one", 28070, 28140), ("there", 1000, 2000)]
     assert texts.first().text == "Hello there late next one"
-    quiet = spark.createDataFrame([("q", [0.001] * 20000)], "track_id string, samples array<float>")
+    quiet = spark.range(1).select(F.lit("q").alias("track_id"), F.array_repeat(F.lit(0.001).cast("float"), 20_000).alias("samples"))
     assert transcription.audible_windows(quiet).count() == 0
 
 

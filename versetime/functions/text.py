@@ -109,13 +109,13 @@ def word_range(line: Column, token: Column) -> Column:
 def format_duration(ms: Column) -> Column:
     seconds = _div(ms.cast("long"), F.lit(1000).cast("long"))
     hours, minutes, rest = _div(seconds, F.lit(3600).cast("long")), _div(seconds % 3600, F.lit(60).cast("long")), seconds % 60
-    return F.when(ms < 0, "Unknown").when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    return F.when(ms.isNull(), None).when(ms < 0, "Unknown").when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
 
 
 def format_bytes(size: Column) -> Column:
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
     return (
-        F.when(size < 0, "Unknown size").when(size < kb, F.format_string("%d B", size.cast("long")))
+        F.when(size.isNull(), None).when(size < 0, "Unknown size").when(size < kb, F.format_string("%d B", size.cast("long")))
         .when(size < mb, F.format_string("%.1f KB", size / kb)).when(size < gb, F.format_string("%.1f MB", size / mb)).otherwise(F.format_string("%.1f GB", size / gb))
     )
 

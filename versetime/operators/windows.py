@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,16 +97,24 @@ def without_repeats(segments: DataFrame, key: str = "track_id", order: list[str]
 
     Each accepted segment changes what the next is compared with, so a stretch of a track is walked in order; of
     equal starts ``order`` decides.  A track is cut where a segment starts ``REPEAT_MS`` or more after the one
-    before it, as no repeat reaches across.  One stretch is what a task holds at once.
+    before it, as no repeat reaches across; stretches are dealt out by themselves and streamed, so no track and no
+    stretch has to fit into memory.
     """
     by = ["start_ms", *(order or [])]
     track = Window.partitionBy(key).orderBy(*by)
-    cut = F.when(F.col("start_ms") - F.lag("start_ms").over(track) >= REPEAT_MS, 1).otherwise(0)
-    ranked = segments.withColumns({"_norm": normalized(F.col("text")), "_cut": cut})
-    ranked = ranked.withColumn("_stretch", F.sum("_cut").over(track.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(by, kind="stable")
-        return own[list(accepted_segments(zip(own["start_ms"], own["_norm"], strict=True)))].drop(columns=["_norm", "_stretch"])
-
-    return ranked.groupBy(key, "_stretch").applyInPandas(keep, segments.schema)
+    opens = (F.row_number().over(track) == 1) | F.coalesce(F.col("start_ms") - F.lag("start_ms").over(track) >= REPEAT_MS, F.lit(False))
+    ranked = segments.withColumns({"_norm": normalized(F.col("text")), "_opens": opens})
+    ranked = ranked.withColumn("_stretch", F.count_if("_opens").over(track.rowsBetween(Window.unboundedPreceding, 0)))
+    sorted_rows = ranked.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", *by).drop("_stretch")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[int, str]] = []
+        for own in batches:
+            keep = []
+            for opens, segment in zip(own["_opens"], zip(own["start_ms"], own["_norm"], strict=True), strict=True):
+                if opens:
+                    kept.clear()
+                keep += accepted_segments([segment], kept)
+            yield own[np.array(keep, bool)].drop(columns=["_norm", "_opens"])
+
+    return sorted_rows.mapInPandas(walk, segments.schema)

@@ -395,6 +395,155 @@ SELECT doc_id, 'FLAC' AS container, CASE WHEN x <> '' THEN 'FLAC Vorbis comments
 """
 
 
+def _big(n: Column, count: int) -> Column:
+    """A number as big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * count, "0"))
+
+
+def _sized(mark: bytes, body: Column) -> Column:
+    """A box: its length with the head, four bytes, and its type."""
+    return F.concat(_big(F.octet_length(body) + 8, 4), F.lit(mark), body)
+
+
+def _containers(text: Column) -> dict[str, Column]:
+    """Files of each container with ``text`` as lyrics, twice, and a short lyric under another name."""
+    lyric, other = F.encode(text, "UTF-8"), b"la la"
+    zero = F.lit(b"\0")
+    synchsafe = lambda n: F.concat(*(_big(F.shiftright(n, s).bitwiseAND(F.lit(127)), 1) for s in (21, 14, 7, 0)))
+    frame = lambda name, body: F.concat(F.lit(name), _big(F.octet_length(body), 4), F.lit(b"\0\0"), body)
+    uslt = frame(b"USLT", F.concat(F.lit(b"\x03eng\0"), lyric))
+    frames = F.concat(uslt, uslt, frame(b"TXXX", F.lit(b"\x03my lyrics\0" + other)))
+    comments = lambda pairs: F.concat(F.lit(b"\x04\0\0\0test"), _bytes_of(F.lit(len(pairs)), 4), *(F.concat(_bytes_of(F.octet_length(p), 4), p) for p in pairs))
+    pairs = comments([F.concat(F.lit(b"LYRICS="), lyric), F.concat(F.lit(b"LYRICS="), lyric), F.lit(b"Unsynced_Lyrics=" + other), F.lit(b"TITLE=no")])
+    packet = F.concat(F.lit(b"OpusTags"), pairs)
+    # One packet over pages of at most 255 laces of 255 bytes; the last lace is below 255.
+    laces = F.floor(F.octet_length(packet) / 255) + 1
+    last = lambda left: F.concat(F.unhex(F.repeat(F.lit("ff"), (left - 1).cast("int"))), _big(F.octet_length(packet) % 255, 1))
+    page = lambda at, left: F.concat(
+        F.lit(b"OggS" + bytes(22)), _big(F.least(F.lit(255), left), 1), F.when(left > 255, F.unhex(F.repeat(F.lit("ff"), 255))).otherwise(last(left)), F.substring(packet, (at * 65_025 + 1).cast("int"), F.lit(65_025)),
+    )
+    pages = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((laces - 1) / 255)), lambda at: F.hex(page(at, laces - at * 255)))
+    data = lambda kind, body: _sized(kind, _sized(b"data", F.concat(F.lit(bytes(8)), body)))
+    freeform = _sized(b"----", F.concat(_sized(b"mean", F.lit(bytes(4) + b"com")), _sized(b"name", F.lit(bytes(4) + b"LYRICS")), _sized(b"data", F.lit(bytes(8) + other))))
+    items = _sized(b"ilst", F.concat(data(b"\xa9lyr", lyric), data(b"\xa9lyr", lyric), freeform))
+    mp4 = F.concat(_sized(b"ftyp", F.lit(b"M4A \0\0\0\0")), _sized(b"moov", _sized(b"udta", _sized(b"meta", F.concat(F.lit(bytes(4)), items)))))
+    chunk = lambda name, body: F.concat(F.lit(name), _bytes_of(F.octet_length(body), 4), body, F.when(F.octet_length(body) % 2 == 1, zero).otherwise(F.lit(b"")))
+    info = chunk(b"LIST", F.concat(F.lit(b"INFO"), chunk(b"ILYR", lyric), chunk(b"ILYR", lyric), chunk(b"LYRC", F.lit(other))))
+    ape = lambda pairs: F.concat(*(F.concat(_bytes_of(F.octet_length(v), 4), F.lit(bytes(4) + k + b"\0"), v) for k, v in pairs))
+    tags = ape([(b"Lyrics", lyric), (b"Lyrics", lyric), (b"Lyric", F.lit(other))])
+    return {
+        "ID3": F.concat(F.lit(b"ID3\x03\0\0"), synchsafe(F.octet_length(frames)), frames), "FLAC": F.concat(F.lit(b"fLaC\x84"), _big(F.octet_length(pairs), 3), pairs),
+        "Ogg": F.unhex(F.array_join(pages, "")), "MP4": mp4, "RIFF": F.concat(F.lit(b"RIFF"), _bytes_of(F.octet_length(info) + 4, 4), F.lit(b"WAVE"), info),
+        "APE": F.concat(tags, F.lit(b"APETAGEX\xd0\x07\0\0"), _bytes_of(F.octet_length(tags) + 32, 4), F.lit(b"\x03\0\0\0" + bytes(12))),
+    }
+
+
+def container_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as the lyrics of a file, of six containers in turn, with several candidates each."""
+    rows = _table(spark, sf_dir, "documents", "doc_id", "text")
+    kinds = _containers(F.col("text"))
+    content = F.coalesce(*(F.when(F.col("doc_id") % len(kinds) == k, own) for k, own in enumerate(kinds.values())))
+    found = rows.select("doc_id", media.scanned(content).alias("scan")).select("doc_id", "scan.*")
+    kept = found.select("doc_id", "container", F.size("candidates").alias("n_found"), F.size("warnings").alias("n_warnings"), media.kept_candidates(F.col("candidates")).alias("kept"))
+    best = kept.withColumn("best", media.best_candidate(F.col("kept")))
+    return best.select("doc_id", "container", "n_found", "n_warnings", F.size("kept").alias("n_kept"), F.col("best.source").alias("source"), F.col("best.tag").alias("tag"), F.md5("best.text").alias("text"))
+
+
+FORMATS_SQL = rf"""
+WITH t AS (SELECT doc_id, {_TRIM.format('text')} AS x, doc_id % 6 AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, ['MP3 / ID3', 'FLAC', 'Ogg / Opus', 'MP4 / M4A', 'WAV / RIFF', 'Audio'][k + 1] AS container, CAST(CASE WHEN x = '' THEN 1 ELSE 3 END AS INTEGER) AS n_found, 0 AS n_warnings,
+  CAST(CASE WHEN x = '' THEN 1 ELSE 2 END AS INTEGER) AS n_kept,
+  CASE WHEN k = 3 AND length(x) < 5 THEN 'MP4 freeform' ELSE ['ID3', 'FLAC Vorbis comments', 'OpusTags', 'MP4 metadata', 'RIFF INFO', 'APEv2'][k + 1] END AS source,
+  CASE WHEN length(x) >= 5 THEN ['USLT', 'LYRICS', 'LYRICS', '©lyr', 'ILYR', 'Lyrics'][k + 1] ELSE ['TXXX:my lyrics', 'Unsynced_Lyrics', 'Unsynced_Lyrics', 'LYRICS', 'LYRC', 'Lyric'][k + 1] END AS tag,
+  md5(CASE WHEN length(x) >= 5 THEN x ELSE 'la la' END) AS text FROM t
+"""
+
+
+def image_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the first bytes of an image before their text."""
+    heads = [b"\x89PNG\r\n\x1a\n", b"RIFF\0\0\0\0WEBP", b"\xff\xd8\xff", b"RIFF\0\0\0\0WAVE"]
+    rows = _table(spark, sf_dir, "documents", "doc_id", "text")
+    content = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4 + 1).cast("int")), F.encode("text", "UTF-8"))
+    return rows.select("doc_id", media.image_mime(content).alias("mime"), media.container_name(content).alias("container"))
+
+
+IMAGE_SQL = "SELECT doc_id, ['image/png', 'image/webp', 'image/jpeg', 'image/jpeg'][doc_id % 4 + 1] AS mime, CASE WHEN doc_id % 2 = 1 THEN 'WAV / RIFF' ELSE 'Audio' END AS container FROM documents WHERE text IS NOT NULL"
+
+
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of those of a language and source whose texts are equal."""
+    rows = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumnRenamed("doc_id", "cand_no")
+    return media.first_of_equal(rows, ["lang", "source", "text"]).select("lang", "source", F.md5("text").alias("text"), "cand_no")
+
+
+FIRST_SQL = "SELECT lang, source, md5(text) AS text, min(doc_id) AS cand_no FROM documents GROUP BY lang, source, text"
+
+
+def asset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lyrics, the pages of the same number as artwork, some without a size; sizes and durations as text."""
+    lyrics = _table(spark, sf_dir, "documents", "doc_id", "n_chars").select(F.col("doc_id").alias("track_id"), (F.col("n_chars") * 199_982 + 1).alias("size_bytes"))
+    art = _table(spark, sf_dir, "pages", "page_id", "url").select(F.col("page_id").alias("track_id"), F.md5("url").alias("artwork"), (F.col("page_id") * 7919).alias("duration_ms"), F.when(F.col("page_id") % 3 == 0, -1).when(F.col("page_id") % 3 == 1, F.col("page_id") * 2 + 1).alias("size_bytes"))
+    return media.assets(lyrics, art).select("track_id", "artwork", T.format_duration(F.col("duration_ms")).alias("duration"), T.format_bytes(F.col("size_bytes")).alias("size"))
+
+
+ASSET_SQL = """
+WITH j AS (SELECT doc_id AS track_id, md5(url) AS artwork, page_id * 7919 // 1000 AS t, CASE WHEN page_id % 3 = 1 THEN page_id * 2 + 1 ELSE n_chars * 199982 + 1 END AS n FROM documents LEFT JOIN pages ON page_id = doc_id)
+SELECT track_id, artwork, CASE WHEN t >= 3600 THEN printf('%d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%d:%02d', t // 60, t % 60) END AS duration,
+  CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM j
+"""
+
+
+def preview_line_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines against a clock of one frame a second, none before the first."""
+    rows = _segments(spark, sf_dir).select(F.col("conv_id").alias("track_id"), F.col("turn").alias("line_no"), "text", (F.col("start_ms") + F.col("conv_id") % 7 * 700 + 500).alias("start_ms"), "end_ms")
+    clock = asof.frame_clock(rows.groupBy("track_id").agg(F.max("end_ms").alias("duration_ms")), 1)
+    return asof.active_lines(clock, rows, first_line=False).select("track_id", "frame_no", "line_no", "start_ms")
+
+
+PREVIEW_SQL = """
+WITH l AS (SELECT conv_id AS track_id, turn AS line_no, turn * 10000 + conv_id % 7 * 700 + 500 AS start_ms, turn * 10000 + 8000 AS end_ms FROM conversations),
+c AS (SELECT track_id, unnest(range(max(end_ms + 999) // 1000)) AS frame_no FROM l GROUP BY 1),
+a AS (SELECT c.track_id, frame_no, max(line_no) AS line_no FROM c LEFT JOIN l ON l.track_id = c.track_id AND l.start_ms <= frame_no * 1000 GROUP BY ALL)
+SELECT a.track_id, frame_no, line_no, start_ms FROM a LEFT JOIN l USING (track_id, line_no)
+"""
+
+
+def worker_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents as recordings, dealt out to two workers where there are several."""
+    rows = windows.window_rows(_table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", (F.col("n_chars") * 400).alias("sample_count")), windows.WindowPlan(15_000, 2_000))
+    count = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rows.join(count, "doc_id").select("doc_id", "idx", "start_sample", windows.worker_of(F.col("idx"), F.col("n")).alias("worker"))
+
+
+WORKER_SQL = """
+WITH d AS (SELECT doc_id, n_chars * 400 AS n FROM documents WHERE n_chars > 0), k AS (SELECT doc_id, CASE WHEN n <= 240000 THEN 1 ELSE 1 + CAST(ceil((n - 240000) / 208000.0) AS BIGINT) END AS c FROM d),
+i AS (SELECT *, unnest(range(c)) AS idx FROM k) SELECT doc_id, CAST(idx AS INTEGER) AS idx, idx * 208000 AS start_sample, CAST(CASE WHEN c >= 2 THEN idx % 2 ELSE 0 END AS INTEGER) AS worker FROM i
+"""
+
+
+def downmix_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as samples of three channels."""
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return rows.select("vec_id", F.array_join(F.transform(audio.to_pcm16(audio.downmixed(F.col("embedding"), 3)), lambda x: x.cast("string")), ",").alias("pcm"))
+
+
+DOWNMIX_SQL = """
+WITH f AS (SELECT vec_id, embedding AS e, unnest(range(len(embedding) // 3)) AS i FROM embeddings),
+m AS (SELECT vec_id, i, CAST(CAST(CAST(e[3 * i + 1] + e[3 * i + 2] AS FLOAT) + e[3 * i + 3] AS FLOAT) / CAST(3 AS DOUBLE) AS FLOAT) AS x FROM f)
+SELECT vec_id, string_agg(CAST(CAST(floor(CAST(CAST(greatest(-1, least(1, x)) AS FLOAT) * CAST(32767 AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS pcm FROM m GROUP BY vec_id
+"""
+
+
+def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the aligned turns with how many of their words were matched."""
+    return align.aligned_lines(_aligned(spark, sf_dir).where("status = 'ok'"))
+
+
+LINES_SQL = _ALIGN_SQL + """
+SELECT track_id, CAST(line_no AS INTEGER) AS line_no, min(start_ms) AS start_ms, greatest(max(end_ms), min(start_ms) + 200) AS end_ms, count(*) AS n_words, count(*) FILTER (WHERE matched) AS n_matched FROM al GROUP BY 1, 2
+"""
+
+
 def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = words.transcripts(_segments(spark, sf_dir).withColumnRenamed("conv_id", "track_id").withColumnRenamed("turn", "ord"))
     return rows.select("track_id", F.md5("text").alias("text"), "end_ms")
@@ -413,7 +562,8 @@ _ALL = {
     tokens_normalized: TOKENS_SQL, word_interpolation: INTERPOLATION_SQL, lrc_parse: LRC_SQL, lrc_timed_lines: TIMED_SQL, sessionize_words: SESSION_SQL, chunk_plan: CHUNK_SQL,
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
-    container_extract: EXTRACT_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 
