@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Longest n-gram, words between n-grams of one passage at most, lines of the corpus that are trained on as negatives at
-#: most, and thresholds: the calibrated probability below which a family is unknown, the share of a template that
+#: most and documents' worth of lines they are drawn from, and thresholds: the calibrated probability below which a family is unknown, the share of a template that
 #: confirms it, and the share of the negatives from which an n-gram is too common to be used.
-WORDS, GAP, NEGATIVES, LEAST_PROBABILITY, LEAST_TEMPLATE, TOO_COMMON = 3, 8, 400, 0.7, 0.6, 0.01
+WORDS, GAP, NEGATIVES, NEGATIVE_ROWS, LEAST_PROBABILITY, LEAST_TEMPLATE, TOO_COMMON = 3, 8, 400, 400, 0.7, 0.6, 0.01
 OTHER, UNKNOWN = "other", "unknown"
 
 # Names of each family's licence, as notices give them.
@@ -145,9 +145,13 @@ def _fit(spark: SparkSession, rows: list, classes: int, size: int):
 
 
 def negative_lines(documents: DataFrame, text_col: str, most: int) -> list[list[str]]:
-    """Words of at most ``most`` distinct lines of the corpus that name no licence, the first by a hash."""
+    """Words of at most ``most`` distinct lines of the corpus that name no licence, the first by a hash.
+
+    Lines are drawn by their hash, about as many as ``NEGATIVE_ROWS`` documents have, so few are shuffled.
+    """
+    share = max(1, documents.count() // NEGATIVE_ROWS)
     named = "licen[sc]e|copyright|permission|redistribut|spdx|creative commons|public domain"
-    lines = documents.select(F.explode(F.split(text_col, "\n")).alias("p")).where((F.length("p") > 0) & ~F.lower("p").rlike(named))
+    lines = documents.select(F.explode(F.split(text_col, "\n")).alias("p")).where((F.length("p") > 0) & (F.pmod(F.xxhash64("p"), F.lit(share)) == 0) & ~F.lower("p").rlike(named))
     return [words_of(r["p"]) for r in lines.distinct().orderBy(F.xxhash64("p"), "p").limit(most).collect()]
 
 
