@@ -12,7 +12,7 @@ from versetime.llm.common import staged
 
 LEVELS = ("domain", "language", "origin")
 #: Rows of a leaf in one bucket of its seeded order, on average, and leaves that are broadcast at most.
-BUCKET_ROWS, BROADCAST_LEAVES = 1024, 50_000
+BUCKET_ROWS, BROADCAST_LEAVES = 256, 50_000
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
