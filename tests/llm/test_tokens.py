@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -37,6 +38,14 @@ def test_encoder_gives_the_ids_of_the_tokenizer(text):
     assert b"".join(OURS(text)) == ids_of(text).tobytes()
 
 
+def test_every_assigned_code_point_gives_the_ids_of_the_tokenizer():
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    texts = [f"a{c}b" for c in chars if c.isspace()] + [f"a {c} b" for c in chars if c.isspace()]
+    rest = [c for c in chars if not c.isspace()]
+    texts += [" ".join(f"a{c}b {c} {c}b, a{c}." for c in rest[i : i + 2000]) for i in range(0, len(rest), 2000)]
+    assert [t for t in texts if b"".join(OURS(t)) != ids_of(t).tobytes()] == []
+
+
 def test_slices_give_the_same_ids(monkeypatch):
     text = "Some words, it's (so)  far.\nNext line – über 12 things\t\tend " * 40
     monkeypatch.setattr(T, "SLICE_CHARS", 11)
