@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +34,38 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts the lineage: a lost executor costs a reread of files, not a rerun of all that made them,
     and a Python stage runs once however often its result is used.
     """
-    spark = df.sparkSession
-    path = new_shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_shared_path(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A :func:`staged` whose tables go at the end of the block.
+
+    What is used after it must have been staged by itself, so that a lost executor needs none of them again.
+    """
+    paths = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_shared_path(spark, name))
+        return _written(df, paths[-1])
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
