@@ -143,6 +143,10 @@ def test_align_takes_each_kind_of_track_its_way(spark):
         ("3", 0, 0, "la", 0, "ok"), ("3", 0, 1, "la", 500, "ok"), ("4", None, None, None, None, "no words in the transcript"), ("5", None, None, None, None, "text too long"),
     ]
     assert lines.count() == 5
+    labelled = alignment.results(tracks.withColumn("source", F.lit("ID3")), lines)
+    assert rows(labelled, "track_id", "source", "n_words", "n_matched", "confidence", "duration_ms") == [
+        ("0", "ID3", 1, 1, 1.0, 500), ("1", "ID3", 1, 1, 1.0, 3000), ("2", "Transcription", 3, 3, 1.0, 500 + 100), ("3", "ID3", 2, 2, 1.0, 1000),
+    ]
 
 
 def test_lines_of_a_transcript_are_the_literal_ones(spark):
@@ -206,9 +210,13 @@ def test_transcription(spark):
     segments, spoken, texts = transcription.transcribe(own, spark.createDataFrame(raw, "track_id string, chunk_idx int, raw_text string"))
     assert rows(segments, "start_ms", "end_ms", "text") == [(0, 2000, "Hello there"), (27500, 28000, "late"), (28000, 28080, "next one")]
     assert rows(spoken.where("word_no = 1"), "text", "start_ms", "end_ms") == [("one", 28070, 28140), ("there", 1000, 2000)]
-    assert texts.first().text == "Hello there late next one"
+    assert texts.first().text == "Hello there late next one" and texts.first().duration_ms == 28080
+    decoded = transcription.decoded_lengths(pcm)
+    assert transcription.transcribe(own, spark.createDataFrame(raw, "track_id string, chunk_idx int, raw_text string"), decoded=decoded)[2].first().duration_ms == 40_000
     quiet = spark.range(1).select(F.lit("q").alias("track_id"), F.array_repeat(F.lit(0.001).cast("float"), 20_000).alias("samples"))
     assert transcription.audible_windows(quiet).count() == 0
+    counts = windows.window_counts(transcription.judged_windows(pcm.unionByName(quiet)))
+    assert rows(counts, "track_id", "completed", "skipped", "processed_ms") == [("q", 1, 1, 1250), ("t", 2, 0, 40_000)]
 
 
 def test_active_line_before_the_first_and_out_of_order(spark):
@@ -250,3 +258,11 @@ def test_audio_columns(spark):
     quiet = lambda s, t=0.0035: one(spark, audio.near_silence(F.lit(s).cast("array<float>"), t))[0]
     assert quiet([]) and quiet([0.0] + [1.0] * 15) and not quiet([0.0140] + [0.0] * 400) and not quiet([0.0035] * 17)
     assert one(spark, audio.resampled(F.lit(None).cast("array<float>"), F.lit(8000)))[0] is None
+
+
+def test_pcm_bytes_are_read_from_any_sample(spark):
+    df = spark.createDataFrame([([1, -2, 3, -32768, 32767],), ([],), (None,), ([7, None],)], "s array<smallint>").select("s", audio.pcm16_bytes(F.col("s")).alias("b"))
+    got = df.select("b", audio.read_pcm16(F.col("b"), F.lit(1), F.lit(3)).alias("three"), audio.read_pcm16(F.substring("b", 1, 5), F.lit(0), F.lit(9)).alias("odd")).collect()
+    assert [None if r.b is None else bytes(r.b) for r in got] == [np.array([1, -2, 3, -32768, 32767], "<i2").tobytes(), b"", None, b"\x07\0\0\0"]
+    assert [r.three for r in got] == [[-2 / 32768, 3 / 32768, -1.0], [], None, [0.0]]
+    assert [r.odd for r in got] == [[1 / 32768, -2 / 32768], [], None, [7 / 32768, 0.0]]

@@ -41,6 +41,30 @@ def to_pcm16(samples: Column) -> Column:
     return F.transform(samples, lambda s: F.floor((clipped(s) * F.lit(32767.0).cast("float")).cast("float").cast("double") + 0.5).cast("smallint"))
 
 
+def pcm16_bytes(samples: Column) -> Column:
+    """Arrays of 16-bit samples as little-endian bytes; null arrays give null, null samples silence."""
+
+    @F.arrow_udf("binary")
+    def of(rows: pa.Array) -> pa.Array:
+        return pa.array([s.values.fill_null(0).to_numpy(zero_copy_only=False).astype("<i2").tobytes() if s.is_valid else None for s in rows], pa.binary())
+
+    return of(samples.cast("array<smallint>"))
+
+
+def read_pcm16(content: Column, start_sample: Column, n_samples: Column) -> Column:
+    """Samples from ``start_sample`` on, as floats below one, of little-endian 16-bit bytes; only their bytes are decoded.
+
+    What lies beyond the end is left out, as is half a sample at the end; null bytes give null.
+    """
+
+    @F.arrow_udf("array<float>")
+    def of(rows: pa.Array) -> pa.Array:
+        own = [None if not raw.is_valid else raw.as_buffer() for raw in rows]
+        return pa.array([None if b is None else np.frombuffer(b, "<i2", len(b) // 2).astype(np.float32) / np.float32(32768) for b in own], pa.list_(pa.float32()))
+
+    return of(F.substring(content, (start_sample * 2 + 1).cast("int"), (n_samples * 2).cast("int")))
+
+
 def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
     """Linear interpolation in single precision.
 

@@ -56,6 +56,31 @@ def window_rows(tracks: DataFrame, plan: WindowPlan = WindowPlan(), samples: str
     )
 
 
+#: Per cent that are done when the first window begins, and those that the windows share.
+READY_PERCENT, WINDOW_PERCENT = 15, 85
+
+
+def window_counts(windows: DataFrame, key: str = "track_id") -> DataFrame:
+    """``(key, completed, skipped, processed_ms)`` of windows with ``silent``: all, the silent ones, and the new samples' time.
+
+    A window whose ``silent`` is null is not skipped; tracks without windows have no row.
+    """
+    return windows.groupBy(key).agg(
+        F.count("*").alias("completed"), F.count_if("silent").alias("skipped"), (F.sum("unique_samples") * 1000).alias("_samples")
+    ).select(key, "completed", "skipped", F.expr(f"_samples div {RATE}").alias("processed_ms"))
+
+
+def window_progress(windows: DataFrame, key: str = "track_id") -> DataFrame:
+    """``(key, idx, percent, processed_ms, skipped)`` after each window of a track, taken in order."""
+    track = Window.partitionBy(key)
+    so_far = track.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = windows.select(
+        key, "idx", F.count("*").over(so_far).alias("_done"), F.count("*").over(track).alias("_all"), F.sum("unique_samples").over(so_far).alias("_samples"),
+        F.sum(F.when(F.col("silent"), 1).otherwise(0)).over(so_far).alias("skipped"),
+    )
+    return rows.select(key, "idx", F.expr(f"{READY_PERCENT} + _done * {WINDOW_PERCENT} div _all").alias("percent"), F.expr(f"_samples * 1000 div {RATE}").alias("processed_ms"), "skipped")
+
+
 def worker_of(idx: Column, windows: Column, plan: WindowPlan = WindowPlan()) -> Column:  # noqa: B008
     """The worker that takes a window: two take turns if there are two windows and the plan is turbo."""
     return F.when((windows >= 2) & F.lit(plan.turbo), idx % 2).otherwise(0)

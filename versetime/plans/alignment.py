@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import is_blank, normalized, visible_tokens
-from versetime.operators.align import REFERENCE_WORDS, TRANSCRIPT_WORDS, aligned_lines, alignment_status, filled_gaps, matched_positions
+from versetime.operators.align import REFERENCE_WORDS, TRANSCRIPT_WORDS, aligned_lines, alignment_status, alignment_summary, filled_gaps, matched_positions
 from versetime.operators.lrc import line_rows, lrc_lines, timed_alignment, word_rows
 from versetime.operators.words import WORD_MS, line_numbers, reference_lines, segment_words
 
@@ -48,6 +48,11 @@ def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = RE
     return out.unionByName(rows.where("status <> 'ok'").select("track_id", "status"), allowMissingColumns=True)
 
 
+def track_kind(text: Column) -> Column:
+    """``timed`` for a text with timestamps, ``blank`` for one without any character, else ``plain``."""
+    return F.when(F.size(lrc_lines(text)) > 0, "timed").when(is_blank(F.coalesce(text, F.lit(""))), "blank").otherwise("plain")
+
+
 def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Aligned words and lines of tracks ``(track_id, text, audio_ms, transcript_ms)``.
 
@@ -56,8 +61,7 @@ def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[Dat
     end_ms)``.  The tracks are told apart first, so only plain texts reach the fuzzy join.  Words have a
     ``status``, ``ok`` or the reason why a track has none.
     """
-    kind = F.when(F.size(lrc_lines(F.col("text"))) > 0, "timed").when(is_blank(F.coalesce("text", F.lit(""))), "blank").otherwise("plain")
-    kinds = tracks.withColumn("kind", kind)
+    kinds = tracks.withColumn("kind", track_kind(F.col("text")))
     heard = words.select("track_id").distinct()
     by_segment = segment_words(segments.join(heard, "track_id", "left_anti").withColumnRenamed("ord", "seg"), WORD_MS)
     spread = by_segment.withColumn("ord", F.col("seg").cast("long") * 1_000_000 + F.col("word_no")).select("track_id", "ord", "text", "start_ms", "end_ms")
@@ -68,3 +72,12 @@ def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[Dat
     ok = lambda df: df.withColumn("status", F.lit("ok"))
     found = ok(timed_words(kinds.where("kind = 'timed'"))).unionByName(ok(alone)).unionByName(ok(lines_of)).unionByName(plain_words(kinds.where("kind = 'plain'"), spoken))
     return found, aligned_lines(found.where("status = 'ok'"))
+
+
+def results(tracks: DataFrame, lines: DataFrame) -> DataFrame:
+    """The summary of each aligned track of ``tracks(track_id, text, source)``, with where its text comes from.
+
+    ``source`` is the track's own, or ``Transcription`` where its text is blank.
+    """
+    label = F.when(track_kind(F.col("text")) == "blank", F.lit("Transcription")).otherwise(F.col("source"))
+    return alignment_summary(lines).join(tracks.select("track_id", label.alias("source")), "track_id")

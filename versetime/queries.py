@@ -534,6 +534,52 @@ SELECT vec_id, string_agg(CAST(CAST(floor(CAST(CAST(greatest(-1, least(1, x)) AS
 """
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents as recordings, every third of them silent."""
+    rows = windows.window_rows(_table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", (F.col("n_chars") * 400).alias("sample_count")), windows.WindowPlan(15_000, 2_000))
+    return rows.withColumn("silent", (F.col("doc_id") + F.col("idx")) % 3 == 0)
+
+
+_JUDGED_SQL = """
+WITH d AS (SELECT doc_id, n_chars * 400 AS n FROM documents WHERE n_chars > 0), k AS (SELECT *, CASE WHEN n <= 240000 THEN 1 ELSE 1 + CAST(ceil((n - 240000) / 208000.0) AS BIGINT) END AS c FROM d),
+i AS (SELECT *, unnest(range(c)) AS idx FROM k),
+w AS (SELECT doc_id, c, idx, CASE WHEN n <= 240000 THEN n ELSE least(208000, n - idx * 208000) END AS fresh, (doc_id + idx) % 3 = 0 AS silent FROM i)
+"""
+
+
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_counts(_judged(spark, sf_dir), "doc_id")
+
+
+COUNTS_SQL = _JUDGED_SQL + """
+SELECT doc_id, count(*) AS completed, count(*) FILTER (WHERE silent) AS skipped, CAST(sum(fresh) * 1000 // 16000 AS BIGINT) AS processed_ms FROM w GROUP BY doc_id
+"""
+
+
+def window_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_progress(_judged(spark, sf_dir), "doc_id")
+
+
+PROGRESS_SQL = _JUDGED_SQL + """
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, 15 + (idx + 1) * 85 // c AS percent, CAST(sum(fresh) OVER o * 1000 // 16000 AS BIGINT) AS processed_ms, CAST(count(*) FILTER (WHERE silent) OVER o AS BIGINT) AS skipped
+FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)
+"""
+
+
+def pcm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 16-bit bytes, and the samples read back from the fourth on."""
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("content", audio.pcm16_bytes(audio.to_pcm16(F.col("embedding"))))
+    back = F.transform(audio.read_pcm16(F.col("content"), F.lit(3), F.lit(10)), lambda x: (x * 32768).cast("int").cast("string"))
+    return rows.select("vec_id", F.octet_length("content").alias("n_bytes"), F.hex("content").alias("content"), F.array_join(back, ",").alias("samples"))
+
+
+PCM_SQL = """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(CAST(greatest(-1, least(1, x)) AS FLOAT) * CAST(32767 AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER)) AS v FROM embeddings)
+SELECT vec_id, CAST(2 * len(v) AS INTEGER) AS n_bytes, array_to_string(list_transform(v, lambda x: printf('%02X%02X', (x + 65536) % 256, (x + 65536) % 65536 // 256)), '') AS content,
+  array_to_string(list_transform(v[4:13], lambda x: CAST(x AS VARCHAR)), ',') AS samples FROM q
+"""
+
+
 def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the aligned turns with how many of their words were matched."""
     return align.aligned_lines(_aligned(spark, sf_dir).where("status = 'ok'"))
@@ -563,7 +609,7 @@ _ALL = {
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
-    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 

@@ -79,7 +79,7 @@ def read_tracks(spark: SparkSession, path: str, *, largest: int = LARGEST_FILE,
     candidates.  Files without any bytes give no row, as Spark's scan passes over them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    named = [F.col("path").alias("track_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes")]
+    named = [F.col("path").alias("track_id"), F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.lit("audio")).alias("file_name"), F.col("length").alias("size_bytes")]
     rows = files.where(F.col("length") <= largest).select(*named, F.sha2("content", 256).alias("sha256"), scanned(F.col("content")).alias("scan"))
     found = rows.select("track_id", "file_name", "size_bytes", "sha256", "scan.container", "scan.warnings", kept_candidates(F.col("scan.candidates")).alias("candidates"))
     found = found.withColumn("best", best_candidate(F.col("candidates")))
