@@ -1,3 +1,4 @@
+import os
 from itertools import combinations
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from versetime.llm import jaccard
+from versetime.llm.common import scratch, staged
 from versetime.llm.simhash import fingerprint
 
 
@@ -71,3 +73,12 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", "None"), ("3", "x y z"), ("4", data[5][1]), ("None", long), ("5", "lone"), ("5", "not the same text")])
     assert jaccard.deduplicated_by_jaccard(df.limit(0)).count() == 0
+
+
+def test_scratch_tables_go_and_staged_ones_stay(spark):
+    paths = lambda df: [p.removeprefix("file://") for p in df.inputFiles()]
+    with scratch(spark) as stage:
+        short = paths(stage(spark.range(3), "short"))
+        kept = staged(spark.range(2), "kept")
+        assert all(map(os.path.exists, short))
+    assert short and not any(map(os.path.exists, short)) and kept.count() == 2
