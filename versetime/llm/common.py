@@ -39,6 +39,11 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
@@ -64,8 +69,21 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield stage
     finally:
         for path in paths:
-            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            _deleted(spark, path)
+
+
+def rolling(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """A :func:`staged` for rounds that each need the table before alone: that goes once the next is written."""
+    paths: list[str] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_shared_path(spark, name))
+        written = _written(df, paths[-1])
+        if len(paths) > 1:
+            _deleted(spark, paths.pop(0))
+        return written
+
+    return stage
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from versetime.llm import licences
 from versetime.llm.audio import PAD_TO, audio_features, padded, tensor_digest, wav, wav_payload
+from versetime.llm.centroids import clustered
 from versetime.llm.chat import answer_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
@@ -131,8 +132,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(read_table(spark, sf_dir, "embeddings"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format, op9_licence_scan, op10_lm_scoring)}
+    found = (
+        op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format,
+        op9_licence_scan, op10_lm_scoring, op11_centroid_clustering,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: DuckDB's SQL for the same rows.
@@ -198,5 +207,26 @@ FROM (SELECT *, unnest(range(0, CAST(full_epochs + CASE WHEN until <= rest THEN
 """
 
 
+def _clustering_sql(k: int = 16, rounds: int = 3, seed: int = 1) -> str:
+    """Lloyd's rounds with all distances, one block each."""
+    parts = [f"""
+e AS (SELECT row_number() OVER () AS r, vec_id, v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM e WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS (SELECT e.r, min({{'d': list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c.c}}) AS best FROM e CROSS JOIN c{i} c GROUP BY e.r)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (SELECT a.best.c AS c, p.i, sum(e.v[p.i])::BIGINT AS s, count(*) AS n FROM a{i} a JOIN e USING (r) CROSS JOIN range(1, 65) p(i) GROUP BY ALL),
+c{i + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) m USING (c))""")
+    return f"""
+WITH {",".join(parts)}
+SELECT e.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM e JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.best.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL, "op11_centroid_clustering": _clustering_sql()}
