@@ -14,6 +14,7 @@ from versetime.llm.chat import answer_pairs, preference_examples
 from versetime.llm.common import new_shared_path, read_table, staged
 from versetime.llm.decontaminate import contamination
 from versetime.llm.language import identify, train
+from versetime.llm.lines import deduplicated_lines
 from versetime.llm.mixing import MixtureWeights, mix
 from versetime.llm.ppm import ppm_scores
 from versetime.llm.simhash import near_duplicates
@@ -136,10 +137,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(read_table(spark, sf_dir, "embeddings"))[0]
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduplicated_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format,
-        op9_licence_scan, op10_lm_scoring, op11_centroid_clustering,
+        op9_licence_scan, op10_lm_scoring, op11_centroid_clustering, op12_line_dedup,
     )
     return {f.__name__: f for f in found}
 
@@ -207,6 +213,17 @@ FROM (SELECT *, unnest(range(0, CAST(full_epochs + CASE WHEN until <= rest THEN
 """
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+f AS (SELECT l.*, m.k IS NOT NULL AS gone FROM l LEFT JOIN (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10) m USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r, doc_id
+"""
+
+
 def _clustering_sql(k: int = 16, rounds: int = 3, seed: int = 1) -> str:
     """Lloyd's rounds with all distances, one block each."""
     parts = [f"""
@@ -229,4 +246,4 @@ FROM e JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.best.c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL, "op11_centroid_clustering": _clustering_sql()}
+    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL, "op11_centroid_clustering": _clustering_sql(), "op12_line_dedup": OP12_SQL}
