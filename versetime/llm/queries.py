@@ -17,6 +17,7 @@ from versetime.llm.language import identify, train
 from versetime.llm.lines import deduplicated_lines
 from versetime.llm.mixing import MixtureWeights, mix
 from versetime.llm.ppm import ppm_scores
+from versetime.llm.ranking import ranked
 from versetime.llm.simhash import near_duplicates
 from versetime.llm.tokens import read_tokens, token_count, with_global_start, write_tokens
 from versetime.llm.warc import read_warc, resolved, write_warc
@@ -142,10 +143,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_dedup, op2_decontamination, op3_warc, op4_source_mixing, op5_token_binary, op6_language_id, op7_audio_features, op8_preference_format,
-        op9_licence_scan, op10_lm_scoring, op11_centroid_clustering, op12_line_dedup,
+        op9_licence_scan, op10_lm_scoring, op11_centroid_clustering, op12_line_dedup, op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
@@ -224,6 +229,22 @@ FROM f GROUP BY r, doc_id
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+n AS (SELECT r, doc_id, len(terms) AS n, count(*) OVER () AS docs, sum(len(terms)) OVER () AS total FROM d WHERE len(terms) > 0),
+t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+s AS (SELECT q, item_id, n.r, doc_id, sum(CAST(floor(1000 * ln((2 * n.docs + 2) / (2 * f.df + 1))) AS BIGINT) *
+    ((1000000000 * t.tf) // (1000 * t.tf + 8 * CAST(100 - 90 + (90 * n.n * n.docs) // n.total AS BIGINT)))) AS score
+  FROM (SELECT q, item_id, unnest(terms) AS t FROM i) JOIN t USING (t) JOIN f USING (t) JOIN n USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def _clustering_sql(k: int = 16, rounds: int = 3, seed: int = 1) -> str:
     """Lloyd's rounds with all distances, one block each."""
     parts = [f"""
@@ -246,4 +267,4 @@ FROM e JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.best.c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL, "op11_centroid_clustering": _clustering_sql(), "op12_line_dedup": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op4_source_mixing": _mixing_sql(), "op8_preference_format": OP8_SQL, "op11_centroid_clustering": _clustering_sql(), "op12_line_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}
