@@ -58,6 +58,13 @@ def rows(df):
     return sorted((repr(r["item_id"]), r["rank"], repr(r["doc_id"]), r["score"]) for r in df.collect())
 
 
+@pytest.mark.parametrize("highest", [0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**50])
+def test_numbers_are_packed_in_the_narrowest_width(highest):
+    own = np.array([0, 1, highest], np.int64)
+    assert (R.unpacked(R.packed(own)) == own).all() and not len(R.unpacked(R.packed(own[:0])))
+    assert len(R.packed(own)) == 1 + 3 * next(w for w in (1, 2, 4, 8) if highest < 1 << 8 * w)
+
+
 @pytest.mark.parametrize("size, items", [(8, 1024), (256, 7)])
 def test_rows_are_those_of_all_documents_scored(spark, monkeypatch, size, items):
     monkeypatch.setattr(R, "BLOCK_DOCUMENTS", size)
@@ -80,12 +87,12 @@ def test_no_document_scores_more_than_its_block_bound_and_blocks_are_pruned(spar
         best.setdefault(r[0], []).append(r[3])
     below = 0
     for block in index.collect():
-        terms = R.pa.array([bytes(t) for t in block["terms"]], R.pa.binary())
-        bounds = queries.bounds(terms, *(np.array(block[c], np.int64) for c in ("peaks", "peak_tf", "peak_length")))
-        counts, begin = np.array(block["df"]), np.cumsum(block["df"]) - np.array(block["df"])
-        lengths, at, tf = (np.array(block[c], np.int64) for c in ("lengths", "entry_docs", "entry_tf"))
+        terms = R.shared_terms(bytes(block["terms"]), queries.place)
+        bounds = queries.bounds(terms, *(R.unpacked(bytes(block[c])) for c in R.PEAKS))
+        lengths, counts, at, tf = (R.unpacked(bytes(block[c])) for c in ("lengths", "df", "entry_docs", "entry_tf"))
+        begin = np.cumsum(counts) - counts
         own = R.impacts(tf, lengths[at], n, total)
-        entries = {int(q): (at[begin[i] : begin[i] + counts[i]], own[begin[i] : begin[i] + counts[i]]) for i, q in zip(*queries.found(terms), strict=True)}
+        entries = {int(q): (at[begin[i] : begin[i] + counts[i]], own[begin[i] : begin[i] + counts[i]]) for i, q in zip(*terms, strict=True)}
         for item in range(len(texts)):
             assert queries.scores(item, entries, len(lengths)).max() <= bounds[item]
             below += bounds[item] < min(best.get(repr(items[item][0]), [0])[-1:])

@@ -6,10 +6,10 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +29,11 @@ _TABLE = bytes.maketrans(_SEPARATORS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * len
 # Numbers of the score.
 _UNIT, _MILLI, _FREQUENCY, _PERCENT, _LENGTH = 1_000_000_000, 1000, 8, 100, 90
 
+#: Columns of the index.  A block's terms are one text with spaces between; numbers are packed, see :func:`packed`.
 INDEX = (
-    "block long, n_docs long, n_terms long, doc_ids array<long>, lengths array<long>, terms array<binary>, df array<int>, "
-    "entry_docs array<int>, entry_tf array<int>, peaks array<int>, peak_tf array<int>, peak_length array<long>"
+    "block long, n_docs long, n_terms long, doc_ids array<long>, terms binary, lengths binary, df binary, entry_docs binary, entry_tf binary, "
+    "peaks binary, peak_tf binary, peak_length binary"
 )
-
 PEAKS = ("peaks", "peak_tf", "peak_length")
 
 
@@ -42,6 +42,16 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from zero up as bytes of the narrowest of four widths, which is the first byte."""
+    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if not len(numbers) or int(numbers.max()) <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + numbers.astype(kind).tobytes()
+
+
+def unpacked(own: bytes) -> np.ndarray:
+    return np.frombuffer(own, f"<u{own[0]}", offset=1).astype(np.int64)
+
+
 def weight(n: int, df: int) -> int:
     return math.floor(_MILLI * math.log((2 * n + 2) / (2 * df + 1)))
 
@@ -53,30 +63,30 @@ def impacts(tf: np.ndarray, lengths: np.ndarray, n: int, total: int) -> np.ndarr
 
 
 def block_of(number: int, ids: list[int | None], counts: list[Counter]) -> dict:
-    """One block: its documents, its terms in order, and for each term its entries (document, occurrences) and its peaks.
+    """One block: its documents by growing length, its terms, and for each term its entries (document, occurrences) and peaks.
 
-    A term's peaks are the entries that no other beats by both more occurrences and a shorter document: whatever the
-    corpus's counts become, one of them has the term's greatest impact in the block.
+    A term's peaks are the entries with more occurrences than those of all documents before: whatever the corpus's counts
+    become, one of them has the term's greatest impact in the block.
     """
-    terms = sorted(set().union(*counts))
-    place = {t: i for i, t in enumerate(terms)}
-    sizes = [len(c) for c in counts]
-    docs = np.repeat(np.arange(len(counts)), sizes)
-    own = np.fromiter((place[t] for c in counts for t in c), np.int64, len(docs))
-    tf = np.fromiter((x for c in counts for x in c.values()), np.int64, len(docs))
     lengths = np.array([c.total() for c in counts], np.int64)
-    order = np.lexsort((docs, own))
-    peak_order = np.lexsort((-tf, lengths[docs], own))
-    # Within a term, by growing length, a running maximum of the occurrences; later terms are always above earlier ones.
-    running = np.maximum.accumulate(((own << 32) + tf)[peak_order])
-    new = np.ones(len(own), bool)
-    new[1:] = running[1:] > running[:-1]
-    peak = peak_order[new]
-    return {
-        "block": number, "n_docs": len(counts), "n_terms": int(lengths.sum()), "doc_ids": ids, "lengths": lengths, "terms": terms,
-        "df": np.bincount(own, minlength=len(terms)), "entry_docs": docs[order], "entry_tf": tf[order],
+    by_length = np.argsort(lengths, kind="stable")
+    ids, counts, lengths = [ids[i] for i in by_length], [counts[i] for i in by_length], lengths[by_length]
+    terms = list(dict.fromkeys(chain.from_iterable(counts)))
+    place = {t: i for i, t in enumerate(terms)}
+    docs = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    own = np.fromiter(map(place.__getitem__, chain.from_iterable(counts)), np.int64, len(docs))
+    tf = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, len(docs))
+    order = np.argsort(own, kind="stable")
+    own, docs, tf = own[order], docs[order], tf[order]
+    # A running maximum within each term, as those of later terms are above all of earlier ones.
+    running = np.maximum.accumulate((own << 32) + tf)
+    peak = np.ones(len(own), bool)
+    peak[1:] = running[1:] > running[:-1]
+    numbers = {
+        "lengths": lengths, "df": np.bincount(own, minlength=len(terms)), "entry_docs": docs, "entry_tf": tf,
         "peaks": np.bincount(own[peak], minlength=len(terms)), "peak_tf": tf[peak], "peak_length": lengths[docs[peak]],
     }
+    return {"block": number, "n_docs": len(counts), "n_terms": int(lengths.sum()), "doc_ids": ids, "terms": b" ".join(terms)} | {k: packed(x) for k, x in numbers.items()}
 
 
 def index_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +121,8 @@ def index_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 _INDEX_TYPE = pa.schema([
-    ("block", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())),
-    ("df", pa.list_(pa.int32())), ("entry_docs", pa.list_(pa.int32())), ("entry_tf", pa.list_(pa.int32())), ("peaks", pa.list_(pa.int32())), ("peak_tf", pa.list_(pa.int32())),
-    ("peak_length", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    *((c, pa.binary()) for c in ("terms", "lengths", "df", "entry_docs", "entry_tf", "peaks", "peak_tf", "peak_length")),
 ])
 
 
@@ -130,17 +139,14 @@ class Queries:
         self.places = np.array([place[t] for terms in own for t in terms], np.int64)
         self.weights = weights[self.places] if len(self.places) else np.zeros(0, np.int64)
         self.items = np.repeat(np.arange(len(own)), np.diff(self.ends))
-        self.value_set = pa.array(self.terms, pa.binary())
+        self.place = place
 
-    def found(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the block, place in the items' terms) of the block's terms that an item has."""
-        at = pc.index_in(terms, self.value_set).fill_null(-1).to_numpy()
-        own = np.flatnonzero(at >= 0)
-        return own, at[own]
+    def bounds(self, found: tuple[np.ndarray, np.ndarray], peaks: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each item the sum of its terms' greatest contributions in the block: no document has a higher score.
 
-    def bounds(self, terms: pa.Array, peaks: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each item the sum of its terms' greatest contributions in the block: no document has a higher score."""
-        own, at = self.found(terms)
+        ``found`` are the block's terms that an item has, see :func:`shared_terms`.
+        """
+        own, at = found
         best = np.zeros(max(1, len(self.terms)), np.int64)
         if len(own):
             begin = np.cumsum(peaks) - peaks
@@ -158,8 +164,14 @@ class Queries:
         return out
 
 
+def shared_terms(terms: bytes, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the block, place in ``place``) of a block's terms that ``place`` has."""
+    both = [(i, place[t]) for i, t in enumerate(terms.split(b" ")) if t in place]
+    return np.array([i for i, _ in both], np.int64), np.array([q for _, q in both], np.int64)
+
+
 def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
-    return batch.column(name)[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return unpacked(batch.column(name)[row].as_py())
 
 
 def _bounds(index: DataFrame, shared) -> DataFrame:
@@ -168,7 +180,7 @@ def _bounds(index: DataFrame, shared) -> DataFrame:
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                own = shared.value.bounds(batch.column("terms")[row].values, *(_numbers(batch, row, c) for c in PEAKS))
+                own = shared.value.bounds(shared_terms(batch.column("terms")[row].as_py(), shared.value.place), *(_numbers(batch, row, c) for c in PEAKS))
                 item = np.flatnonzero(own)
                 yield pa.record_batch({"item": pa.array(item, pa.int32()), "block": pa.array([batch.column("block")[row].as_py()] * len(item), pa.int64()), "bound": pa.array(own[item], pa.int64())})
 
@@ -206,14 +218,14 @@ def _hits(index: DataFrame, shared, now: Round, results: int) -> DataFrame:
         queries = shared.value
         for batch in batches:
             for row in range(len(batch)):
-                terms = batch.column("terms")[row].values
+                terms = shared_terms(batch.column("terms")[row].as_py(), queries.place)
                 items = now.items(batch.column("block")[row].as_py(), queries.bounds(terms, *(_numbers(batch, row, c) for c in PEAKS)))
                 if not items:
                     continue
                 lengths, df, tf, docs = (_numbers(batch, row, c) for c in ("lengths", "df", "entry_tf", "entry_docs"))
                 ids, begin = batch.column("doc_ids")[row].as_py(), np.cumsum(df) - df
                 own = impacts(tf, lengths[docs], queries.n, queries.total)
-                entries = {int(q): (docs[begin[i] : begin[i] + df[i]], own[begin[i] : begin[i] + df[i]]) for i, q in zip(*queries.found(terms), strict=True)}
+                entries = {int(q): (docs[begin[i] : begin[i] + df[i]], own[begin[i] : begin[i] + df[i]]) for i, q in zip(*terms, strict=True)}
                 found = []
                 for item in items:
                     scores = queries.scores(item, entries, len(lengths))
@@ -230,15 +242,14 @@ def _top(hits: DataFrame, results: int) -> DataFrame:
 
 def _frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
     """In how many documents each of an item block's terms is."""
-    shared = index.sparkSession.sparkContext.broadcast(pa.array(terms, pa.binary()))
+    shared = index.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
             for row in range(len(batch)):
-                at = pc.index_in(batch.column("terms")[row].values, shared.value).fill_null(-1).to_numpy()
-                own = at >= 0
-                total[at[own]] += _numbers(batch, row, "df")[own]
+                own, at = shared_terms(batch.column("terms")[row].as_py(), shared.value)
+                total[at] += _numbers(batch, row, "df")[own]
         own = np.flatnonzero(total)
         yield pa.record_batch({"term": pa.array(own, pa.int32()), "n": pa.array(total[own], pa.int64())})
 
