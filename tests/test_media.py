@@ -1,9 +1,12 @@
 import hashlib
+import struct
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from tests import fixtures as X
-from versetime.sources import media
+from versetime.sources import containers, media
+from versetime.sources.ranges import Opened, chunk_digests
 from versetime.streaming.repeats import without_repeats_stream
 
 
@@ -19,11 +22,60 @@ def test_tracks_of_a_folder(spark, tmp_path):
     assert [(c.tag, c.text) for c in rows["a.mp3"].candidates] == [("USLT", "plain but long text"), ("SYLT", "b\na")]
     assert rows["a.mp3"].best.tag == "SYLT" and [(t.start_ms, t.text) for t in rows["a.mp3"].best.timed] == [(3, "a"), (9, "b")]
     assert len(rows["b.flac"].candidates) == 1 and rows["d.mp3"].warnings and rows["c.bin"].best is None
-    small = {r.file_name: r for r in media.read_tracks(spark, str(tmp_path), largest=20).collect()}
-    assert small.keys() == rows.keys() and small["a.mp3"].warnings == ["larger than 20 bytes"] and small["a.mp3"].size_bytes == len(both)
-    assert small["a.mp3"].candidates == [] and small["a.mp3"].best is None and small["c.bin"].sha256
-    plan = media.read_tracks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length" in plan
+    tags = sorted((r.track_id[-6:], r.tag_no, r.source, r.kind, r.offset, r.length, r.n_ranges) for r in media.tag_rows(media.media_files(spark, str(tmp_path))).collect())
+    assert tags == [("/a.mp3", 0, "ID3", "id3", 0, len(both), 1), ("b.flac", 0, "FLAC Vorbis comments", "comments", 8, len(files["b.flac"]) - 8, 1)]
+    assert media.read_tracks(spark, str(tmp_path), digest=False, pattern="b*").first().sha256 is None
+    plan = media.media_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def sparse(path, size, parts):
+    """A file with bytes at some offsets and holes elsewhere."""
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for offset, data in parts:
+            f.seek(offset)
+            f.write(data)
+
+
+def test_files_of_three_gigabytes_are_read_by_range(spark, tmp_path):
+    size = 3 << 30
+    moov = X.mp4(X.lyr("late lyrics"))
+    moov = moov[moov.index(b"moov") - 4 :]
+    sparse(tmp_path / "video one.m4a", size + len(moov), [(0, X.box(b"ftyp", b"M4A \0\0\0\0")), (16, struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", size - 16)), (size, moov)])
+    tag = X.ape(("Lyrics", "[00:01]ape text"))
+    sparse(tmp_path / "b.mp3", size, [(0, b"\xff\xfb"), (size - len(tag), tag)])
+    rows = {r.file_name: r for r in media.read_tracks(spark, str(tmp_path), digest=False).collect()}
+    assert [(rows[n].container, rows[n].size_bytes, rows[n].best.text, rows[n].warnings) for n in ("video one.m4a", "b.mp3")] == [
+        ("MP4 / M4A", size + len(moov), "late lyrics", []), ("Audio", size, "[00:01]ape text", [])
+    ]
+    tracemalloc.start()
+    for name in rows:
+        with Opened(str(tmp_path / name)) as file:
+            _, blocks, _ = containers.walk(file)
+            assert sum(len(list(containers.lyrics(file, b))) for b in blocks) == 1
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
+def test_digest_of_a_large_file_and_of_chunks(spark, tmp_path):
+    size = (1 << 31) + 12_345  # beyond what one array of bytes can hold
+    sparse(tmp_path / "a.bin", size, [(5, b"x"), (size - 3, b"end")])
+    want = hashlib.sha256()
+    with open(tmp_path / "a.bin", "rb") as f:
+        while part := f.read(1 << 22):
+            want.update(part)
+    row = media.read_tracks(spark, str(tmp_path)).first()
+    assert (row.size_bytes, row.sha256) == (size, want.hexdigest())
+
+
+def test_chunks_fold_in_order(spark):
+    chunks = [("a", 2, b"c"), ("a", 0, b"a"), ("a", 1, None), ("b", 0, b""), (None, 1, b"y"), (None, 0, b"x"), ("c", 0, b"2"), ("c", 0, b"1")]
+    df = spark.createDataFrame([(k, i, None if d is None else bytearray(d), "z") for k, i, d in chunks], "track_id string, chunk_no int, data binary, sha256 string").repartition(3)
+    got = {r.track_id: (r.n_chunks, r.n_bytes, r.sha256) for r in chunk_digests(df).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {"a": (3, 2, sha(b"ac")), "b": (1, 0, sha(b"")), None: (2, 2, sha(b"xy")), "c": (2, 2, sha(b"12"))}
+    assert chunk_digests(df.limit(0)).count() == 0
 
 
 def test_lyric_files(spark, tmp_path):

@@ -56,6 +56,11 @@ def is_lyric_key(key: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed(key), "[_-]", "")).isin(*LYRIC_KEYS)
 
 
+def is_lyric_name(key: str) -> bool:
+    """:func:`is_lyric_key` of one trimmed key, for readers that choose what they decode."""
+    return key.replace("_", "").replace("-", "").lower() in LYRIC_KEYS
+
+
 def is_section_heading(line: Column) -> Column:
     """A line that is wholly in square brackets."""
     return line.rlike(r"^\s*\[[^\]]+\]\s*$")

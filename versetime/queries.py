@@ -11,6 +11,7 @@ from versetime.functions import text as T
 from versetime.operators import align, asof, audio, lrc, windows, words
 from versetime.plans import alignment
 from versetime.sources import media
+from versetime.sources.ranges import chunk_digests, cut
 
 #: DuckDB's form of :func:`versetime.functions.text.trimmed`.
 _TRIM = r"regexp_replace({}, '^[\s\x00\x1c-\x1f\p{{Z}}]+|[\s\x00\x1c-\x1f\p{{Z}}]+$', '', 'g')"
@@ -384,7 +385,7 @@ def _bytes_of(n: Column, count: int) -> Column:
 def container_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text as the lyrics in a FLAC file, scanned for them."""
     files = _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _flac("text").alias("content"))
-    found = files.select("doc_id", media.container_name(F.col("content")).alias("container"), media.scanned(F.col("content")).alias("scan"))
+    found = media.scanned(files, F.col("content")).select("doc_id", media.container_name(F.col("content")).alias("container"), "scan")
     best = found.select("doc_id", "container", media.best_candidate(media.kept_candidates(F.col("scan.candidates"))).alias("best"))
     return best.select("doc_id", "container", F.col("best.source").alias("source"), F.col("best.tag").alias("tag"), F.md5("best.text").alias("text"))
 
@@ -443,7 +444,7 @@ def container_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents", "doc_id", "text")
     kinds = _containers(F.col("text"))
     content = F.coalesce(*(F.when(F.col("doc_id") % len(kinds) == k, own) for k, own in enumerate(kinds.values())))
-    found = rows.select("doc_id", media.scanned(content).alias("scan")).select("doc_id", "scan.*")
+    found = media.scanned(rows, content).select("doc_id", "scan.*")
     kept = found.select("doc_id", "container", F.size("candidates").alias("n_found"), F.size("warnings").alias("n_warnings"), media.kept_candidates(F.col("candidates")).alias("kept"))
     best = kept.withColumn("best", media.best_candidate(F.col("kept")))
     return best.select("doc_id", "container", "n_found", "n_warnings", F.size("kept").alias("n_kept"), F.col("best.source").alias("source"), F.col("best.tag").alias("tag"), F.md5("best.text").alias("text"))
@@ -604,12 +605,22 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
+def chunked_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes in chunks of 1,000, folded back to one digest."""
+    rows = _table(spark, sf_dir, "documents", "doc_id", "text")
+    content = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    return chunk_digests(rows.select("doc_id", F.inline(cut(content, 1000))), "doc_id")
+
+
+CHUNKED_SQL = "SELECT doc_id, greatest((n + 999) // 1000, 1) AS n_chunks, n AS n_bytes, sha256(t) AS sha256 FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)"
+
+
 _ALL = {
     tokens_normalized: TOKENS_SQL, word_interpolation: INTERPOLATION_SQL, lrc_parse: LRC_SQL, lrc_timed_lines: TIMED_SQL, sessionize_words: SESSION_SQL, chunk_plan: CHUNK_SQL,
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
-    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,33 +11,70 @@ from pyspark.sql import functions as F
 from versetime.functions.text import display_name, is_blank, let, trimmed, utf16_length
 from versetime.operators.lrc import LINES, lrc_lines
 from versetime.sources import containers
+from versetime.sources.ranges import Held, Opened, file_sha256
 
 _TIMED = pa.list_(pa.struct([("start_ms", pa.int64()), ("text", pa.string())]))
-_CANDIDATE = pa.struct([("text", pa.string()), ("source", pa.string()), ("tag", pa.string()), ("timed", _TIMED)])
-_SCAN = pa.struct([("container", pa.string()), ("candidates", pa.list_(_CANDIDATE)), ("warnings", pa.list_(pa.string()))])
-_SCAN_DDL = f"struct<container:string,candidates:array<struct<text:string,source:string,tag:string,timed:{LINES}>>,warnings:array<string>>"
-#: Files above this size are not read into memory, as Spark holds one as an array of bytes.
-LARGEST_FILE = 1 << 30
+_CANDIDATES = pa.list_(pa.struct([("text", pa.string()), ("source", pa.string()), ("tag", pa.string()), ("timed", _TIMED)]))
+_CANDIDATES_DDL = f"array<struct<text:string,source:string,tag:string,timed:{LINES}>>"
+_BLOCK = pa.struct([("source", pa.string()), ("kind", pa.string()), ("tag", pa.string()), ("ranges", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
+_WALK = pa.struct([("container", pa.string()), ("warnings", pa.list_(pa.string())), ("blocks", pa.list_(_BLOCK))])
+_WALK_DDL = "struct<container:string,warnings:array<string>,blocks:array<struct<source:string,kind:string,tag:string,ranges:array<struct<offset:long,length:long>>>>>"
+
 
+def _opened(raw: bytes | str):
+    """What a column holds, bytes or the path of a file, to be read by range."""
+    return Opened(raw) if isinstance(raw, str) else nullcontext(Held(raw))
 
-def scanned(content: Column) -> Column:
-    """Container, lyric candidates and warnings of each file's bytes; null bytes give null."""
-    return F.arrow_udf(_scans, _SCAN_DDL)(content)
 
+def walked(media: Column) -> Column:
+    """``(container, warnings, blocks)`` of each file: where its tags are, by the heads of its structures alone.
+
+    ``media`` is a file's bytes, or its path, of which only the heads are read.  Null gives null.
+    """
 
-def _scans(content: pa.Array) -> pa.Array:
-    out = []
-    for raw in content:
-        if not raw.is_valid:
-            out.append(None)
-            continue
-        own = containers.scan(raw.as_py())
-        candidates = [
-            {"text": c.text, "source": c.source, "tag": c.tag, "timed": None if c.timed is None else [{"start_ms": t, "text": x} for t, x in c.timed]}
-            for c in own.candidates
-        ]
-        out.append({"container": own.container, "candidates": candidates, "warnings": own.warnings})
-    return pa.array(out, _SCAN)
+    @F.arrow_udf(_WALK_DDL)
+    def of(files: pa.Array) -> pa.Array:
+        out = []
+        for raw in files:
+            if not raw.is_valid:
+                out.append(None)
+                continue
+            with _opened(raw.as_py()) as file:
+                container, blocks, warnings = containers.walk(file)
+            rows = [b._asdict() | {"ranges": [{"offset": o, "length": n} for o, n in b.ranges]} for b in blocks]
+            out.append({"container": container, "warnings": warnings, "blocks": rows})
+        return pa.array(out, _WALK)
+
+    return of(media)
+
+
+def tag_candidates(media: Column, blocks: Column) -> Column:
+    """Lyric candidates ``(text, source, tag, timed)`` of the tags ``blocks`` of each file; only those tags are read."""
+
+    @F.arrow_udf(_CANDIDATES_DDL)
+    def of(files: pa.Array, tags: pa.Array) -> pa.Array:
+        out = []
+        for raw, own in zip(files, tags, strict=True):
+            if not raw.is_valid or not own.is_valid:
+                out.append(None)
+                continue
+            found = []
+            with _opened(raw.as_py()) as file:
+                for b in own.as_py():
+                    block = containers.Block(b["source"], b["kind"], b["tag"], [(r["offset"], r["length"]) for r in b["ranges"]])
+                    for name, text, timed in containers.lyrics(file, block):
+                        found.append({"text": text, "source": block.source, "tag": name, "timed": None if timed is None else [{"start_ms": t, "text": x} for t, x in timed]})
+            out.append(found)
+        return pa.array(out, _CANDIDATES)
+
+    return of(media, blocks)
+
+
+def scanned(rows: DataFrame, media: Column, name: str = "scan") -> DataFrame:
+    """``rows`` with ``(container, candidates, warnings)`` of each file's bytes or path as a column."""
+    found = rows.withColumn("_media", media).withColumn("_walk", walked(F.col("_media"))).withColumn("_found", tag_candidates(F.col("_media"), F.col("_walk.blocks")))
+    scan = F.when(F.col("_walk").isNotNull(), F.struct("_walk.container", F.col("_found").alias("candidates"), "_walk.warnings"))
+    return found.withColumn(name, scan).drop("_media", "_walk", "_found")
 
 
 def kept_candidates(candidates: Column) -> Column:
@@ -72,19 +111,36 @@ def container_name(content: Column) -> Column:
     )
 
 
-def read_tracks(spark: SparkSession, path: str, *, largest: int = LARGEST_FILE, pattern: str = "*") -> DataFrame:
-    """``(track_id, file_name, size_bytes, sha256, container, warnings, candidates, best)`` of the media files in ``path``.
+def media_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``(track_id, file_name, size_bytes)`` of the files in ``path``: Spark's listing, none of their bytes.
 
-    The content of files of more than ``largest`` bytes is not read: they give a row with their size, a warning and no
-    candidates.  Files without any bytes give no row, as Spark's scan passes over them.
+    Files without any bytes give no row, as Spark's scan passes over them.  Files are dealt over tasks by their sizes.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    named = [F.col("path").alias("track_id"), F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.lit("audio")).alias("file_name"), F.col("length").alias("size_bytes")]
-    rows = files.where(F.col("length") <= largest).select(*named, F.sha2("content", 256).alias("sha256"), scanned(F.col("content")).alias("scan"))
-    found = rows.select("track_id", "file_name", "size_bytes", "sha256", "scan.container", "scan.warnings", kept_candidates(F.col("scan.candidates")).alias("candidates"))
-    found = found.withColumn("best", best_candidate(F.col("candidates")))
-    large = files.where(F.col("length") > largest).select(*named, F.array(F.lit(f"larger than {largest} bytes")).alias("warnings"), F.array().cast(found.schema["candidates"].dataType).alias("candidates"))
-    return found.unionByName(large, allowMissingColumns=True)
+    name = F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.lit("audio"))
+    return files.select(F.col("path").alias("track_id"), name.alias("file_name"), F.col("length").alias("size_bytes"))
+
+
+def tag_rows(files: DataFrame) -> DataFrame:
+    """``(track_id, container, tag_no, source, kind, tag, offset, length, n_ranges)`` of the tags in ``files(track_id)``, by path.
+
+    A tag in several ranges, as over the pages of an Ogg stream, has the first's offset and the length of all.
+    """
+    rows = files.select("track_id", walked(F.col("track_id")).alias("w")).select("track_id", "w.container", F.posexplode("w.blocks").alias("tag_no", "b"))
+    length = F.aggregate("b.ranges", F.lit(0).cast("long"), lambda n, r: n + r["length"])
+    return rows.select("track_id", "container", "tag_no", "b.source", "b.kind", "b.tag", F.get("b.ranges", F.lit(0))["offset"].alias("offset"), length.alias("length"), F.size("b.ranges").alias("n_ranges"))
+
+
+def read_tracks(spark: SparkSession, path: str, *, pattern: str = "*", digest: bool = True) -> DataFrame:
+    """``(track_id, file_name, size_bytes, sha256, container, warnings, candidates, best)`` of the media files in ``path``.
+
+    Files of any size are read by range: the heads of their structures, then the tags that can hold lyrics, of
+    ``TAG_BYTES`` each at most.  Their digest reads them once more in chunks; without ``digest`` it is null.  Executors
+    open the files themselves, so ``path`` is local, or in a store that pyarrow can open.
+    """
+    found = scanned(media_files(spark, path, pattern), F.col("track_id")).withColumn("sha256", file_sha256(F.col("track_id")) if digest else F.lit(None).cast("string"))
+    kept = found.select("track_id", "file_name", "size_bytes", "sha256", "scan.container", "scan.warnings", kept_candidates(F.col("scan.candidates")).alias("candidates"))
+    return kept.withColumn("best", best_candidate(F.col("candidates")))
 
 
 def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
