@@ -6,10 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import near_match
+from versetime.operators.scan import Running, running
 
 #: Words of a text and of a transcript that are aligned at most.
 REFERENCE_WORDS, TRANSCRIPT_WORDS = 2500, 3500
@@ -64,17 +65,17 @@ def align_words(reference: list[str], transcript: list[str]) -> list[int]:
     ids = np.array([numbers.setdefault(w, len(numbers)) for w in transcript], np.int64)
     near, costs = near_words(reference, transcript), {}
     for word, others in near.items():
-        own = np.full(len(numbers) + 1, 2, np.int16)
+        own = np.full(len(numbers) + 1, 2, np.int32)
         own[[numbers[o] for o in others]] = 1
         if word in numbers:
             own[numbers[word]] = 0
         costs[word] = own[ids]
     n, m = len(reference), len(transcript)
-    steps = np.arange(m + 1, dtype=np.int16)
-    table = np.empty((n + 1, m + 1), np.int16)
+    steps = np.arange(m + 1, dtype=np.int32)
+    table = np.empty((n + 1, m + 1), np.int32)
     table[0] = steps
     for i, word in enumerate(reference, 1):
-        row = np.empty(m + 1, np.int16)
+        row = np.empty(m + 1, np.int32)
         row[0] = i
         np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + costs[word], out=row[1:])
         table[i] = np.minimum.accumulate(row - steps) + steps  # gaps in the text run on from the left
@@ -117,13 +118,11 @@ def filled_gaps(words: DataFrame, key: str = "track_id", order: str = "pos") ->
 
     A matched word keeps its time.  Others share the time between the matches around them, before the first,
     after the last (``TRAILING_WORD_MS`` each at least) or, without any match, the whole.  Positions count
-    from zero.  Every word lasts ``WORD_MS``.  One partitioning serves both directions, each a running value.
+    from zero.  Every word lasts ``WORD_MS``.  Each direction is a running value in two phases (:func:`running`), so a
+    track of any length is spread over tasks.
     """
-    track = Window.partitionBy(key).orderBy(order)
-    back = Window.partitionBy(key).orderBy(F.desc(order))
-    before, after = (way.rowsBetween(Window.unboundedPreceding, -1) for way in (track, back))
     hit = F.when(F.col("match_start").isNotNull(), F.struct(F.col(order).cast("long").alias("at"), "match_start", "match_end"))
-    rows = words.withColumn("_p", F.last(hit, ignorenulls=True).over(before)).withColumn("_n", F.last(hit, ignorenulls=True).over(after))
+    rows = running(words, key, [order], {"_p": Running("last", hit), "_n": Running("last", hit, back=True)})
     i = f"cast({order} as bigint)"
     rows = rows.withColumns({
         "_low": F.expr("case when _p is not null then _p.match_end else 0L end"),

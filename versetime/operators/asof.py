@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import word_range
+from versetime.operators.scan import RANGE_MS, Running, running
 
 
 def frame_clock(tracks: DataFrame, frames_a_second: int, duration: str = "duration_ms") -> DataFrame:
@@ -23,19 +24,19 @@ def active_lines(clock: DataFrame, lines: DataFrame, key: str = "track_id", *, f
     start_ms, end_ms`` and ``previous_text, next_text``.  Lines ``(track_id, line_no, text, start_ms,
     end_ms)`` need not start in order.
 
-    Lines and clock are put together and swept once in order of time, keeping the greatest line seen; there
-    is no range join, and one shuffle by track.
+    Lines and clock are put together and swept in order of time, keeping the greatest line seen; there is no range
+    join, and the sweep is in two phases, so a long track is spread over tasks.
     """
-    place = Window.partitionBy(key).orderBy("line_no")
-    row = F.struct("line_no", "text", "start_ms", "end_ms", F.lag("text").over(place).alias("previous_text"), F.lead("text").over(place).alias("next_text"))
+    text = F.struct("text")
+    lines = running(lines, key, ["line_no"], {"_before": Running("last", text), "_after": Running("last", text, back=True)})
+    row = F.struct("line_no", "text", "start_ms", "end_ms", F.col("_before.text").alias("previous_text"), F.col("_after.text").alias("next_text"))
     others = [F.col(c) for c in clock.columns if c != key]
     marks = lines.select(key, F.col("start_ms").alias("_at"), F.lit(0).alias("_kind"), row.alias("_line"), F.lit(None).cast(clock.select(F.struct(*others).alias("x")).schema[0].dataType).alias("_clock"))
     times = clock.select(key, F.col("time_ms").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_line"].dataType).alias("_line"), F.struct(*others).alias("_clock"))
-    track = Window.partitionBy(key)
-    sweep = track.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(times).withColumn("_active", F.max("_line").over(sweep))
+    wanted = {"_active": Running("max", F.col("_line"), own=True), "_first": Running("min", F.col("_line"), whole=True)}
+    found = running(marks.unionByName(times), key, ["_at", "_kind"], wanted, RANGE_MS)
     if first_line:
-        found = found.withColumn("_active", F.coalesce("_active", F.min("_line").over(track)))
+        found = found.withColumn("_active", F.coalesce("_active", "_first"))
     return found.where("_kind = 1").select(key, "_clock.*", "_active.*")
 
 

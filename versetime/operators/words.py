@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import LINE_BREAK, clean_spacing, is_section_heading, normalized, single_spaced, spread, trimmed, visible_tokens
+from versetime.operators.scan import Running, running
 
 #: Words of a line, and the pause that ends one.
 LINE_WORDS, PAUSE_MS, LEAST_LINE_MS = 8, 850, 200
@@ -48,18 +49,16 @@ def line_numbers(words: DataFrame, key: str = "track_id", order: str = "ord", *,
 
     A line ends after a word with a closing mark, before a pause of more than ``pause_ms``, and when it has
     ``line_words`` words.  Breaks by marks and pauses cut a track into stretches; the words of a stretch are
-    counted off.  All windows have one partitioning and order, so there is one shuffle and one sort.
+    counted off.  The three running values are in two phases, so a track of any length is spread over tasks.
     """
-    track = Window.partitionBy(key).orderBy(order)
-    up_to = track.rowsBetween(Window.unboundedPreceding, 0)
     closes = F.substring("text", -1, 1).isin(".", "!", "?", ";", ":")
-    breaks = F.coalesce(F.lag(closes).over(track) | (F.col("start_ms") - F.lag("end_ms").over(track) > pause_ms), F.lit(False))
-    number = F.row_number().over(track)
-    rows = words.withColumn("_break", breaks).withColumn("_n", number)
-    rows = rows.withColumn("_stretch", F.max(F.when(F.col("_break"), F.col("_n"))).over(up_to))
+    numbered = running(words, key, [order], {"_last": Running("last", F.struct(closes.alias("closes"), "end_ms")), "_n": Running("sum", F.lit(1), own=True)})
+    breaks = F.coalesce(F.col("_last.closes") | (F.col("start_ms") - F.col("_last.end_ms") > pause_ms), F.lit(False))
+    rows = numbered.withColumn("_break", breaks)
+    rows = running(rows, key, [order], {"_stretch": Running("max", F.when(F.col("_break"), F.col("_n")), own=True)})
     place = F.col("_n") - F.coalesce("_stretch", F.lit(1))
-    begins = F.when(F.col("_break") | (place % line_words == 0), 1).otherwise(0)
-    return rows.withColumn("line_no", F.sum(F.when(F.col("_n") == 1, 0).otherwise(begins)).over(up_to)).drop("_break", "_n", "_stretch")
+    begins = F.when(F.col("_n") == 1, 0).when(F.col("_break") | (place % line_words == 0), 1).otherwise(0)
+    return running(rows, key, [order], {"line_no": Running("sum", begins, own=True)}).drop("_last", "_break", "_n", "_stretch")
 
 
 def transcript_lines(words: DataFrame, key: str = "track_id", order: str = "ord", *, line_words: int = LINE_WORDS, pause_ms: int = PAUSE_MS) -> DataFrame:
