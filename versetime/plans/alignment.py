@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versetime.functions.text import is_blank, normalized, visible_tokens
 from versetime.operators.align import REFERENCE_WORDS, TRANSCRIPT_WORDS, aligned_lines, alignment_status, alignment_summary, filled_gaps, matched_positions
+from versetime.operators.anchors import long_matches
 from versetime.operators.lrc import line_rows, lrc_lines, timed_alignment, word_rows
+from versetime.operators.scan import Running, running
 from versetime.operators.words import WORD_MS, line_numbers, reference_lines, segment_words
+from versetime.staging import staged
 
 WORD_COLUMNS = ["track_id", "line_no", "word_no", "text", "start_ms", "end_ms", "matched"]
 
@@ -22,30 +25,59 @@ def timed_words(tracks: DataFrame) -> DataFrame:
 def transcript_words(words: DataFrame) -> DataFrame:
     """Aligned words of transcripts ``(track_id, ord, text, start_ms, end_ms)`` by themselves, in lines."""
     numbered = line_numbers(words)
-    first = numbered.groupBy("track_id", "line_no").agg(F.min("ord").alias("_first"))
-    rows = numbered.join(first, ["track_id", "line_no"]).withColumn("word_no", F.col("ord") - F.col("_first"))
+    rows = numbered.withColumn("word_no", F.row_number().over(Window.partitionBy("track_id", "line_no").orderBy("ord")) - 1)
     return rows.withColumn("matched", F.lit(True)).select(*WORD_COLUMNS)
 
 
+_SPOKEN = "array<struct<ord:bigint,text:string,start_ms:bigint,end_ms:bigint>>"
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """Words of texts ``(…, tokens, spoken)`` that fit one table each, with the times of their matches."""
+    norm = lambda c: F.transform(c, lambda w: normalized(w["text"]))
+    rows = rows.withColumn("mapping", matched_positions(norm("tokens"), norm("spoken")))
+    hit = lambda i: F.when(F.get("mapping", i) >= 0, F.get("spoken", F.get("mapping", i)))
+    found = F.transform("tokens", lambda w, i: F.struct(w["line_no"].alias("line_no"), w["word_no"].alias("word_no"), w["text"].alias("text"), hit(i).alias("hit")))
+    words = rows.select("track_id", "n_words", "duration_ms", F.posexplode(found).alias("pos", "w"))
+    return words.select("track_id", "n_words", "duration_ms", "pos", "w.line_no", "w.word_no", "w.text", F.col("w.hit.start_ms").alias("match_start"), F.col("w.hit.end_ms").alias("match_end"))
+
+
 def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS) -> DataFrame:
     """``(…words of the text…, status)`` of tracks ``(track_id, text, audio_ms, transcript_ms)`` against their transcript.
 
-    Each side is one array a track, at most a few thousand words by the limits of ``alignment_status``, which
-    is judged before the fuzzy join; a track that cannot be aligned gives one row with its status and no word.
+    Words are counted first.  Only where both sides are within the limits is a transcript gathered, one array a track, and
+    aligned in one table.  Longer tracks stay rows: they are cut into pieces of that size at anchors
+    (:func:`~versetime.operators.anchors.long_matches`).  A track that cannot be aligned gives one row with its status and
+    no word: without words on a side, or with more than the limit between two anchors.
     """
     tokens = F.flatten(F.transform(reference_lines(F.col("text")), lambda line, i: F.transform(visible_tokens(line), lambda w, j: F.struct(i.alias("line_no"), j.alias("word_no"), w.alias("text")))))
-    spoken = words.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_ms", "end_ms"))).alias("spoken"))
-    rows = tracks.select("track_id", "audio_ms", "transcript_ms", tokens.alias("tokens")).join(spoken, "track_id", "left")
-    rows = rows.withColumn("spoken", F.coalesce("spoken", F.array().cast("array<struct<ord:bigint,text:string,start_ms:bigint,end_ms:bigint>>")))
-    rows = rows.withColumns({"r": F.size("tokens"), "t": F.size("spoken")}).withColumn("status", alignment_status("r", "t", most_reference, most_transcript))
-    norm = lambda c: F.when(F.col("status") == "ok", F.transform(c, lambda w: normalized(w["text"])))
-    rows = rows.withColumn("mapping", matched_positions(norm("tokens"), norm("spoken")))
-    end = F.greatest(F.col("audio_ms"), F.coalesce("transcript_ms", F.lit(0)), F.element_at("spoken", -1)["end_ms"])
-    found = F.transform("tokens", lambda w, i: F.struct(w["line_no"].alias("line_no"), w["word_no"].alias("word_no"), w["text"].alias("text"), F.when(F.get("mapping", i) >= 0, F.get("spoken", F.get("mapping", i))).alias("hit")))
-    good = rows.where("status = 'ok'").select("track_id", "status", F.col("r").cast("long").alias("n_words"), end.alias("duration_ms"), F.posexplode(found).alias("pos", "w"))
-    timed = filled_gaps(good.select("track_id", "status", "n_words", "duration_ms", "pos", "w.line_no", "w.word_no", "w.text", F.col("w.hit.start_ms").alias("match_start"), F.col("w.hit.end_ms").alias("match_end")))
-    out = timed.select(*WORD_COLUMNS, "status")
-    return out.unionByName(rows.where("status <> 'ok'").select("track_id", "status"), allowMissingColumns=True)
+    counted = words.groupBy("track_id").agg(F.count("*").alias("t"), F.max_by("end_ms", "ord").alias("last_ms"))
+    sizes = tracks.select("track_id", "audio_ms", "transcript_ms", F.coalesce(F.size(tokens), F.lit(0)).cast("long").alias("r")).join(counted, "track_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    end = F.greatest(F.col("audio_ms"), F.coalesce("transcript_ms", F.lit(0)), F.col("last_ms"))
+    judged = staged(sizes.select("track_id", "r", "t", F.col("r").alias("n_words"), end.alias("duration_ms"), alignment_status("r", "t", most_reference, most_transcript).alias("status")), "track-sizes")
+    ok, longer = F.col("status") == "ok", (F.col("r") > 0) & (F.col("t") > 0) & (F.col("status") != "ok")
+    texts = tracks.select("track_id", tokens.alias("tokens")).join(judged, "track_id")
+    spoken = words.join(judged.where(ok), "track_id", "left_semi").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_ms", "end_ms"))).cast(_SPOKEN).alias("spoken"))
+    good = _hits(texts.where(ok).join(spoken, "track_id"))
+    failed = judged.where("r = 0 or t = 0").select("track_id", "status")
+    if not judged.where(longer).isEmpty():
+        found, status = _long_hits(texts.where(longer), words, judged.where(longer), most_reference, most_transcript)
+        good, failed = good.unionByName(found), failed.unionByName(status.where("status <> 'ok'"))
+    out = filled_gaps(staged(good, "matched-words")).select(*WORD_COLUMNS, F.lit("ok").alias("status"))
+    return out.unionByName(failed, allowMissingColumns=True)
+
+
+def _long_hits(texts: DataFrame, words: DataFrame, sizes: DataFrame, most_reference: int, most_transcript: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`_hits` of tracks that are too long for one table, and the status of each."""
+    rows = texts.select("track_id", "n_words", "duration_ms", F.posexplode("tokens").alias("pos", "w"))
+    reference = staged(rows.select("track_id", "n_words", "duration_ms", F.col("pos").cast("long").alias("pos"), "w.line_no", "w.word_no", "w.text", normalized(F.col("w.text")).alias("norm")), "long-texts")
+    own = staged(words.join(sizes, "track_id", "left_semi").select("track_id", "ord", "start_ms", "end_ms", normalized(F.col("text")).alias("norm")), "long-words")
+    numbered = running(own, "track_id", ["ord"], {"pos": Running("sum", F.lit(1))})
+    transcript = staged(numbered.withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long")), "long-transcripts")
+    matches, status = long_matches(reference, transcript, sizes.select("track_id", "r", "t"), most_reference=most_reference, most_transcript=most_transcript)
+    times = matches.join(transcript.select("track_id", F.col("pos").alias("hit"), F.col("start_ms").alias("match_start"), F.col("end_ms").alias("match_end")), ["track_id", "hit"])
+    cut = reference.join(status.where("status = 'ok'"), "track_id", "left_semi").join(times.drop("hit"), ["track_id", "pos"], "left")
+    return cut.select("track_id", "n_words", "duration_ms", F.col("pos").cast("int").alias("pos"), "line_no", "word_no", "text", "match_start", "match_end"), status
 
 
 def track_kind(text: Column) -> Column:

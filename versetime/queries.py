@@ -605,6 +605,26 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
+def document_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its own words as heard, every 17th of them misheard; most documents fit one table, long ones are cut at anchors."""
+    rows = _table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("track_id"), "text")
+    ord_ = F.col("ord").cast("long")
+    heard = rows.select("track_id", F.posexplode(F.flatten(F.transform(words.reference_lines(F.col("text")), T.visible_tokens))).alias("ord", "word"))
+    wrong = F.when(ord_ % 17 == 5, F.concat(F.lit("zq"), F.lpad(ord_.cast("string"), 12, "0"))).otherwise(F.col("word"))
+    heard = heard.select("track_id", ord_.alias("ord"), wrong.alias("text"), (ord_ * 400).alias("start_ms"), (ord_ * 400 + 350).alias("end_ms"))
+    none = F.lit(None).cast("long")
+    found = alignment.plain_words(rows.select("track_id", "text", none.alias("audio_ms"), none.alias("transcript_ms")), heard)
+    return found.drop("text")
+
+
+DOCUMENT_ALIGN_SQL = TOKENS_SQL.rsplit("SELECT doc_id, CAST", 1)[0] + """,
+o AS (SELECT doc_id, line_no, word_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, word_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM t)
+SELECT doc_id AS track_id, CAST(line_no AS INTEGER) AS line_no, CAST(word_no AS INTEGER) AS word_no, CAST(CASE WHEN i % 17 = 5 THEN i * 400 - 50 ELSE i * 400 END AS BIGINT) AS start_ms,
+  CAST(CASE WHEN i % 17 <> 5 THEN i * 400 + 350 WHEN i + 1 = n THEN i * 400 + 350 ELSE i * 400 - 50 + 225 END AS BIGINT) AS end_ms, i % 17 <> 5 AS matched, 'ok' AS status FROM o
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 'no words in the text' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o)
+"""
+
+
 def chunked_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's bytes in chunks of 1,000, folded back to one digest."""
     rows = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -620,7 +640,7 @@ _ALL = {
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
-    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 
