@@ -111,7 +111,8 @@ def long_matches(
     left = _in_pieces(reference, good, "r0", ["norm"]).withColumnRenamed("words", "own")
     right = _in_pieces(transcript, good, "t0", ["norm"]).withColumnRenamed("words", "heard")
     norms = lambda c: F.transform(c, lambda w: w["norm"])
-    both = left.join(right, ["track_id", "piece"]).withColumn("mapping", matched_positions(norms("own"), norms("heard")))
+    both = left.join(right, ["track_id", "piece"]).repartition(int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id", "piece")
+    both = both.withColumn("mapping", matched_positions(norms("own"), norms("heard")))
     hit = lambda i: F.when(F.get("mapping", i) >= 0, F.get("heard", F.get("mapping", i))["pos"])
     found = both.select("track_id", F.explode(F.transform("own", lambda w, i: F.struct(w["pos"].alias("pos"), hit(i).alias("hit")))).alias("m"))
     return staged(found.select("track_id", "m.pos", "m.hit").where("hit is not null"), "long-matches"), status

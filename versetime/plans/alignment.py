@@ -57,8 +57,10 @@ def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = RE
     judged = staged(sizes.select("track_id", "r", "t", F.col("r").alias("n_words"), end.alias("duration_ms"), alignment_status("r", "t", most_reference, most_transcript).alias("status")), "track-sizes")
     ok, longer = F.col("status") == "ok", (F.col("r") > 0) & (F.col("t") > 0) & (F.col("status") != "ok")
     texts = tracks.select("track_id", tokens.alias("tokens")).join(judged, "track_id")
-    spoken = words.join(judged.where(ok), "track_id", "left_semi").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_ms", "end_ms"))).cast(_SPOKEN).alias("spoken"))
-    good = _hits(texts.where(ok).join(spoken, "track_id"))
+    # A few bytes are much work here: tracks are dealt over all tasks, not over as few as their size asks for.
+    dealt = lambda df: df.repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+    spoken = dealt(words.join(judged.where(ok), "track_id", "left_semi")).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_ms", "end_ms"))).cast(_SPOKEN).alias("spoken"))
+    good = _hits(dealt(texts.where(ok)).join(spoken, "track_id"))
     failed = judged.where("r = 0 or t = 0").select("track_id", "status")
     if not judged.where(longer).isEmpty():
         found, status = _long_hits(texts.where(longer), words, judged.where(longer), most_reference, most_transcript)
