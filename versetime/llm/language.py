@@ -134,7 +134,7 @@ def primary_language(declared: Column) -> Column:
     return F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
 
 
-def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, keep: list[str]) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, keep: list[str], stage_rows: bool = True) -> DataFrame:
     """``keep`` columns with ``language``, ``posterior``, ``accepted`` and each kind of evidence by itself.
 
     * text: the trained likelihood of the text, tempered, and that of a text in none of the languages;
@@ -145,7 +145,8 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
 
     The counts are grouped sums of the text's posteriors, combined before their shuffles; hosts are joined
     back to the rows, where adaptive execution splits a host that has very many.  The likelihoods are written
-    to the shared folder with the ``keep`` columns, so texts are read once.
+    to the shared folder with the ``keep`` columns, so texts are read once; without ``stage_rows`` they are written
+    alone and found again from the texts at the end, which spares the disk a copy of rows that are kept whole.
 
     ``und``, for any other language or none, is the last hypothesis and never accepted; ``text_posterior`` and
     ``host_prior`` have it last.  A text without letters (null and empty ones too) is ``und``, with posterior zero;
@@ -156,9 +157,11 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     languages, share = (*model.languages, UNKNOWN), rows.sparkSession.sparkContext.broadcast
     n = len(languages)
     own = rows.select(F.struct(*keep).alias("_keep"), text.alias("_text"), F.nullif(primary_language(declared), F.lit("")).alias("_declared"), F.lower(host).alias("_host"))
-    own = staged(own.withColumn("_likelihood", text_evidence(share(model))("_text")).drop("_text"), "evidence")
-    own = own.withColumns({f"_p{i}": F.col("_likelihood")[n + i] for i in range(n)} | {"_domain": F.substring_index("_host", ".", -2)})
-    known = own.where("_likelihood is not null")
+    own = own.withColumn("_likelihood", text_evidence(share(model))("_text")).drop("_text")
+    counted = staged(own if stage_rows else own.drop("_keep"), "evidence")
+    parts = {f"_p{i}": F.col("_likelihood")[n + i] for i in range(n)} | {"_domain": F.substring_index("_host", ".", -2)}
+    own = (counted if stage_rows else own).withColumns(parts)
+    known = counted.withColumns(parts).where("_likelihood is not null")
     sums = [F.sum(f"_p{i}").alias(f"s{i}") for i in range(n)]
     added = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     by_host = staged(known.groupBy("_domain", "_host").agg(*sums), "hosts")

@@ -80,12 +80,13 @@ def leaf_budgets(leaves: DataFrame, weights: MixtureWeights, budget: int, max_ep
 
 def mix(
     docs: DataFrame, domain: Column, weights: MixtureWeights, *, budget_percent: int = 80, max_epochs: int = 2, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", origin_col: str = "source", keep: list[str] | None = None,
+    id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", origin_col: str = "source", keep: list[str] | None = None, stage_rows: bool = True,
 ) -> DataFrame:
     """The rows of ``docs`` that make up the mixture, once an epoch, with ``domain, language, origin, n_tokens, epoch``.
 
     Of the columns of ``docs`` those in ``keep`` stay, or all.  They are written to the shared folder with each row's
-    words counted, so texts are read once.
+    words counted, so texts are read once; without ``stage_rows`` the counts are written alone and the words of rows
+    that stay are counted again, which spares the disk a copy of them.
 
     ``budget_percent`` of all tokens (words) are given out; see :func:`leaf_budgets`.  A leaf's budget is whole
     epochs of its rows and a token-prefix of one more, whose order is that of a hash of seed, epoch and id.
@@ -98,14 +99,13 @@ def mix(
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c not in (*LEVELS, "n_tokens", "epoch")]
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.encode(text_col, "UTF-8")), F.lit(""))
-    rows = staged(
-        docs.select(
-            F.struct(*(F.col(c) for c in columns)).alias("_row") if columns else F.lit(None).cast("int").alias("_row"), F.col(id_col).alias("_id"), name.alias("_name"), domain.alias("domain"),
-            F.coalesce(F.col(language_col), F.lit("und")).alias("language"), F.coalesce(F.col(origin_col), F.lit("unknown")).alias("origin"), word_count(F.col(text_col)).alias("n_tokens"),
-        ),
-        "counted",
+    rows = docs.select(
+        F.struct(*(F.col(c) for c in columns)).alias("_row") if columns else F.lit(None).cast("int").alias("_row"), F.col(id_col).alias("_id"), name.alias("_name"), domain.alias("domain"),
+        F.coalesce(F.col(language_col), F.lit("und")).alias("language"), F.coalesce(F.col(origin_col), F.lit("unknown")).alias("origin"), word_count(F.col(text_col)).alias("n_tokens"),
     )
-    leaves = staged(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
+    counted = staged(rows if stage_rows else rows.drop("_row"), "counted")
+    rows = counted if stage_rows else rows
+    leaves = staged(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
     budget = int(leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) * budget_percent // 100
     given = leaf_budgets(leaves, weights, budget, max_epochs)
     positive = F.greatest(F.col("tokens"), F.lit(1))
@@ -117,13 +117,13 @@ def mix(
     with_plan = lambda own, table: own.join(F.broadcast(table) if small else table, list(LEVELS))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("full").cast("string"), F.lit(":"), "_name").cast("binary"))
     bucket = F.expr("(cast(conv(substr(seeded, 1, 8), 16, 10) as bigint) * buckets) div 4294967296")
-    ranked = lambda table: with_plan(rows, table).withColumn("seeded", order).withColumn("bucket", bucket)
-    sums = ranked(plan).groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("own"))
+    ranked = lambda own, table: with_plan(own, table).withColumn("seeded", order).withColumn("bucket", bucket)
+    sums = ranked(counted, plan).groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("own"))
     until = F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
     cut = sums.withColumn("until", until).where("until > rest").groupBy(*LEVELS).agg(F.min("bucket").alias("cut"), F.min(F.col("until") - F.col("own")).alias("before"))
     plan = staged(plan.join(cut, list(LEVELS), "left"), "plan")
     kept = [*(F.col(f"_row.`{c}`") for c in columns), *LEVELS, "n_tokens"]
-    now = ranked(plan)
+    now = ranked(rows, plan)
     epochs = F.expr("if(bucket < coalesce(cut, buckets), sequence(0L, full), if(full > 0, sequence(0L, full - 1), array()))")
     whole = now.select(*kept, F.explode(epochs).alias("epoch"))
     running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("seeded", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
