@@ -4,6 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from versetime.llm.common import staged
 from tests.llm.test_decontaminate import best_windows
 from tests.llm.test_fusion import plain_fusion
 from tests.llm.test_jaccard import plain_kept
@@ -44,7 +45,7 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {r.doc_id: r for r in docs.collect()}
     for name, stage in P.STAGES:
-        out = P.staged(stage(spark, docs, SF), f"test-{name}")
+        out = staged(stage(spark, docs, SF), f"test-{name}")
         if name == "token_output":
             assert sorted(map(tuple, out.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == expected(sorted((i, r.text) for i, r in kept.items()))
             break
@@ -70,7 +71,7 @@ def test_stages_on_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1, "q", 2) for r in data], "doc_id long, text string, lang string, source string, n_chars long, row string, domain int")
     for rows in (docs, docs.limit(0)):
         for name, stage in P.STAGES:
-            out = P.staged(stage(spark, rows, SF), f"odd-{name}")
+            out = staged(stage(spark, rows, SF), f"odd-{name}")
             assert out.count() <= rows.count()
             if name != "token_output":
                 assert out.columns == docs.columns
