@@ -74,6 +74,39 @@ OTHER_NAMES = [
     "Eclipse Public License 2.0", "zlib License", "Artistic License 2.0", "European Union Public Licence", "Boost Software License 1.0", "SIL Open Font License 1.1", "PostgreSQL License", "Academic Free License", "Common Development and Distribution License",
     "Microsoft Public License", "Open Software License 3.0", "Python Software Foundation License", "a commercial license", "a proprietary license", "the license agreement of the vendor", "Acme Public License", "Server Side Public License", "SPDX-License-Identifier: EPL-2.0",
 ]
+# Names of licences that are near a family's and are another, and sentences of such licences.
+LOOK_ALIKES = [
+    "Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives License", "CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    "Mozilla Public License 1.1", "MPL 1.1", "SPDX-License-Identifier: MPL-1.1", "Apache License 1.1", "Apache Software License 1.0", "SPDX-License-Identifier: Apache-1.1", "GNU General Public License, version 1", "GPL version 1", "GPLv1",
+    "MIT No Attribution License", "MIT-0 License", "SPDX-License-Identifier: MIT-0", "BSD Zero Clause License", "Zero-Clause BSD License", "SPDX-License-Identifier: 0BSD", "GNU Free Documentation License", "SPDX-License-Identifier: GFDL-1.3-or-later",
+    "Historical Permission Notice and Disclaimer", "SPDX-License-Identifier: HPND", "OpenLDAP Public License", "SPDX-License-Identifier: OLDAP-2.8", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: Zlib", "X11 License", "SPDX-License-Identifier: X11",
+]
+LOOK_ALIKE_SENTENCES = [
+    "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation",
+    "Redistribution and use of this software and associated documentation, with or without modification, are permitted provided that the following conditions are met",
+    "Redistributions in source form must retain copyright statements and notices", "Redistributions in binary form must reproduce applicable copyright statements and notices, this list of conditions, and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+    "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization",
+]
+# What denies a notice, what speaks for one before a bare name, and for each family what makes a notice
+# another one: other versions, and marks of other variants.
+DENIED = r"\b(?:not|never|isn t|aren t|wasn t|neither) (?:be |been |being |yet |to be )?(?:licensed|released|covered|published|available under|made available|distributed under|provided under|under|governed|subject to|offered|the)\b|\bno longer\b|\brather than\b|\binstead of\b|\bunlike\b|\bincompatible with\b"
+CUES = r"\b(?:licen[sc]ed?|released?|under|distributed|available|terms?|covered|copyright|provided|conditions?|publish\w*|see|file|spdx|identifier|granted?|permi\w*|subject|governed|fall|falls|dedicated|via|dual)\b"
+_OTHER_VERSION = r"(?:as )?(?:v|version|ver)? ?(?!{0})[0-9]"
+CONFLICTS = {
+    "MIT": r"\bmit 0\b|\bmit no attribution\b", "Apache-2.0": r"\bapache (?:software )?(?:licen[sc]e )?" + _OTHER_VERSION.format("2"), "MPL-2.0": r"\b(?:mpl|mozilla public licen[sc]e) ?" + _OTHER_VERSION.format("2"),
+    "GPL-3.0": r"\b(?:gpl|gnu general public licen[sc]e) ?" + _OTHER_VERSION.format("3"), "GPL-2.0": r"\b(?:gpl|gnu general public licen[sc]e) ?" + _OTHER_VERSION.format("2"),
+    "LGPL": r"\b(?:lgpl|lesser general public licen[sc]e) ?" + _OTHER_VERSION.format("[23]"), "AGPL-3.0": r"\b(?:agpl|affero general public licen[sc]e) ?" + _OTHER_VERSION.format("3"),
+    "BSD": r"\b(?:0 ?bsd|0 clause|zero clause|bsd zero)\b", "CC-BY": r"\b(?:nc|noncommercial|nd|noderiv\w*|sa|sharealike)\b", "CC-BY-SA": r"\b(?:nc|noncommercial|nd|noderiv\w*)\b",
+    "CC-BY-NC": r"\b(?:nd|noderiv\w*|sa|sharealike)\b",
+}
+#: Words before and after an n-gram that are looked at for these, and words of a paragraph that may be a bare name.
+BEFORE, AFTER, HEADING = 5, 5, 5
 # Paragraphs that share words with notices and are none.
 NOT_NOTICES = [
     "All rights reserved.", "Copyright by the author.", "Your driving licence must be renewed under the new rules.", "The software is in version 2 and free of charge.",
@@ -111,7 +144,8 @@ class LicenceModel:
     weights: list[list[float]]
     bias: list[float]
     temperature: float
-    templates: list[tuple[str, frozenset[tuple[str, ...]]]]
+    #: (family, whether a sentence of the licence and not its name, n-grams)
+    templates: list[tuple[str, bool, frozenset[tuple[str, ...]]]]
 
     def anchors(self, spark: SparkSession) -> DataFrame:
         """``(anchor, place, words_of_gram, gram)``, a few thousand rows for any corpus."""
@@ -121,7 +155,7 @@ class LicenceModel:
     def table(self, spark: SparkSession) -> DataFrame:
         """``(gram, weights, templates)``: what each n-gram says."""
         within = defaultdict(list)
-        for k, (_, own) in enumerate(self.templates):
+        for k, (*_, own) in enumerate(self.templates):
             for g in own:
                 within[g].append(k)
         return spark.createDataFrame([(k, w, within[g]) for k, (g, w) in enumerate(zip(self.grams, self.weights, strict=True))], "gram int, weights array<double>, templates array<int>")
@@ -129,8 +163,8 @@ class LicenceModel:
 
 def notices(family: str, frames: list[str]) -> list[list[str]]:
     """Words of the training notices of a family: its names in frames, its sentences, and parts of these."""
-    found = [words_of(frame.format(name)) for name in NAMES.get(family, OTHER_NAMES) for frame in frames]
-    for text in SENTENCES.get(family, []):
+    found = [words_of(frame.format(name)) for name in NAMES.get(family, [*OTHER_NAMES, *LOOK_ALIKES]) for frame in frames]
+    for text in SENTENCES.get(family, LOOK_ALIKE_SENTENCES if family == UNKNOWN else []):
         own = words_of(text)
         found += [own, own[1:], own[: len(own) * 3 // 4], own[len(own) // 3 :], own[: len(own) // 2]]
     return found
@@ -177,8 +211,10 @@ def train(documents: DataFrame, text_col: str = "text", negatives: int = NEGATIV
     left_out = [r for k, r in enumerate(rows) if k % 3 == 1]
     temperature = _temperature(*_fit(spark, [r for k, r in enumerate(rows) if k % 3 != 1], *size), left_out)
     coefficients, bias = _fit(spark, rows, *size)
-    templates = [(family, frozenset(g for g in grams_of(words_of(text)) if g in number)) for family in NAMES for text in (*NAMES[family], *SENTENCES.get(family, ()))]
-    return LicenceModel(classes, grams, coefficients.T.tolist(), bias.tolist(), temperature, [(f, t) for f, t in templates if t])
+    texts = [(f, False, t) for f in NAMES for t in NAMES[f]] + [(f, True, t) for f, own in SENTENCES.items() for t in own]
+    texts += [(UNKNOWN, False, t) for t in (*OTHER_NAMES, *LOOK_ALIKES)] + [(UNKNOWN, True, t) for t in LOOK_ALIKE_SENTENCES]
+    templates = [(family, sentence, frozenset(g for g in grams_of(words_of(text)) if g in number)) for family, sentence, text in texts]
+    return LicenceModel(classes, grams, coefficients.T.tolist(), bias.tolist(), temperature, [t for t in templates if t[2]])
 
 
 def _temperature(coefficients, bias, rows: list) -> float:
@@ -203,9 +239,12 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_
     its n-grams of the model lie at most ``GAP`` words apart they make one passage, from ``first_word`` (0 is the
     paragraph's first) over ``n_words``; prose around a notice doesn't count.  A passage's distinct n-grams give each
     class a score; ``probability`` is that of the best class after calibration.  ``family`` is ``unknown`` where that
-    class is best, below ``LEAST_PROBABILITY``, and where no template of the family is in the passage to at least
-    ``LEAST_TEMPLATE`` of its n-grams (``template_share``), which is what ``confirmed`` says.  Passages of the class
-    ``other`` are left out.
+    class is best, below ``LEAST_PROBABILITY``, and where the templates don't confirm it (``confirmed``).  Of all
+    templates, those of near-by licences too, that are in the passage to at least ``LEAST_TEMPLATE`` of their n-grams
+    the one with most n-grams there must be of the family; ``template_share`` is the greatest share of the family's own.
+    The words around must not deny the notice or name another version or variant (``DENIED``, ``CONFLICTS``), and where
+    the template is a bare name a word of a notice (``CUES``) must come before, or the paragraph be short.  Passages of
+    the class ``other`` are left out.
 
     The words of the texts are met with the model's anchors by a broadcast join (its size does not depend on
     the corpus); only n-grams that are found are shuffled, once, by row and paragraph.  Null and empty texts give no
@@ -219,7 +258,15 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_
     placed = words.select("row", "doc_id", "paragraph", "words", F.posexplode("words").alias("at", "anchor"))
     same = F.slice("words", F.greatest(F.lit(1), F.col("at") - F.col("place") + 1), F.size("gram_words")) == F.col("gram_words")
     found = placed.join(F.broadcast(model.anchors(spark)), "anchor").where((F.col("at") >= F.col("place")) & same)
-    found = found.select("row", "doc_id", "paragraph", (F.col("at") - F.col("place")).alias("at"), (F.col("at") - F.col("place") + F.size("gram_words")).alias("end"), "gram")
+    begin, end = F.col("at") - F.col("place"), F.col("at") - F.col("place") + F.size("gram_words")
+    first = F.greatest(F.lit(0), begin - BEFORE)
+    before = F.array_join(F.slice("words", first + 1, begin - first), " ")
+    around = F.array_join(F.slice("words", first + 1, end - first + AFTER), " ")
+    against = sum((F.when(around.rlike(rx), 1 << model.classes.index(f)).otherwise(0) for f, rx in CONFLICTS.items()), F.lit(0))
+    found = found.select(
+        "row", "doc_id", "paragraph", begin.alias("at"), end.alias("end"), "gram", F.when(around.rlike(DENIED), -1).otherwise(against).alias("against"),
+        (before.rlike(CUES) | (F.size("words") <= HEADING)).alias("cued"),
+    )
     # Passages: an n-gram that begins more than GAP words after all before it have ended opens one.
     order = Window.partitionBy("row", "paragraph").orderBy("at", "gram")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -227,20 +274,25 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_
     placed = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # A gram counts once a passage, however often it occurs there.
     keys = ["row", "paragraph", "passage"]
-    once = placed.groupBy(*keys, "gram").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"))
+    once = placed.groupBy(*keys, "gram").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"), F.bit_or("against").alias("against"), F.max("cued").alias("cued"))
     each = once.join(F.broadcast(model.table(spark)), "gram").groupBy(*keys).agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"),
-        *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(n)), F.flatten(F.collect_list("templates")).alias("within"),
+        *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(n)), F.flatten(F.collect_list("templates")).alias("within"), F.bit_or("against").alias("against"), F.max("cued").alias("cued"),
     )
     scores = F.array(*((F.col(f"w{i}") + model.bias[i]) / model.temperature for i in range(n)))
     rated = each.withColumn("scores", scores).withColumn("top", F.array_max("scores")).withColumn("best", F.array_position("scores", F.col("top")).cast("int") - 1).where("best > 0")
     mass = F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    # The templates as columns of one row: their class and the number of their n-grams.
-    sizes = F.array(*(F.struct(F.lit(model.classes.index(f)).alias("c"), F.lit(len(t)).alias("n")) for f, t in model.templates))
-    shares = F.transform(sizes, lambda t, k: F.when(t["c"] == F.col("best"), F.size(F.filter("within", lambda x: x == k)) / t["n"]).otherwise(0.0))
-    rated = rated.withColumns({"probability": 1 / mass, "template_share": F.array_max(shares)})
+    # The templates as columns of one row: their class, whether sentences, and the number of their n-grams.
+    own = F.array(*(F.struct(F.lit(model.classes.index(f)).alias("c"), F.lit(sentence).alias("s"), F.lit(len(t)).alias("n")) for f, sentence, t in model.templates))
+    met = F.transform(own, lambda t, k: F.struct(F.size(F.filter("within", lambda x: x == k)).alias("m"), t["c"].alias("c"), t["s"].alias("s"), t["n"].alias("n"), (-k).alias("k")))
+    rated = rated.withColumn("met", F.filter(met, lambda t: t["m"] > 0))
+    shares = F.transform("met", lambda t: F.when(t["c"] == F.col("best"), t["m"] / t["n"]).otherwise(0.0))
+    near = F.filter("met", lambda t: t["m"] / t["n"] >= LEAST_TEMPLATE)
+    top = F.array_max(F.transform(near, lambda t: F.struct(t["m"].alias("m"), (t["m"] / t["n"]).alias("share"), t["k"].alias("k"), t["c"].alias("c"), t["s"].alias("s"))))
+    rated = rated.withColumns({"probability": 1 / mass, "template_share": F.coalesce(F.array_max(shares), F.lit(0.0)), "template": top})
     names = F.array(*(F.lit(c) for c in model.classes))
-    confirmed = F.col("template_share") >= LEAST_TEMPLATE
+    fits = F.col("against").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("best"))) == 0
+    confirmed = F.coalesce((F.col("template.c") == F.col("best")) & fits & (F.col("template.s") | F.col("cued")), F.lit(False))
     family = F.when((F.col("probability") >= LEAST_PROBABILITY) & confirmed, names[F.col("best")]).otherwise(UNKNOWN)
     return rated.select(
         "doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("at").alias("first_word"), (F.col("end") - F.col("at")).alias("n_words"),
