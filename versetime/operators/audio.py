@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetime.functions.text import let
@@ -96,6 +98,60 @@ def resampled(samples: Column, rate: Column) -> Column:
     return of(samples, rate)
 
 
+class Resampler:
+    """:func:`resample` of samples that come in pieces: carries the last sample and the clock from piece to piece."""
+
+    def __init__(self, rate: int, target: int = RATE) -> None:
+        if rate <= 0 or target <= 0:
+            raise ValueError("rates must be positive")
+        self.ratio, self.seen, self.last = rate / target, 0, np.zeros(0, np.float32)
+        self.clock = self.ratio
+
+    def accept(self, samples: np.ndarray) -> np.ndarray:
+        """The outputs that the samples so far determine and that were not given before."""
+        if not len(samples):
+            return np.zeros(0, np.float32)
+        own = np.concatenate([self.last, samples.astype(np.float32)])
+        begin, first = self.seen - len(self.last), samples[: self.seen == 0].astype(np.float32)
+        self.seen, self.last = self.seen + len(samples), own[-1:]
+        due = max(0, int((self.seen - 1 - self.clock) / self.ratio) + 2)
+        clock = np.add.accumulate(np.concatenate([[self.clock], np.full(due, self.ratio)]))
+        now = clock[clock <= self.seen - 1]
+        self.clock = clock[len(now)]
+        right = np.maximum(np.ceil(now).astype(np.int64), 1)
+        fraction = np.clip((now - (right - 1)).astype(np.float32), np.float32(0), np.float32(1))
+        left = own[right - 1 - begin]
+        return np.concatenate([first, (left + (own[right - begin] - left) * fraction).astype(np.float32)])
+
+
+def resampled_chunks(chunks: DataFrame, rate: int, *, key: str = "track_id", target: int = RATE) -> DataFrame:
+    """``(track_id, chunk_no, first_sample, samples)`` at ``target`` of chunks ``(track_id, chunk_no, samples)`` of tracks.
+
+    Chunks are dealt by track and sorted within their partition, which Spark spills, and stream by: a task holds a batch,
+    the last sample and the clock (:class:`Resampler`), whatever the track's length.  Each chunk gives the outputs that it
+    determines, none perhaps, and together they are those of the whole array, bit by bit.
+
+    Null chunks are empty, null samples silence; a null track is a track; an empty table gives no rows.
+    """
+    kind = dict(chunks.dtypes)[key]
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, given = None, None, 0
+        for batch in batches:
+            firsts, out = [], []
+            for track, samples in zip(batch.column(0), batch.column(2), strict=True):
+                if own is None or track.as_py() != now:
+                    now, own, given = track.as_py(), Resampler(rate, target), 0
+                piece = own.accept(samples.values.fill_null(0).to_numpy(zero_copy_only=False)) if samples.is_valid else np.zeros(0, np.float32)
+                firsts.append(given)
+                out.append(piece)
+                given += len(piece)
+            yield pa.record_batch({key: batch.column(0), "chunk_no": batch.column(1), "first_sample": pa.array(firsts, pa.int64()), "samples": pa.array(out, pa.list_(pa.float32()))})
+
+    ordered = chunks.repartition(key).sortWithinPartitions(key, "chunk_no").select(key, F.col("chunk_no").cast("long"), F.col("samples").cast("array<float>"))
+    return ordered.mapInArrow(along, f"`{key}` {kind}, chunk_no long, first_sample long, samples array<float>")
+
+
 def near_silence(samples: Column, threshold: float = SILENCE) -> Column:
     """Whether the tested samples are quiet: an empty array is."""
     limit = F.lit(threshold).cast("float")

@@ -11,7 +11,9 @@ from versetime.functions import text as T
 from versetime.operators import align, asof, audio, lrc, windows, words
 from versetime.plans import alignment
 from versetime.sources import media
+from versetime.sources.pcm import read_pcm16_files, write_pcm16
 from versetime.sources.ranges import chunk_digests, cut
+from versetime.staging import new_shared_path
 
 #: DuckDB's form of :func:`versetime.functions.text.trimmed`.
 _TRIM = r"regexp_replace({}, '^[\s\x00\x1c-\x1f\p{{Z}}]+|[\s\x00\x1c-\x1f\p{{Z}}]+$', '', 'g')"
@@ -605,6 +607,43 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
+def _tracks_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten vectors in turn as the chunks of a track."""
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return rows.select(F.expr("vec_id div 10").alias("track_id"), (F.col("vec_id") % 10).alias("chunk_no"), F.col("embedding").alias("samples"))
+
+
+def resample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks in chunks from 44,100 to 16,000 samples a second, as 16-bit samples."""
+    found = audio.resampled_chunks(_tracks_of_vectors(spark, sf_dir), 44_100)
+    samples = found.select("track_id", "first_sample", F.posexplode(audio.to_pcm16(F.col("samples"))).alias("at", "pcm"))
+    return samples.select("track_id", (F.col("first_sample") + F.col("at")).alias("sample"), F.col("pcm").cast("int").alias("pcm"))
+
+
+RESAMPLE_CHUNKS_SQL = """
+WITH RECURSIVE t AS (SELECT vec_id // 10 AS track_id, flatten(list(embedding ORDER BY vec_id)) AS v FROM embeddings GROUP BY 1),
+c AS (SELECT CAST(1 AS BIGINT) AS k, CAST(2.75625 AS DOUBLE) AS x UNION ALL SELECT k + 1, x + CAST(2.75625 AS DOUBLE) FROM c WHERE x <= (SELECT max(len(v)) FROM t)),
+p AS (SELECT track_id, CAST(0 AS BIGINT) AS k, CAST(v[1] AS FLOAT) AS y FROM t
+  UNION ALL SELECT track_id, k, l + (v[r + 1] - l) * f FROM (SELECT track_id, v, k, r, v[r] AS l, CAST(x - (r - 1) AS FLOAT) AS f FROM (SELECT *, CAST(greatest(ceil(x), 1) AS BIGINT) AS r FROM t JOIN c ON x <= len(v) - 1)))
+SELECT track_id, k AS sample, CAST(floor(CAST(CAST(greatest(-1, least(1, y)) AS FLOAT) * CAST(32767 AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER) AS pcm FROM p
+"""
+
+
+def pcm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of vectors written as files of 16-bit samples by the sink, and read back by range."""
+    path = new_shared_path(spark, "pcm-files")
+    write_pcm16(_tracks_of_vectors(spark, sf_dir).withColumn("samples", audio.to_pcm16(F.col("samples"))), path)
+    back = read_pcm16_files(spark, path, 256)
+    return back.select(F.col("track_id").cast("long").alias("track_id"), "chunk_no", "n_samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
+
+
+PCM_FILES_SQL = """
+WITH q AS (SELECT vec_id // 10 AS track_id, flatten(list(list_transform(embedding, lambda x: CAST(floor(CAST(CAST(greatest(-1, least(1, x)) AS FLOAT) * CAST(32767 AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER)) ORDER BY vec_id)) AS v FROM embeddings GROUP BY 1),
+k AS (SELECT track_id, unnest(range((len(v) + 127) // 128)) AS chunk_no, v FROM q)
+SELECT track_id, chunk_no, CAST(len(v[chunk_no * 128 + 1 : chunk_no * 128 + 128]) AS BIGINT) AS n_samples, array_to_string(list_transform(v[chunk_no * 128 + 1 : chunk_no * 128 + 128], lambda x: CAST(x AS VARCHAR)), ',') AS samples FROM k
+"""
+
+
 def document_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against its own words as heard, every 17th of them misheard; most documents fit one table, long ones are cut at anchors."""
     rows = _table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("track_id"), "text")
@@ -640,7 +679,7 @@ _ALL = {
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
-    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, resample_chunks: RESAMPLE_CHUNKS_SQL, pcm_files: PCM_FILES_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 
