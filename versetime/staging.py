@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and a Python stage runs once however often its result is used.
     """
     return _written(df, new_shared_path(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A :func:`staged` whose tables go at the end of the block.
+
+    What is used after it must have been staged by itself, so that a lost executor needs none of them again.
+    """
+    paths = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_shared_path(spark, name))
+        return _written(df, paths[-1])
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            _deleted(spark, path)
+
+
+def rolling(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """A :func:`staged` for rounds that each need the table before alone: that goes once the next is written."""
+    paths: list[str] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_shared_path(spark, name))
+        written = _written(df, paths[-1])
+        if len(paths) > 1:
+            _deleted(spark, paths.pop(0))
+        return written
+
+    return stage
