@@ -40,6 +40,29 @@ def active_lines(clock: DataFrame, lines: DataFrame, key: str = "track_id", *, f
     return found.where("_kind = 1").select(key, "_clock.*", "_active.*")
 
 
+def line_changes(lines: DataFrame, key: str = "track_id", *, first_line: bool = True) -> DataFrame:
+    """Stretches in which the shown line stays the same: ``(track_id, from_ms, until_ms, line_no, text, start_ms, end_ms,
+    previous_text, next_text)``, the line of :func:`active_lines` from ``from_ms`` until before ``until_ms``.
+
+    A row a change instead of one a frame.  ``until_ms`` is null for the last stretch of a track; ``from_ms`` is null for the
+    first, which reaches back to before any start, but with ``first_line`` false there is none before the first start.  A
+    line that starts after a later one is never shown, and lines that start together show the last alone.  A line without
+    a start has always started.
+    """
+    text = F.struct("text")
+    lines = running(lines, key, ["line_no"], {"_before": Running("last", text), "_after": Running("last", text, back=True)})
+    row = F.struct("line_no", "text", "start_ms", "end_ms", F.col("_before.text").alias("previous_text"), F.col("_after.text").alias("next_text"))
+    marks = lines.select(key, F.col("start_ms").alias("_from"), row.alias("_line"))
+    if first_line:
+        # The least line stands before all starts: the greatest seen is never below it.
+        marks = marks.unionByName(marks.groupBy(key).agg(F.lit(None).cast(marks.schema["_from"].dataType).alias("_from"), F.min("_line").alias("_line")))
+    starts = marks.groupBy(key, "_from").agg(F.max("_line").alias("_line"))
+    seen = running(starts, key, ["_from"], {"_active": Running("max", F.col("_line"), own=True), "_shown": Running("max", F.col("_line"))}, RANGE_MS)
+    changes = seen.where(F.col("_shown").isNull() | (F.col("_shown") < F.col("_active"))).select(key, "_from", "_active")
+    until = running(changes, key, ["_from"], {"_until": Running("last", F.col("_from"), back=True)}, RANGE_MS)
+    return until.select(key, F.col("_from").alias("from_ms"), F.col("_until").alias("until_ms"), "_active.*")
+
+
 def highlighted(words: Column, line: Column, time_ms: Column) -> Column:
     """Ranges of the words that have begun, each where its text first occurs in the line; null for words not in it."""
     begun = F.filter(words, lambda w: w["start_ms"] <= time_ms)
