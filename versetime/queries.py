@@ -14,6 +14,7 @@ from versetime.sources import media
 from versetime.sources.pcm import read_pcm16_files, write_pcm16
 from versetime.sources.ranges import chunk_digests, cut
 from versetime.staging import new_shared_path
+from versetime.streaming.event_time import active_lines_stream, run_to_end, without_repeats_by_time
 
 #: DuckDB's form of :func:`versetime.functions.text.trimmed`.
 _TRIM = r"regexp_replace({}, '^[\s\x00\x1c-\x1f\p{{Z}}]+|[\s\x00\x1c-\x1f\p{{Z}}]+$', '', 'g')"
@@ -172,6 +173,32 @@ SELECT track_id, ord, text, start_ms FROM r WHERE keep
 """
 
 
+#: How late, in milliseconds of their time, segments of :func:`segment_dedup_stream` come in, and its slices of arrival.
+_LATE, _SLICES = 60_000, 3
+
+
+def segment_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of :func:`segment_dedup` as a stream: each comes up to a minute late, so slices of arrival overlap in time.
+
+    The slices are written and taken in one after the other, each run going on from the checkpoint of the one before; a
+    last row of another track moves the watermark past all times, and has no text to keep.
+    """
+    rows = _events(spark, sf_dir).select("track_id", "ord", "text", F.expr("start_ms div 3600").alias("start_ms"))
+    rows = rows.withColumn("at", F.timestamp_millis("start_ms"))
+    came = F.col("start_ms") + F.pmod(F.xxhash64("track_id", "ord"), F.lit(_LATE))
+    first, last = rows.agg(F.min(came), F.max(came)).first()
+    source, out, state = (new_shared_path(spark, name) for name in ("arrived", "unrepeated", "checkpoint"))
+    rows.limit(0).write.parquet(source)
+    found = without_repeats_by_time(spark.readStream.schema(rows.schema).parquet(source), delay=f"{_LATE} milliseconds", order=["ord"])
+    for i in range(_SLICES if first is not None else 0):
+        own = F.least(F.floor((came - first) * _SLICES / (last - first + 1)), F.lit(_SLICES - 1))
+        rows.where(own == i).write.mode("append").parquet(source)
+        run_to_end(found, out, state)
+    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "at"), F.timestamp_millis(F.lit((last or 0) + 10 * _LATE)).alias("at"))
+    end.write.mode("append").parquet(source)
+    return run_to_end(found, out, state).drop("at")
+
+
 def near_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def own(table: str, name: str) -> DataFrame:
         return _table(spark, sf_dir, table, "text").select(F.explode(T.visible_tokens(F.col("text"))).alias("w")).select(T.normalized(F.col("w")).alias(name))
@@ -271,14 +298,53 @@ SELECT track_id, i AS pos, CAST(a AS BIGINT) AS start_ms, CAST(greatest(z, a + 6
 """
 
 
-def active_line_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as lines against a clock of two frames a second."""
+def _clocked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as lines, and a clock of two frames a second."""
     rows = _segments(spark, sf_dir).select(F.col("conv_id").alias("track_id"), F.col("turn").alias("line_no"), "text", (F.col("start_ms") + F.col("conv_id") % 7 * 100 + 500).alias("start_ms"), "end_ms")
-    clock = asof.frame_clock(rows.groupBy("track_id").agg(F.max("end_ms").alias("duration_ms")), 2)
-    found = asof.active_lines(clock, rows)
+    return rows, asof.frame_clock(rows.groupBy("track_id").agg(F.max("end_ms").alias("duration_ms")), 2)
+
+
+def _shown(found: DataFrame) -> DataFrame:
     return found.select("track_id", "frame_no", "time_ms", "line_no", F.md5("text").alias("text"), F.md5("previous_text").alias("previous_text"), F.md5("next_text").alias("next_text"))
 
 
+def active_line_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines against a clock of two frames a second."""
+    rows, clock = _clocked(spark, sf_dir)
+    return _shown(asof.active_lines(clock, rows))
+
+
+def active_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`active_line_asof` from a streaming clock, whose second part goes back to times between the first's."""
+    rows, clock = _clocked(spark, sf_dir)
+    source, out, state = (new_shared_path(spark, name) for name in ("clock", "shown", "checkpoint"))
+    clock.limit(0).write.parquet(source)
+    found = active_lines_stream(spark.readStream.schema(clock.schema).parquet(source), rows)
+    for odd in (0, 1):
+        clock.where(F.col("frame_no") % 2 == odd).write.mode("append").parquet(source)
+        run_to_end(found, out, state)
+    return _shown(spark.read.schema(found.schema).parquet(out))
+
+
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines that start out of order, as stretches in which the shown line stays the same."""
+    start = F.expr("cast((turn * 17 + conv_id) % 23 * 1000 as bigint)")
+    rows = _segments(spark, sf_dir).select(F.col("conv_id").alias("track_id"), F.col("turn").alias("line_no"), "text", start.alias("start_ms"), "end_ms")
+    found = asof.line_changes(rows)
+    return found.select("track_id", "from_ms", "until_ms", "line_no", F.md5("text").alias("text"), F.md5("previous_text").alias("previous_text"), F.md5("next_text").alias("next_text"))
+
+
+# The shown line at each second of a track from before any start; runs of one line are islands.
+CHANGES_SQL = """
+WITH l AS (SELECT conv_id AS track_id, turn AS line_no, text, CAST((turn * 17 + conv_id) % 23 * 1000 AS BIGINT) AS start_ms,
+  lag(text) OVER w AS pt, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT track_id, min(line_no) AS f, unnest(range(-1, 24)) * 1000 AS t FROM l GROUP BY 1),
+a AS (SELECT c.track_id, t, coalesce(max(line_no), any_value(f)) AS line_no FROM c LEFT JOIN l ON l.track_id = c.track_id AND start_ms <= t GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t) - row_number() OVER (PARTITION BY track_id, line_no ORDER BY t) AS island FROM a),
+s AS (SELECT track_id, line_no, CASE WHEN min(t) >= 0 THEN min(t) END AS from_ms, CASE WHEN max(t) < 23000 THEN max(t) + 1000 END AS until_ms FROM i GROUP BY track_id, line_no, island)
+SELECT track_id, CAST(from_ms AS BIGINT) AS from_ms, CAST(until_ms AS BIGINT) AS until_ms, line_no, md5(text) AS text, md5(pt) AS previous_text, md5(nt) AS next_text FROM s JOIN l USING (track_id, line_no)
+"""
+
 ASOF_SQL = """
 WITH l AS (SELECT conv_id AS track_id, turn AS line_no, text, turn * 10000 + conv_id % 7 * 100 + 500 AS start_ms, turn * 10000 + 8000 AS end_ms,
   lag(text) OVER w AS pt, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -679,7 +745,8 @@ _ALL = {
     asr_parse: ASR_SQL, segment_dedup: DEDUP_SQL, near_match_pairs: NEAR_SQL, sequence_align: SEQUENCE_SQL, align_summary: SUMMARY_SQL, gap_fill: GAP_SQL, active_line_asof: ASOF_SQL,
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
-    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, resample_chunks: RESAMPLE_CHUNKS_SQL, pcm_files: PCM_FILES_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, resample_chunks: RESAMPLE_CHUNKS_SQL, pcm_files: PCM_FILES_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, segment_dedup_stream: DEDUP_SQL,
+    active_line_stream: ASOF_SQL, line_changes: CHANGES_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 
