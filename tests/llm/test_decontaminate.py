@@ -1,4 +1,6 @@
+import pickle
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -118,3 +120,21 @@ def test_text_that_repeats_an_item(monkeypatch):
     assert [x[0] for x in whole] == list(range(50))[: len(whole)] and whole[0][1:4] == (1.0, 0, 10)
     monkeypatch.setattr(D, "PAIRS", 100)
     assert items.search((item + " ") * 300) == whole
+
+
+def test_index_is_small_and_a_long_text_is_quick():
+    """Eight megabytes of items in arrays, and a long text that shares common words and phrases with all of them."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"word{i}" for i in range(20_000)])
+    phrase = " ".join(vocabulary[:12])
+    texts = [phrase + " " + " ".join(rng.choice(vocabulary, 188)) for _ in range(6000)]
+    items = D.Items(list(range(6000)), texts)
+    assert len(pickle.dumps(items)) < 40 << 20
+    parts = [" ".join(rng.choice(vocabulary, 150)) + " " + phrase for _ in range(120)]
+    parts[50] = texts[7]
+    text = " ".join(parts)
+    began = time.perf_counter()
+    found = items.search(text)
+    took = time.perf_counter() - began
+    assert [x[:2] for x in found] == [(7, 1.0)] and took < 5, took
+    print("seconds", took)

@@ -23,8 +23,9 @@ SHINGLE, SIMILARITY, RADIUS, EXACT_SHINGLES = 5, 0.8, 23, 9
 BLOCKS = 8
 #: Bytes of benchmark text that are broadcast at once; more take more passes.
 ITEM_BYTES = 8 << 20
-#: Characters of a text that are split into words at once, and pairs of windows and items that are looked up at once.
-PIECE_CHARS, PAIRS = 1 << 20, 1 << 20
+#: Characters of a text that are split into words at once, pairs of places and items that are looked up at once, and
+#: windows that have their fingerprints taken at once.
+PIECE_CHARS, PAIRS, STRETCH = 1 << 20, 1 << 20, 1 << 14
 
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,37 +74,69 @@ def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, count: int) -> n
     return np.packbits(ones * 2 > count, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+class _Postings:
+    """The rarest shingles of the items, one of which any window similar enough must hold: sorted keys, and the items of each.
+
+    A window is similar only if it shares ``similarity`` of an item's shingles; so it holds one of any that weigh more than
+    the rest may.  Those that the fewest items have are taken, which keeps common phrases out.
+    """
+
+    def __init__(self, items: np.ndarray, hashes: list[np.ndarray], similarity: float) -> None:
+        _, place, held_by = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_inverse=True, return_counts=True)
+        rarity, at, keys = held_by[place], 0, []
+        for h in hashes:
+            own, weight = np.unique(h, return_counts=True)
+            order = np.lexsort((own, rarity[at : at + len(own)]))
+            at += len(own)
+            needed = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+            keys.append(own[order[: np.searchsorted(np.cumsum(weight[order]), needed) + 1]])
+        flat, owner = np.concatenate(keys), np.repeat(items, [len(k) for k in keys])
+        order = np.lexsort((owner, flat))
+        self.items = owner[order].astype(np.int32)
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int64)
+        self.shift = np.uint64(64 - max(16, min(24, int(len(self.keys)).bit_length() + 3)))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self.keys >> self.shift] = True
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, key number) of the shingles that are keys."""
+        at = np.flatnonzero(self.seen[hashes >> self.shift])
+        place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        found = self.keys[place] == hashes[at]
+        return at[found], place[found]
+
+    def pairs(self, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, positions of its keys), about ``PAIRS`` positions at once, so that an item may come again."""
+        counts = self.first[place + 1] - self.first[place]
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(counts) // PAIRS)) + 1):
+            n = counts[own]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[place[own]], n)
+            items, positions = self.items[entry], np.repeat(at[own], n)
+            order = np.lexsort((positions, items))
+            items, positions = items[order], positions[order]
+            edges = np.flatnonzero(np.diff(items)) + 1
+            yield from zip(items[np.append(0, edges)].tolist(), np.split(positions, edges), strict=True)
+
+
 class Items:
-    """Benchmark items by their number of words, with their fingerprints in Hamming blocks."""
+    """Benchmark items in arrays: their shingles, their fingerprints, and the keys by which windows are looked up."""
 
     def __init__(self, ids: list[int], texts: list[str | None], radius: int = RADIUS, similarity: float = SIMILARITY) -> None:
         self.radius, self.similarity = radius, similarity
-        kept = [(i, w) for i, w in ((i, words_of(t or "")) for i, t in zip(ids, texts, strict=True)) if w]
-        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
-        self.longest = max(map(len, self.words), default=0)
-        self.sizes: dict[int, np.ndarray] = {}
-        for size in sorted({len(w) for w in self.words}):
-            self.sizes[size] = np.array([k for k, w in enumerate(self.words) if len(w) == size])
-        self.hashes = [shingle_hashes(w, min(SHINGLE, len(w))) for w in self.words]
-        self.counts = [Counter(h.tolist()) for h in self.hashes]
-        self.prints = np.array([window_fingerprints(h, np.zeros(1, np.int64), len(h))[0] for h in self.hashes], np.uint64)
-        # Lengths of the items that have a shingle, and a table that rules out most others at sight, for each shingle size.
-        self.lengths: dict[int, dict[int, set[int]]] = {}
-        for w, h in zip(self.words, self.hashes, strict=True):
-            own = self.lengths.setdefault(min(SHINGLE, len(w)), {})
-            for x in set(h.tolist()):
-                own.setdefault(x, set()).add(len(w))
-        numbers: dict[bytes, int] = {}
-        for w in self.words:
-            for x in w:
-                numbers.setdefault(x, len(numbers) + 1)
-        self.numbers = numbers
-        self.runs = {s: self._runs(s) for s in self.lengths}
-        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-        #: For each size, block and value of a block: the items whose block is near enough.
-        self.index = {
-            s: [apart[:, (self.prints[k] >> np.uint64(8 * b)).astype(np.uint8)] <= self.radius_of(s, s) // BLOCKS for b in range(BLOCKS)] for s, k in self.sizes.items()
-        }
+        self.ids, sizes, hashes = [], [], []
+        for i, text in zip(ids, texts, strict=True):
+            if own := words_of(text or ""):
+                self.ids.append(i)
+                sizes.append(len(own))
+                hashes.append(shingle_hashes(own, min(SHINGLE, len(own))))
+        self.sizes = np.array(sizes, np.int64)
+        self.longest = max(sizes, default=0)
+        self.prints = np.array([window_fingerprints(h, np.zeros(1, np.int64), len(h))[0] for h in hashes], np.uint64)
+        self.first = np.append(0, np.cumsum([len(h) for h in hashes])).astype(np.int64)
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        shingle = np.minimum(self.sizes, SHINGLE)
+        self.postings = {int(s): _Postings(k := np.flatnonzero(shingle == s), [hashes[i] for i in k], similarity) for s in np.unique(shingle)}
 
     def radius_of(self, size: int, width: int) -> int:
         """Bits that the fingerprints of an item of ``size`` words and of a window of ``width`` may differ in.
@@ -114,79 +147,51 @@ class Items:
             return 64
         return 0 if size - SHINGLE + 1 < EXACT_SHINGLES else self.radius
 
-    def _run_keys(self, numbers: np.ndarray, size: int) -> np.ndarray:
-        n = max(0, len(numbers) - size + 1)
-        out = np.zeros(n, np.uint64)
-        for i in range(size):
-            out = (out + numbers[i : i + n]) * _MIX
-        return out
-
-    def _runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = [self._run_keys(np.array([self.numbers[x] for x in w], np.uint64), size) for w in self.words if min(SHINGLE, len(w)) == size]
-        keys = np.unique(np.concatenate(keys))
-        seen = np.zeros(1 << 16, bool)
-        seen[keys >> np.uint64(48)] = True
-        return keys, seen
-
-    def hits(self, words: list[bytes], size: int) -> np.ndarray:
-        """Positions of the runs of ``size`` words that are a shingle of an item (or, very rarely, seem so)."""
-        get = self.numbers.get
-        numbers = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        keys, seen = self.runs[size]
-        own = self._run_keys(numbers, size)
-        at = np.flatnonzero(seen[own >> np.uint64(48)])
-        if len(at):
-            place = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
-            at = at[keys[place] == own[at]]
-        return at
-
     def search(self, text: str) -> list[tuple[int, float, int, int, int]]:
         """(item, similarity, first word, words, differing bits) of the best window for each item found."""
         best: dict[int, tuple] = {}
         for before, words in pieces(text, self.longest - 1):
-            for size in self.runs:
-                at = self.hits(words, size)
-                if len(at):
-                    self._windows(words, before, size, at, best)
+            for size, postings in self.postings.items():
+                hashes = shingle_hashes(words, size)
+                at, place = postings.hits(hashes)
+                for k, own in postings.pairs(at, place) if len(at) else ():
+                    self._windows(hashes, len(words), before, size, k, own, best)
         return [(self.ids[k], -s, start, n, bits) for k, (s, start, n, bits) in sorted(best.items())]
 
-    def _windows(self, words: list[bytes], before: int, size: int, at: np.ndarray, best: dict) -> None:
-        low = max(0, int(at[0]) - self.longest)
-        high = min(len(words), int(at[-1]) + size + self.longest)
-        hashes = shingle_hashes(words[low:high], size)
-        places: dict[int, list[int]] = {}
-        get = self.lengths[size].get
-        for p, shingle in zip(at.tolist(), hashes[at - low].tolist(), strict=True):
-            for n in get(shingle, ()):
-                places.setdefault(n, []).append(p)
-        for n, own in places.items():
-            width = min(n, len(words))  # a text shorter than the item is one window
-            # Windows that hold one of the places: each opens a run of starts.
-            p = np.array(own)
-            edges = np.zeros(len(words) + 2, np.int32)
-            np.add.at(edges, np.maximum(0, p + size - width), 1)
-            np.add.at(edges, np.minimum(p, len(words) - width) + 1, -1)
-            self._verified(hashes, np.flatnonzero(np.cumsum(edges) > 0) - low, low, before, n, width, width - size + 1, best)
-
-    def _verified(self, hashes: np.ndarray, starts: np.ndarray, low: int, before: int, n: int, width: int, count: int, best: dict) -> None:
-        """Keep the best of the windows from ``starts`` for each item of n words, in blocks of bounded size."""
-        items, radius = self.sizes[n], self.radius_of(n, width)
-        for begin in range(0, len(starts), max(1, PAIRS // len(items))):
-            own = starts[begin : begin + max(1, PAIRS // len(items))]
-            first = int(own[0])
-            prints = window_fingerprints(hashes[first : int(own[-1]) + count], own - first, count)
-            near = np.full((len(own), len(items)), radius >= 64)
-            for b in range(0 if radius >= 64 else BLOCKS):
-                near |= self.index[n][b][(prints >> np.uint64(8 * b)).astype(np.uint8)]
-            w, i = np.nonzero(near)
-            bits = np.bitwise_count(prints[w] ^ self.prints[items[i]])
-            for w, i, apart in zip(*(x[bits <= radius].tolist() for x in (w, i, bits)), strict=True):  # noqa: B020
-                k, at = int(items[i]), int(own[w])
-                both = (Counter(hashes[at : at + count].tolist()) & self.counts[k]).total()
-                score = both / (count + len(self.hashes[k]) - both)
-                rank = (-score, before + low + at, width, apart)
-                if score >= self.similarity and (k not in best or rank < best[k]):
-                    best[k] = rank
+    def _windows(self, hashes: np.ndarray, n_words: int, before: int, size: int, k: int, p: np.ndarray, best: dict) -> None:
+        """Keep the best of the windows that hold one of the places ``p`` for item ``k``, in stretches of bounded length."""
+        n = int(self.sizes[k])
+        width = min(n, n_words)  # a text shorter than the item is one window
+        low, high = np.maximum(0, p + size - width), np.minimum(p, n_words - width)
+        # Places are in order, and so are their windows: each begins where those of the place before end.
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        breaks = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+        for begin, end in zip(low[np.append(0, breaks)].tolist(), high[np.append(breaks, len(p)) - 1].tolist(), strict=True):
+            for at in range(begin, end + 1, STRETCH):
+                self._verified(hashes, np.arange(at, min(end + 1, at + STRETCH)), before, k, n, width, width - size + 1, best)
+
+    def _verified(self, hashes: np.ndarray, starts: np.ndarray, before: int, k: int, n: int, width: int, count: int, best: dict) -> None:
+        first, radius = int(starts[0]), self.radius_of(n, width)
+        prints = window_fingerprints(hashes[first : int(starts[-1]) + count], starts - first, count)
+        # Bits by block: within the radius, one block differs in radius // BLOCKS bits or fewer, and only such are summed.
+        blocks = np.bitwise_count((prints ^ self.prints[k]).view(np.uint8).reshape(-1, BLOCKS))
+        near = np.flatnonzero((blocks <= radius // BLOCKS).any(axis=1))
+        bits = blocks[near].sum(axis=1, dtype=np.int64)
+        near, bits = near[bits <= radius], bits[bits <= radius]
+        if not len(near):
+            return
+        item = self.hashes[self.first[k] : self.first[k + 1]]
+        # Places that share a shingle with the item at all; a window needs enough of them before its weights are compared.
+        reach = hashes[first + int(near[0]) : first + int(near[-1]) + count]
+        shared = np.append(0, np.cumsum(np.isin(reach, item)))
+        enough = shared[near - near[0] + count] - shared[near - near[0]] >= self.similarity * len(item) - 1e-9
+        wanted = Counter(item.tolist()) if enough.any() else Counter()
+        for at, apart in zip((near[enough] + first).tolist(), bits[enough].tolist(), strict=True):
+            both = (Counter(hashes[at : at + count].tolist()) & wanted).total()
+            score = both / (count + len(item) - both)
+            rank = (-score, before + at, width, apart)
+            if score >= self.similarity and (k not in best or rank < best[k]):
+                best[k] = rank
 
 
 def found_items(shared) -> object:
@@ -230,9 +235,9 @@ def _each_block(rows: DataFrame, blocks: list[Callable[[], Items]], use: Callabl
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, n_words, hamming)``: the best window for each item a document holds.
 
-    A window has as many words as the item (all words of a shorter text) and at least one of its shingles,
-    without which no similarity is possible.  Its SimHash is looked up in blocks of the items' fingerprints:
-    every item within the radius (:meth:`Items.radius_of`) agrees in some block up to a few bits.  Those are verified
+    A window has as many words as the item (all words of a shorter text) and at least one of its rarest shingles,
+    without which no similarity is enough (:class:`_Postings`), so it meets only items that it shares these with.  Its
+    SimHash is compared with theirs in blocks: within the radius (:meth:`Items.radius_of`) some block agrees up to a few bits.  Those are verified
     by the exact weighted Jaccard similarity of five-word shingles, a shingle's weight being how often it occurs; shorter
     items are one shingle.
 
