@@ -216,13 +216,17 @@ SELECT a, b FROM a JOIN b ON a <> '' AND b <> '' AND CASE WHEN starts_with(a, b)
 """
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts_and_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every turn of even number as a text, the turn after it as its transcript."""
     rows = _segments(spark, sf_dir).withColumn("track_id", F.expr("conv_id * 1000 + turn - turn % 2"))
     spoken = rows.where("turn % 2 = 1")
     texts = rows.where("turn % 2 = 0").select("track_id", "text", F.lit(0).cast("long").alias("audio_ms")).join(spoken.select("track_id", F.col("end_ms").alias("transcript_ms")), "track_id", "left")
     heard = words.segment_words(spoken.select("track_id", "text", "start_ms", "end_ms")).withColumn("ord", F.col("word_no").cast("long"))
-    return alignment.plain_words(texts, heard)
+    return texts, heard
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.plain_words(*_texts_and_words(spark, sf_dir))
 
 
 def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +278,38 @@ FROM (SELECT track_id, line_no, greatest(max(end_ms), min(start_ms) + 200) AS en
 """
 
 
+#: Tracks of :func:`aligned_tracks` have numbers of their own by kind: LRC texts below zero, events from here, segments below minus this.
+_APART = 1_000_000_000_000
+
+
+def aligned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of tracks of every kind in one table: turns with the turn after as transcript; conversations as LRC texts; without
+    a text, a user's events as words, and conversations as segments alone."""
+    texts, heard = _texts_and_words(spark, sf_dir)
+    events, segments = _events(spark, sf_dir), _segments(spark, sf_dir)
+    events = events.withColumn("track_id", F.col("track_id") + _APART)
+    segments = segments.select((-_APART - F.col("conv_id")).alias("track_id"), F.col("turn").alias("ord"), "text", "start_ms", "end_ms")
+    bare = lambda df, text: df.select("track_id").distinct().select("track_id", F.lit(text).cast("string").alias("text"), F.lit(0).cast("long").alias("audio_ms"))
+    timed = _lyrics(spark, sf_dir).select((-1 - F.col("conv_id")).alias("track_id"), "text", F.lit(200_000).cast("long").alias("audio_ms"))
+    tracks = texts.unionByName(timed.unionByName(bare(events, " \n")).unionByName(bare(segments, None)), allowMissingColumns=True)
+    found, _ = alignment.align(tracks, heard.select("track_id", "ord", "text", "start_ms", "end_ms").unionByName(events), segments)
+    return found.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+TRACKS_SQL = rf"""
+SELECT track_id, CAST(line_no AS BIGINT) AS line_no, word_no, text, start_ms, end_ms, matched, status FROM ({SEQUENCE_SQL})
+UNION ALL SELECT track_id, line_no, CAST(i AS INTEGER), ws[i + 1], start_ms + span * i // len(ws), start_ms + span * (i + 1) // len(ws), true, 'ok' FROM (
+  SELECT -1 - conv_id AS track_id, line_no, start_ms, ws, greatest(end_ms - start_ms, len(ws) * 80) AS span, unnest(range(len(ws))) AS i FROM (SELECT *, regexp_extract_all(text, '\S+') AS ws FROM ({TIMED_SQL})))
+UNION ALL SELECT {_APART} + track_id, line_no, CAST(row_number() OVER (PARTITION BY track_id, line_no ORDER BY ord) - 1 AS INTEGER), text, start_ms, start_ms + 1000, true, 'ok' FROM (
+  WITH {_EVENTS_SQL},
+  a AS (SELECT *, CASE WHEN regexp_matches(lag(text) OVER w, '[.!?;:]$') OR start_ms - (lag(start_ms) OVER w + 1000) > 850 THEN 1 ELSE 0 END AS brk FROM e WINDOW w AS (PARTITION BY track_id ORDER BY ord)),
+  b AS (SELECT *, sum(brk) OVER (PARTITION BY track_id ORDER BY ord) AS island FROM a),
+  c AS (SELECT *, (row_number() OVER (PARTITION BY track_id, island ORDER BY ord) - 1) // 8 AS part FROM b)
+  SELECT *, dense_rank() OVER (PARTITION BY track_id ORDER BY island, part) - 1 AS line_no FROM c)
+UNION ALL SELECT -{_APART} - conv_id, turn, word_no, text, start_ms, end_ms, true, 'ok' FROM ({INTERPOLATION_SQL.replace("* 70", "* 80")})
+"""
+
+
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as words of which every third has a time."""
     count = F.expr("count(*) over (partition by track_id)")
@@ -746,7 +782,7 @@ _ALL = {
     karaoke_ranges: KARAOKE_SQL, best_candidate: BEST_SQL, lyric_key_filter: KEYS_SQL, silence_filter: SILENCE_SQL, resample_quantize: RESAMPLE_SQL, format_helpers: FORMAT_SQL,
     container_extract: EXTRACT_SQL, container_formats: FORMATS_SQL, image_types: IMAGE_SQL, first_candidates: FIRST_SQL, asset_sizes: ASSET_SQL, preview_line_asof: PREVIEW_SQL,
     worker_plan: WORKER_SQL, downmix_quantize: DOWNMIX_SQL, window_counts: COUNTS_SQL, window_progress: PROGRESS_SQL, pcm_bytes: PCM_SQL, paired_lines: LINES_SQL, transcript_text: TRANSCRIPT_SQL, resample_chunks: RESAMPLE_CHUNKS_SQL, pcm_files: PCM_FILES_SQL, document_align: DOCUMENT_ALIGN_SQL, chunked_sha256: CHUNKED_SQL, segment_dedup_stream: DEDUP_SQL,
-    active_line_stream: ASOF_SQL, line_changes: CHANGES_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    active_line_stream: ASOF_SQL, line_changes: CHANGES_SQL, aligned_tracks: TRACKS_SQL, content_sha256: "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 
 
