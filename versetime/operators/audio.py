@@ -67,11 +67,12 @@ def read_pcm16(content: Column, start_sample: Column, n_samples: Column) -> Colu
     return of(F.substring(content, (start_sample * 2 + 1).cast("int"), (n_samples * 2).cast("int")))
 
 
-def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
+def resample(samples: np.ndarray, rate: int, target: int = RATE, *, on_sample: bool = False) -> np.ndarray:
     """Linear interpolation in single precision.
 
     The first output is the first input.  The clock of the others is a running sum of the ratio, not its
-    multiples, and an output at the last input's place still counts.
+    multiples, and an output at the last input's place still counts.  An output at an input's place goes through the
+    same sum, whose rounding can miss that input by a bit; with ``on_sample`` it is the input itself.
     """
     if rate <= 0 or target <= 0:
         raise ValueError("rates must be positive")
@@ -84,16 +85,18 @@ def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
     fraction = np.clip((clock - (right - 1)).astype(np.float32), np.float32(0), np.float32(1))
     left = samples[right - 1].astype(np.float32)
     between = left + (samples[right].astype(np.float32) - left) * fraction
+    if on_sample:
+        between = np.where(clock == right, samples[right].astype(np.float32), between)
     return np.concatenate([samples[:1].astype(np.float32), between.astype(np.float32)])
 
 
-def resampled(samples: Column, rate: Column) -> Column:
-    """Arrays of samples at ``RATE``; null where samples or rate are null."""
+def resampled(samples: Column, rate: Column, *, on_sample: bool = False) -> Column:
+    """Arrays of samples at ``RATE`` by :func:`resample`; null where samples or rate are null."""
 
     @F.arrow_udf("array<float>")
     def of(rows: pa.Array, rates: pa.Array) -> pa.Array:
         pairs = zip(rows, rates.to_pylist(), strict=True)
-        return pa.array([None if r is None or not s.is_valid else resample(s.values.to_numpy(zero_copy_only=False), r) for s, r in pairs], pa.list_(pa.float32()))
+        return pa.array([None if r is None or not s.is_valid else resample(s.values.to_numpy(zero_copy_only=False), r, on_sample=on_sample) for s, r in pairs], pa.list_(pa.float32()))
 
     return of(samples, rate)
 
