@@ -14,6 +14,8 @@ from versetime.operators.scan import Running, running
 
 #: Words of a text and of a transcript that are aligned at most.
 REFERENCE_WORDS, TRANSCRIPT_WORDS = 2500, 3500
+#: Numbers of an alignment's table that are held at once; of a larger one some rows are, and it is made twice.
+TABLE_CELLS = 10_000_000
 #: Least time of a matched word and of one after the last match, and of a line.
 WORD_MS, TRAILING_WORD_MS, LINE_MS = 60, 80, 200
 
@@ -55,41 +57,70 @@ def near_words(reference: list[str], transcript: list[str]) -> dict[str, list[st
     return found
 
 
-def align_words(reference: list[str], transcript: list[str]) -> list[int]:
+def align_words(reference: list[str], transcript: list[str], cells: int = TABLE_CELLS) -> list[int]:
     """For each word of the text the position of its match in the transcript, or -1.
 
     The cheapest edit script (equal 0, near 1, other 2, a gap 1), read back from the end: a diagonal step
     first, then a word of the text alone, then one of the transcript.  Diagonals that cost 2 match nothing.
+
+    A table of more than ``cells`` is made twice: first one row in so many is kept, about the root of their number, then,
+    from the end, the rows between two of them.  The script is the same, at twice the time.
     """
-    numbers: dict[str, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in transcript], np.int64)
-    near, costs = near_words(reference, transcript), {}
-    for word, others in near.items():
-        own = np.full(len(numbers) + 1, 2, np.int32)
-        own[[numbers[o] for o in others]] = 1
-        if word in numbers:
-            own[numbers[word]] = 0
-        costs[word] = own[ids]
+    places = defaultdict(list)
+    for j, word in enumerate(transcript):
+        places[word].append(j)
+    at = {word: np.array(own, np.int64) for word, own in places.items()}
+    near_of = {word: frozenset(others) for word, others in near_words(reference, transcript).items()}
+    close = {word: np.concatenate([at[o] for o in others]) for word, others in near_of.items() if others}
     n, m = len(reference), len(transcript)
     steps = np.arange(m + 1, dtype=np.int32)
-    table = np.empty((n + 1, m + 1), np.int32)
-    table[0] = steps
-    for i, word in enumerate(reference, 1):
-        row = np.empty(m + 1, np.int32)
+    cost = np.full(m, 2, np.int32)
+
+    def advance(before: np.ndarray, i: int, row: np.ndarray) -> None:
+        word = reference[i - 1]
+        same, near = at.get(word), close.get(word)
+        if near is not None:
+            cost[near] = 1
+        if same is not None:
+            cost[same] = 0
+        np.add(before[:-1], cost, out=row[1:])
+        for own in (near, same):
+            if own is not None:
+                cost[own] = 2
+        np.minimum(row[1:], before[1:] + 1, out=row[1:])
         row[0] = i
-        np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + costs[word], out=row[1:])
-        table[i] = np.minimum.accumulate(row - steps) + steps  # gaps in the text run on from the left
+        row -= steps
+        np.minimum.accumulate(row, out=row)  # gaps in the text run on from the left
+        row += steps
+
+    def price(i: int, j: int) -> int:
+        a, b = reference[i], transcript[j]
+        return 0 if a == b else 1 if b in near_of[a] else 2
+
+    block = n if (n + 1) * (m + 1) <= cells else int(n**0.5) + 1
+    kept, row = [steps], steps
+    for i in range(1, n + 1 if block < n else 1):
+        row, before = np.empty(m + 1, np.int32), row
+        advance(before, i, row)
+        if i % block == 0:
+            kept.append(row)
     mapping, i, j = [-1] * n, n, m
-    while i or j:
-        cost = int(costs[reference[i - 1]][j - 1]) if i and j else 0
-        if i and j and table[i, j] == table[i - 1, j - 1] + cost:
-            i, j = i - 1, j - 1
-            if cost <= 1:
-                mapping[i] = j
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
+    for first in range((max(n - 1, 0) // max(block, 1)) * block, -1, -max(block, 1)):
+        table = np.empty((i - first + 1, m + 1), np.int32)
+        table[0] = kept[first // max(block, 1)]
+        for k in range(first + 1, i + 1):
+            advance(table[k - first - 1], k, table[k - first])
+        while i > first or (j and not first):
+            here, above = table[i - first], table[i - first - 1] if i > first else None
+            cost_of = price(i - 1, j - 1) if above is not None and j else 0
+            if above is not None and j and here[j] == above[j - 1] + cost_of:
+                i, j = i - 1, j - 1
+                if cost_of <= 1:
+                    mapping[i] = j
+            elif above is not None and here[j] == above[j] + 1:
+                i -= 1
+            else:
+                j -= 1
     return mapping
 
 

@@ -93,20 +93,23 @@ def _in_pieces(words: DataFrame, starts: DataFrame, start: str, kept: list[str])
 
 def long_matches(
     reference: DataFrame, transcript: DataFrame, sizes: DataFrame, *, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS,
-    run: int = RUN, least: int = PIECE,
+    run: int = RUN, least: int = PIECE, whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Matches ``(track_id, pos, hit)`` of long tracks, positions on both sides, and ``(track_id, status)`` of all.
 
     Each piece is aligned on its own, so a task holds one piece of each side and their table, whatever the track's length.
     Where the cheapest alignment goes through the anchors, as it does where a run that both sides have once isn't met by
     chance, the matches are those of the whole table.  A track with a piece of more than ``most_reference`` or
-    ``most_transcript`` words, for want of an anchor within, has a status instead, and no matches.
+    ``most_transcript`` words, for want of an anchor within, has a status instead, and no matches.  With ``whole`` such a
+    piece is aligned too, in a table of which some rows are held: time grows with the product of its sides, memory with
+    its transcript and the root of its text.
 
     ``sizes(track_id, r, t)`` names the tracks, with the words of both sides, one at least.
     """
     own = staged(pieces(reference, transcript, sizes, run=run, least=least), "pieces")
     judged = own.groupBy("track_id").agg(F.max(F.col("r1") - F.col("r0")).alias("r"), F.max(F.col("t1") - F.col("t0")).alias("t"))
-    status = judged.select("track_id", F.when(F.col("r") > most_reference, "text too long").when(F.col("t") > most_transcript, "transcript too long").otherwise("ok").alias("status"))
+    longest = F.when(F.col("r") > most_reference, "text too long").when(F.col("t") > most_transcript, "transcript too long").otherwise("ok")
+    status = judged.select("track_id", (F.lit("ok") if whole else longest).alias("status"))
     good = own.join(status.where("status = 'ok'"), "track_id", "left_semi")
     left = _in_pieces(reference, good, "r0", ["norm"]).withColumnRenamed("words", "own")
     right = _in_pieces(transcript, good, "t0", ["norm"]).withColumnRenamed("words", "heard")

@@ -42,13 +42,13 @@ def _hits(rows: DataFrame) -> DataFrame:
     return words.select("track_id", "n_words", "duration_ms", "pos", "w.line_no", "w.word_no", "w.text", F.col("w.hit.start_ms").alias("match_start"), F.col("w.hit.end_ms").alias("match_end"))
 
 
-def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS) -> DataFrame:
+def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = REFERENCE_WORDS, most_transcript: int = TRANSCRIPT_WORDS, whole: bool = False) -> DataFrame:
     """``(…words of the text…, status)`` of tracks ``(track_id, text, audio_ms, transcript_ms)`` against their transcript.
 
     Words are counted first.  Only where both sides are within the limits is a transcript gathered, one array a track, and
     aligned in one table.  Longer tracks stay rows: they are cut into pieces of that size at anchors
     (:func:`~versetime.operators.anchors.long_matches`).  A track that cannot be aligned gives one row with its status and
-    no word: without words on a side, or with more than the limit between two anchors.
+    no word: without words on a side, or with more than the limit between two anchors, unless ``whole`` has those aligned too.
     """
     tokens = F.flatten(F.transform(reference_lines(F.col("text")), lambda line, i: F.transform(visible_tokens(line), lambda w, j: F.struct(i.alias("line_no"), j.alias("word_no"), w.alias("text")))))
     counted = words.groupBy("track_id").agg(F.count("*").alias("t"), F.max_by("end_ms", "ord").alias("last_ms"))
@@ -63,20 +63,20 @@ def plain_words(tracks: DataFrame, words: DataFrame, *, most_reference: int = RE
     good = _hits(dealt(texts.where(ok)).join(spoken, "track_id"))
     failed = judged.where("r = 0 or t = 0").select("track_id", "status")
     if not judged.where(longer).isEmpty():
-        found, status = _long_hits(texts.where(longer), words, judged.where(longer), most_reference, most_transcript)
+        found, status = _long_hits(texts.where(longer), words, judged.where(longer), most_reference, most_transcript, whole)
         good, failed = good.unionByName(found), failed.unionByName(status.where("status <> 'ok'"))
     out = filled_gaps(staged(good, "matched-words")).select(*WORD_COLUMNS, F.lit("ok").alias("status"))
     return out.unionByName(failed, allowMissingColumns=True)
 
 
-def _long_hits(texts: DataFrame, words: DataFrame, sizes: DataFrame, most_reference: int, most_transcript: int) -> tuple[DataFrame, DataFrame]:
+def _long_hits(texts: DataFrame, words: DataFrame, sizes: DataFrame, most_reference: int, most_transcript: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """:func:`_hits` of tracks that are too long for one table, and the status of each."""
     rows = texts.select("track_id", "n_words", "duration_ms", F.posexplode("tokens").alias("pos", "w"))
     reference = staged(rows.select("track_id", "n_words", "duration_ms", F.col("pos").cast("long").alias("pos"), "w.line_no", "w.word_no", "w.text", normalized(F.col("w.text")).alias("norm")), "long-texts")
     own = staged(words.join(sizes, "track_id", "left_semi").select("track_id", "ord", "start_ms", "end_ms", normalized(F.col("text")).alias("norm")), "long-words")
     numbered = running(own, "track_id", ["ord"], {"pos": Running("sum", F.lit(1))})
     transcript = staged(numbered.withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long")), "long-transcripts")
-    matches, status = long_matches(reference, transcript, sizes.select("track_id", "r", "t"), most_reference=most_reference, most_transcript=most_transcript)
+    matches, status = long_matches(reference, transcript, sizes.select("track_id", "r", "t"), most_reference=most_reference, most_transcript=most_transcript, whole=whole)
     times = matches.join(transcript.select("track_id", F.col("pos").alias("hit"), F.col("start_ms").alias("match_start"), F.col("end_ms").alias("match_end")), ["track_id", "hit"])
     cut = reference.join(status.where("status = 'ok'"), "track_id", "left_semi").join(times.drop("hit"), ["track_id", "pos"], "left")
     return cut.select("track_id", "n_words", "duration_ms", F.col("pos").cast("int").alias("pos"), "line_no", "word_no", "text", "match_start", "match_end"), status
