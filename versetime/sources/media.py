@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import nullcontext
 
 import pyarrow as pa
@@ -13,9 +14,12 @@ from versetime.operators.lrc import LINES, lrc_lines
 from versetime.sources import containers
 from versetime.sources.ranges import Held, Opened, file_sha256
 
+#: Files whose lyrics a task gives on at once.
+SLICE = 64
 _TIMED = pa.list_(pa.struct([("start_ms", pa.int64()), ("text", pa.string())]))
 _CANDIDATES = pa.list_(pa.struct([("text", pa.string()), ("source", pa.string()), ("tag", pa.string()), ("timed", _TIMED)]))
 _CANDIDATES_DDL = f"array<struct<text:string,source:string,tag:string,timed:{LINES}>>"
+_SCAN = pa.struct([("container", pa.string()), ("candidates", _CANDIDATES), ("warnings", pa.list_(pa.string()))])
 _BLOCK = pa.struct([("source", pa.string()), ("kind", pa.string()), ("tag", pa.string()), ("ranges", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
 _WALK = pa.struct([("container", pa.string()), ("warnings", pa.list_(pa.string())), ("blocks", pa.list_(_BLOCK))])
 _WALK_DDL = "struct<container:string,warnings:array<string>,blocks:array<struct<source:string,kind:string,tag:string,ranges:array<struct<offset:long,length:long>>>>>"
@@ -62,19 +66,44 @@ def tag_candidates(media: Column, blocks: Column) -> Column:
             with _opened(raw.as_py()) as file:
                 for b in own.as_py():
                     block = containers.Block(b["source"], b["kind"], b["tag"], [(r["offset"], r["length"]) for r in b["ranges"]])
-                    for name, text, timed in containers.lyrics(file, block):
-                        found.append({"text": text, "source": block.source, "tag": name, "timed": None if timed is None else [{"start_ms": t, "text": x} for t, x in timed]})
+                    found += _found(file, block)
             out.append(found)
         return pa.array(out, _CANDIDATES)
 
     return of(media, blocks)
 
 
+def _found(file, block: containers.Block) -> list[dict]:
+    """Candidates of a tag."""
+    return [
+        {"text": text, "source": block.source, "tag": name, "timed": None if timed is None else [{"start_ms": t, "text": x} for t, x in timed]}
+        for name, text, timed in containers.lyrics(file, block)
+    ]
+
+
+def _scan(media: Column) -> Column:
+    """:func:`walked` and :func:`tag_candidates` in one reading, given on by ``SLICE`` files, so that a task holds a batch and the texts of a slice."""
+
+    @F.arrow_udf(f"struct<container:string,candidates:{_CANDIDATES_DDL},warnings:array<string>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for files in batches:
+            for first in range(0, len(files), SLICE):
+                out = []
+                for raw in files.slice(first, SLICE):
+                    if not raw.is_valid:
+                        out.append(None)
+                        continue
+                    with _opened(raw.as_py()) as file:
+                        container, blocks, warnings = containers.walk(file)
+                        out.append({"container": container, "candidates": [c for b in blocks for c in _found(file, b)], "warnings": warnings})
+                yield pa.array(out, _SCAN)
+
+    return of(media)
+
+
 def scanned(rows: DataFrame, media: Column, name: str = "scan") -> DataFrame:
     """``rows`` with ``(container, candidates, warnings)`` of each file's bytes or path as a column."""
-    found = rows.withColumn("_media", media).withColumn("_walk", walked(F.col("_media"))).withColumn("_found", tag_candidates(F.col("_media"), F.col("_walk.blocks")))
-    scan = F.when(F.col("_walk").isNotNull(), F.struct("_walk.container", F.col("_found").alias("candidates"), "_walk.warnings"))
-    return found.withColumn(name, scan).drop("_media", "_walk", "_found")
+    return rows.withColumn(name, _scan(media))
 
 
 def kept_candidates(candidates: Column) -> Column:
