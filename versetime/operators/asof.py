@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versetime.functions.text import word_range
@@ -25,19 +25,26 @@ def active_lines(clock: DataFrame, lines: DataFrame, key: str = "track_id", *, f
     end_ms)`` need not start in order.
 
     Lines and clock are put together and swept in order of time, keeping the greatest line seen; there is no range
-    join, and the sweep is in two phases, so a long track is spread over tasks.
+    join, and the sweep is in two phases, so a long track is spread over tasks.  It carries a line's number alone, which
+    no two of a track share; the texts join by it at the end.
     """
     text = F.struct("text")
     lines = running(lines, key, ["line_no"], {"_before": Running("last", text), "_after": Running("last", text, back=True)})
     row = F.struct("line_no", "text", "start_ms", "end_ms", F.col("_before.text").alias("previous_text"), F.col("_after.text").alias("next_text"))
+    # Lines of one number are told apart by the order of their rows.
+    alike = F.row_number().over(Window.partitionBy(key, "line_no").orderBy("_line"))
+    lines = lines.select(F.col(key), row.alias("_line"), F.col("start_ms").alias("_at"), "line_no").select(key, "_line", "_at", F.struct("line_no", alike.alias("alike")).alias("_no"))
     others = [F.col(c) for c in clock.columns if c != key]
-    marks = lines.select(key, F.col("start_ms").alias("_at"), F.lit(0).alias("_kind"), row.alias("_line"), F.lit(None).cast(clock.select(F.struct(*others).alias("x")).schema[0].dataType).alias("_clock"))
-    times = clock.select(key, F.col("time_ms").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_line"].dataType).alias("_line"), F.struct(*others).alias("_clock"))
-    wanted = {"_active": Running("max", F.col("_line"), own=True), "_first": Running("min", F.col("_line"), whole=True)}
+    marks = lines.select(key, "_at", F.lit(0).alias("_kind"), "_no", F.lit(None).cast(clock.select(F.struct(*others).alias("x")).schema[0].dataType).alias("_clock"))
+    times = clock.select(key, F.col("time_ms").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_no"].dataType).alias("_no"), F.struct(*others).alias("_clock"))
+    wanted = {"_active": Running("max", F.col("_no"), own=True), "_first": Running("min", F.col("_no"), whole=True)}
     found = running(marks.unionByName(times), key, ["_at", "_kind"], wanted, RANGE_MS)
     if first_line:
         found = found.withColumn("_active", F.coalesce("_active", "_first"))
-    return found.where("_kind = 1").select(key, "_clock.*", "_active.*")
+    # A struct is never null, so lines of a null key join like any other.
+    place = lambda no: F.struct(F.col(key).alias("key"), F.col(no).alias("no")).alias("_place")
+    shown = found.where("_kind = 1").select(key, "_clock", place("_active")).join(lines.select(place("_no"), "_line"), "_place", "left")
+    return shown.select(key, "_clock.*", "_line.*")
 
 
 def line_changes(lines: DataFrame, key: str = "track_id", *, first_line: bool = True) -> DataFrame:
