@@ -27,7 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a Jaccard similarity of 5-word shingles of 0.8 or more links."""
+    """One document of each group that a Jaccard similarity of 5-word shingles of 0.8 or more links.
+
+    Links come from SimHash fingerprints in the vantage-point tree of operator 1, and a complete search among prefixes for
+    those whose fingerprints are further apart; each is verified.
+    """
     return deduplicated_by_jaccard(docs)
 
 

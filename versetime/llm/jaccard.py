@@ -1,4 +1,4 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, with candidates from prefixes of the shingle sets."""
+"""Near duplicates by SimHash fingerprints in a vantage-point tree and, for what it leaves apart, prefixes of the shingle sets; each link is verified."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from versetime.llm.common import scratch, staged
 from versetime.llm.decontaminate import shingle_hashes
 from versetime.llm.graph import connected_components
+from versetime.llm.simhash import hamming_links, majority_bits
 
 #: Words of a shingle.  Two sets link from a similarity of 4/5; the arithmetic below is in whole numbers.
 SHINGLE = 5
+#: Bits in which fingerprints of sets may differ to be compared, as in :func:`versetime.llm.simhash.near_duplicates`.
+RADIUS = 2
 #: Shingles for each of which a prefix is one longer; longer prefixes must share more.
 MORE = 40
 #: Groups, by their first bits, in which the shingles of a set are counted.
@@ -63,16 +66,17 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _sketched(shared):
-    @F.arrow_udf("struct<code:long,n:int,prefix:array<long>>")
+    @F.arrow_udf("struct<code:long,n:int,print:long,prefix:array<long>>")
     def of(texts: pa.Array) -> pa.Array:
         common, rank = shared.value
-        codes, sizes, prefixes = [], [], []
+        codes, sizes, prints, prefixes = [], [], [], []
         for text in texts:
             own = shingle_set(text.as_py())
             codes.append(set_code(own))
             sizes.append(len(own))
+            prints.append(majority_bits(own))
             prefixes.append(prefix(own, common, rank))
-        return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefixes)], ["code", "n", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(prefixes)], ["code", "n", "print", "prefix"])
 
     return of
 
@@ -144,6 +148,18 @@ def _need(n: str, other: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(4 * (F.col(n) + F.col(other)) / 9) - F.greatest(beyond(n), beyond(other)))
 
 
+def _print_pairs(sketches: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)`` of codes whose fingerprints are equal or linked in the vantage-point tree: each set with the first
+    of its fingerprint, and those firsts along the tree's spanning links."""
+    prints = stage(sketches.select("code", "print").distinct(), "prints")
+    first = prints.groupBy("print").agg(F.min("code").alias("first"))
+    equal = prints.join(first, "print").where("code <> first").select("code", F.col("first").alias("other"))
+    near = hamming_links(prints.select(F.col("print").alias("code")), RADIUS)
+    side = lambda c, name: first.select(F.col("print").alias(c), F.col("first").alias(name))
+    linked = near.join(side("a", "code"), "a").join(side("b", "other"), "b").select("code", "other")
+    return equal.unionByName(linked).select(F.least("code", "other").alias("a"), F.greatest("code", "other").alias("b")).distinct()
+
+
 def _links(rows: DataFrame, sketches: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """:func:`jaccard_links`, with a way to stage tables that go once the links are written."""
     block = Window.partitionBy("s")
@@ -167,10 +183,13 @@ def _links(rows: DataFrame, sketches: DataFrame, stage: Callable[[DataFrame, str
             left, right = (sets.select(F.col("code").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
             return staged(near.join(left, "a").join(right, "b").where(_similar("_a", "_b")).select("a", "b"), name)
 
+    prints = verified(_print_pairs(sketches, stage).withColumn("need", F.lit(1)), "print-links")
+    apart = members.join(staged(connected_components(prints), "print-roots").withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)))
-    centre = F.max(F.struct("known", "code", "n", "limit")).over(Window.partitionBy("s", "size"))
-    met = members.withColumn("size", size).withColumn("centre", centre).where((F.col("code") != F.col("centre.code")) & _near("n", "limit", "centre.n", "centre.limit"))
-    first = verified(met.select(F.least("code", "centre.code").alias("a"), F.greatest("code", "centre.code").alias("b"), _need("n", "centre.n").alias("need")), "stars")
+    centre = F.max(F.struct("known", "code", "n", "limit", "root")).over(Window.partitionBy("s", "size"))
+    met = apart.withColumn("size", size).withColumn("centre", centre).where((F.col("root") != F.col("centre.root")) & _near("n", "limit", "centre.n", "centre.limit"))
+    stars = verified(met.select(F.least("code", "centre.code").alias("a"), F.greatest("code", "centre.code").alias("b"), _need("n", "centre.n").alias("need")), "stars")
+    first = prints.unionByName(stars)
     roots = staged(connected_components(first), "roots")
     labelled = members.join(roots.withColumnRenamed("node", "code"), "code", "left").select("s", "code", "n", "limit", F.coalesce("root", "code").alias("root"))
     mixed = labelled.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
@@ -186,7 +205,9 @@ def _links(rows: DataFrame, sketches: DataFrame, stage: Callable[[DataFrame, str
 def jaccard_links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the codes of sets of similarity 4/5 or more, enough for all components.
 
-    ``rows(doc_id, text)`` are the texts of ``sketches(doc_id, code, n, prefix)``.  Sets of that similarity share
+    ``rows(doc_id, text)`` are the texts of ``sketches(doc_id, code, n, print, prefix)``.  Sets whose fingerprints meet in
+    the vantage-point tree of :func:`versetime.llm.simhash.hamming_links` are compared first.  At that similarity fingerprints
+    can differ in more bits than a tree can search for, so what is still apart goes on: sets of that similarity share
     shingles of their prefixes and so meet in the blocks of these.  Each set of a block is first compared with the
     block's centre of its size, the set whose shingles most sets have: where many are edited copies of one text, that
     is the text, and all of them join it.  Then those of a block that are still in different components are compared,

@@ -45,6 +45,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes, counted in blocks; none of no hashes."""
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), HASH_BLOCK):
+        own = np.ascontiguousarray(hashes[begin : begin + HASH_BLOCK])
+        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash64(text: Column, words: int = 3, seed: int = 42) -> Column:
     """Column of SimHash fingerprints as signed 64-bit integers; see :func:`fingerprint`."""
 
