@@ -95,16 +95,19 @@ def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[Dat
     end_ms)``.  The tracks are told apart first, so only plain texts reach the fuzzy join.  Words have a
     ``status``, ``ok`` or the reason why a track has none.
     """
-    kinds = tracks.withColumn("kind", track_kind(F.col("text")))
+    kinds = staged(tracks.withColumn("kind", track_kind(F.col("text"))), "track-kinds")
     heard = words.select("track_id").distinct()
     by_segment = segment_words(segments.join(heard, "track_id", "left_anti").withColumnRenamed("ord", "seg"), WORD_MS)
     spread = by_segment.withColumn("ord", F.col("seg").cast("long") * 1_000_000 + F.col("word_no")).select("track_id", "ord", "text", "start_ms", "end_ms")
+    plain = kinds.where("kind = 'plain'")
     spoken = words.select("track_id", F.col("ord").cast("long").alias("ord"), "text", "start_ms", "end_ms").unionByName(spread)
+    # The words of other tracks go before they are counted, gathered or written.
+    spoken = staged(spoken.join(plain.select("track_id"), "track_id", "left_semi"), "plain-words")
     blank = kinds.where("kind = 'blank'").select("track_id")
     alone = transcript_words(words.join(blank, "track_id", "left_semi"))
     lines_of = by_segment.join(blank, "track_id", "left_semi").withColumn("line_no", F.col("seg")).withColumn("matched", F.lit(True)).select(*WORD_COLUMNS)
     ok = lambda df: df.withColumn("status", F.lit("ok"))
-    found = ok(timed_words(kinds.where("kind = 'timed'"))).unionByName(ok(alone)).unionByName(ok(lines_of)).unionByName(plain_words(kinds.where("kind = 'plain'"), spoken))
+    found = ok(timed_words(kinds.where("kind = 'timed'"))).unionByName(ok(alone)).unionByName(ok(lines_of)).unionByName(plain_words(plain, spoken))
     return found, aligned_lines(found.where("status = 'ok'"))
 
 
