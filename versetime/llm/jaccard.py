@@ -57,7 +57,7 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
         known = common[at] == own
         own = np.concatenate([own[~known], own[known][np.argsort(rank[at[known]], kind="stable")]])
-    return own[:size]
+    return own[:size].copy()  # a view would hold the whole set
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -171,25 +171,29 @@ def _links(rows: DataFrame, sketches: DataFrame, stage: Callable[[DataFrame, str
     members = stage(shared.select("s", "code", "n", (F.sum("held").over(own) / F.col("n")).alias("known"), (5 * F.col("n") - 9 * alone).alias("limit")), "members")
 
     def verified(met: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs ``met(a, b, need)``, a row for each shingle that their prefixes share, that link."""
+        """Those of the pairs ``met(a, b, print, need)`` that link, of a row for each shingle that their prefixes share, and one
+        for a pair that fingerprints name."""
         with scratch(rows.sparkSession) as brief:
-            pairs = brief(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b"), "pairs")
+            pairs = brief(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.bool_or("print").alias("print")).where("print or n >= need").select("a", "b"), "pairs")
             codes = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
             ids = sketches.join(codes, "code", "left_semi").groupBy("code").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
             own = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            sets = brief(own.select(_coded_set("text").alias("x")).select("x.*").dropDuplicates(["code"]), "sets")
+            sets = brief(own.select(_coded_set("text").alias("x")).select("x.*"), "sets")
+            # Only repeated or null ids read a set twice; all others need not be shuffled for it.
+            read, distinct = sets.agg(F.count("*"), F.count_distinct("code")).first()
+            if read > distinct:
+                sets = brief(sets.dropDuplicates(["code"]), "sets-once")
             left, right = (sets.select(F.col("code").alias(c), F.col("tally").alias(f"_{c}")) for c in "ab")
             near = brief(pairs.join(left, "a").join(right, "b").where(_may_be_similar("_a", "_b")).select("a", "b"), "near-pairs")
             left, right = (sets.select(F.col("code").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
             return staged(near.join(left, "a").join(right, "b").where(_similar("_a", "_b")).select("a", "b"), name)
 
-    prints = verified(_print_pairs(sketches, stage).withColumn("need", F.lit(1)), "print-links")
-    apart = members.join(staged(connected_components(prints), "print-roots").withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    prints = _print_pairs(sketches, stage).select("a", "b", F.lit(True).alias("print"), F.lit(1).alias("need"))
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)))
-    centre = F.max(F.struct("known", "code", "n", "limit", "root")).over(Window.partitionBy("s", "size"))
-    met = apart.withColumn("size", size).withColumn("centre", centre).where((F.col("root") != F.col("centre.root")) & _near("n", "limit", "centre.n", "centre.limit"))
-    stars = verified(met.select(F.least("code", "centre.code").alias("a"), F.greatest("code", "centre.code").alias("b"), _need("n", "centre.n").alias("need")), "stars")
-    first = prints.unionByName(stars)
+    centre = F.max(F.struct("known", "code", "n", "limit")).over(Window.partitionBy("s", "size"))
+    met = members.withColumn("size", size).withColumn("centre", centre).where((F.col("code") != F.col("centre.code")) & _near("n", "limit", "centre.n", "centre.limit"))
+    stars = met.select(F.least("code", "centre.code").alias("a"), F.greatest("code", "centre.code").alias("b"), F.lit(False).alias("print"), _need("n", "centre.n").alias("need"))
+    first = verified(prints.unionByName(stars), "first-links")
     roots = staged(connected_components(first), "roots")
     labelled = members.join(roots.withColumnRenamed("node", "code"), "code", "left").select("s", "code", "n", "limit", F.coalesce("root", "code").alias("root"))
     mixed = labelled.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
@@ -198,7 +202,7 @@ def _links(rows: DataFrame, sketches: DataFrame, stage: Callable[[DataFrame, str
     # A set that can link to smaller ones alone meets no other such set, so those are on one side only.
     equals = F.col("limit_b") >= 4 * F.col("n_b")
     rest = left.where("limit_a >= 4 * n_a").join(right, "s").where((~equals | (F.col("code_a") < F.col("code_b"))) & (F.col("root_a") != F.col("root_b")) & _near("n_a", "limit_a", "n_b", "limit_b"))
-    rest = rest.select(F.least("code_a", "code_b").alias("a"), F.greatest("code_a", "code_b").alias("b"), _need("n_a", "n_b").alias("need"))
+    rest = rest.select(F.least("code_a", "code_b").alias("a"), F.greatest("code_a", "code_b").alias("b"), F.lit(False).alias("print"), _need("n_a", "n_b").alias("need"))
     return first.unionByName(verified(rest, "links"))
 
 
@@ -206,9 +210,9 @@ def jaccard_links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the codes of sets of similarity 4/5 or more, enough for all components.
 
     ``rows(doc_id, text)`` are the texts of ``sketches(doc_id, code, n, print, prefix)``.  Sets whose fingerprints meet in
-    the vantage-point tree of :func:`versetime.llm.simhash.hamming_links` are compared first.  At that similarity fingerprints
-    can differ in more bits than a tree can search for, so what is still apart goes on: sets of that similarity share
-    shingles of their prefixes and so meet in the blocks of these.  Each set of a block is first compared with the
+    the vantage-point tree of :func:`versetime.llm.simhash.hamming_links` are compared.  At that similarity fingerprints
+    can differ in more bits than a tree can search for, but sets of that similarity share
+    shingles of their prefixes and so meet in the blocks of these.  In the same pass each set of a block is compared with the
     block's centre of its size, the set whose shingles most sets have: where many are edited copies of one text, that
     is the text, and all of them join it.  Then those of a block that are still in different components are compared,
     pair by pair.  Only texts of pairs with enough shingles in common are read again, and only pairs whose tallies
