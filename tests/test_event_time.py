@@ -65,6 +65,25 @@ def test_late_rows_and_rows_without_time(spark, tmp_path):
     assert listed(got, "ord") == [(0,), (1,), (2,), (7,), (8,)]
 
 
+def test_tracks_share_the_state_of_a_group(spark, tmp_path):
+    """A batch costs a state for a group of tracks, not one for each; tracks and equal times are still told apart."""
+    source, out, state = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    rows = [(t, n, text, at // 4 * 4) for t, n, text, at in segments(7, [f"t{i}" for i in range(150)] + [None], 3_000)]
+    appended(spark, source, [r for r in rows if r[3] < 20_000])
+    stream = without_repeats_by_time(spark.readStream.schema(SCHEMA).parquet(source), delay="1 second", order=["ord"], groups=5)
+    run_to_end(stream, out, state)
+    assert spark.read.format("statestore").load(state).count() == 5
+    appended(spark, source, [r for r in rows if r[3] >= 20_000])
+    run_to_end(stream, out, state)
+    appended(spark, source, [("end", 0, "...", 10_000_000)])
+    got = run_to_end(stream, out, state)
+    want = without_repeats(timed(spark, rows), order=["ord"])
+    assert len({(r[0], r[3]) for r in rows}) < len(rows)
+    assert listed(got, *want.columns) == listed(want, *want.columns)
+    # Groups of tracks that have ended leave no state.
+    assert spark.read.format("statestore").load(state).count() == 1
+
+
 def lines(spark, seed):
     r = random.Random(seed)
     rows = [(t, n, f"line {n}", r.choice([None, *range(0, 30_000, 500)]) if t == "n" else r.randrange(0, 30) * 1000, 40_000) for t in ("a", "b", "n", None) for n in range(12)]

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from versetime.functions.text import normalized
 from versetime.operators.asof import line_changes
@@ -20,6 +25,8 @@ from versetime.operators.windows import REPEAT_MS, accepted_segments
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 _NO_TIME = -(1 << 62)
+#: Groups of tracks that share a state, and rows of a value in it.
+GROUPS, SLICE = 256, 10_000
 
 
 def _whole_row(df: DataFrame) -> Column:
@@ -31,86 +38,106 @@ def _rows_again(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
     return df.select(F.from_json(text, like.schema, _JSON).alias("_own")).select("_own.*")
 
 
-class _Repeats(StatefulProcessor):
-    """Holds a track's segments until the watermark has passed them, then judges them in order of time."""
+def _named(key: str) -> Column:
+    """A track as text that is never null: rows of several tracks share a group of the state."""
+    return F.to_json(F.struct(F.col(f"`{key}`").alias("key")), _JSON)
 
-    def __init__(self, order: Sequence[str]) -> None:
-        self.order = list(order)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long, norm string, row string")
-        self.kept = handle.getListState("kept", "at long, norm string")
-        self.due = handle.getValueState("due", "at long")
-
-    def _wake(self, at: int) -> None:
-        """One timer a track: that of the first held segment, or of the time when nothing kept can be repeated."""
-        if self.due.exists():
-            self.handle.deleteTimer(int(self.due.get()[0]))
-        self.handle.registerTimer(at)
-        self.due.update((at,))
+def _group(key: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(groups)).alias("_group")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for own in rows:
-            own = own.set_axis(["key", "time", "_at", "_norm", "_row"], axis=1)  # Spark may number the columns
-            timed = own["_at"] != _NO_TIME
-            if timed.any():
-                part = own[timed]
-                self.held.appendList([(int(a), n, r) for a, n, r in zip(part["_at"], part["_norm"], part["_row"], strict=True)])
-                first = int(part["_at"].min()) if first is None else min(first, int(part["_at"].min()))
-            said = own[~timed & (own["_norm"].fillna("") != "")]
-            if len(said):
-                yield pd.DataFrame({"row": said["_row"]})
-        if first is not None and not (self.due.exists() and int(self.due.get()[0]) <= first):
-            self._wake(first)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        self.due.clear()
-        ready, later = [], []
-        for at, norm, row in self.held.get():
-            (ready if at <= passed else later).append((int(at), norm, row))
-        ties = lambda row: [(v is not None, v) for v in map(json.loads(row).get, self.order)]
-        ready.sort(key=lambda r: (r[0], ties(r[2]) if self.order else []))
-        kept = [(int(at), norm) for at, norm in self.kept.get()]
-        keep = list(accepted_segments(((at, norm) for at, norm, _ in ready), kept))
-        kept = [k for k in kept if k[0] + REPEAT_MS > passed]
-        for state, values in ((self.held, later), (self.kept, kept)):
-            if values:
-                state.put(values)
-            else:
-                state.clear()
-        if later:
-            self._wake(min(at for at, _, _ in later))
-        elif kept:
-            self._wake(max(at for at, _ in kept) + REPEAT_MS)
-        yield pd.DataFrame({"row": [r for (_, _, r), k in zip(ready, keep, strict=True) if k]}, dtype=object)
 
-    def close(self) -> None:
-        pass
+def _packed(rows: pa.Table) -> list[bytes]:
+    """Rows as values for a state, which then costs bytes to read and write and not a step a row."""
+    packed = []
+    for own in rows.combine_chunks().to_batches(SLICE):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(own)
+        packed.append(sink.getvalue().to_pybytes())
+    return packed
+
 
+def _unpacked(values: Iterable[bytes], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([b for v in values for b in pa.ipc.open_stream(bytes(v))], schema)
 
-def without_repeats_by_time(segments: DataFrame, at: str = "at", delay: str = "10 seconds", key: str = "track_id", order: Sequence[str] = ()) -> DataFrame:
+
+_HELD = pa.schema([("name", pa.large_string()), ("at", pa.int64()), ("norm", pa.large_string()), ("row", pa.large_string())])
+_KEPT = pa.schema([("name", pa.large_string()), ("at", pa.int64()), ("norm", pa.large_string())])
+
+
+def _in_order(rows: pa.Table, order: Sequence[str]) -> pa.Table:
+    """Held rows by track and time; of equal times the columns ``order`` of the rows decide, nulls first."""
+    rows = rows.take(pc.sort_indices(rows, [("name", "ascending"), ("at", "ascending")]))
+    names, ats = rows["name"].to_pylist(), rows["at"].to_pylist()
+    equal = [i for i in range(1, len(ats)) if ats[i] == ats[i - 1] and names[i] == names[i - 1]]
+    if not (order and equal):
+        return rows
+    alike = sorted({*equal, *(i - 1 for i in equal)})
+    ties = {i: [(v is not None, v) for v in map(json.loads(row).get, order)] for i, row in zip(alike, rows["row"].take(alike).to_pylist(), strict=True)}
+    place = list(range(len(ats)))
+    for _, own in groupby(alike, lambda i: (names[i], ats[i])):
+        own = list(own)
+        place[own[0] : own[-1] + 1] = sorted(own, key=ties.__getitem__)
+    return rows.take(place)
+
+
+def _repeats(order: Sequence[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Holds the segments of a group of tracks until the watermark has passed them, then judges each track's in order of time."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, kept = state.get if state.exists else ([], [])
+        rows = [_unpacked(held, _HELD)]
+        for own in batches if not state.hasTimedOut else ():
+            timed = own["at"] != _NO_TIME
+            rows.append(pa.Table.from_pandas(own.loc[timed, _HELD.names], _HELD, preserve_index=False))
+            said = own[~timed & (own["norm"].fillna("") != "")]
+            if len(said):
+                yield pd.DataFrame({"row": said["row"]})
+        passed, rows = state.getCurrentWatermarkMs(), pa.concat_tables(rows)
+        gone = pc.less_equal(rows["at"], passed)
+        later, ready = rows.filter(pc.invert(gone)), _in_order(rows.filter(gone), order)
+        last: dict[str, list[tuple[int, str]]] = {}
+        for own in _unpacked(kept, _KEPT).to_pylist():
+            last.setdefault(own["name"], []).append((own["at"], own["norm"]))
+        keep: list[bool] = []
+        for name, own in groupby(zip(*(ready[c].to_pylist() for c in ("name", "at", "norm")), strict=True), itemgetter(0)):
+            keep += accepted_segments(((at, norm) for _, at, norm in own), last.setdefault(name, []))
+        near = [(name, at, norm) for name, own in last.items() for at, norm in own if at + REPEAT_MS > passed]
+        if later.num_rows or near:
+            state.update((_packed(later), _packed(pa.table([list(c) for c in zip(*near, strict=True)] or [[], [], []], schema=_KEPT))))
+            # The time of the first that is held, or when nothing kept can be repeated.
+            state.setTimeoutTimestamp(pc.min(later["at"]).as_py() if later.num_rows else max(at for _, at, _ in near) + REPEAT_MS)
+        elif state.exists:
+            state.remove()
+        if any(keep):
+            yield pd.DataFrame({"row": ready["row"].filter(pa.array(keep)).to_pylist()})
+
+    return step
+
+
+def without_repeats_by_time(segments: DataFrame, at: str = "at", delay: str = "10 seconds", key: str = "track_id", order: Sequence[str] = (), groups: int = GROUPS) -> DataFrame:
     """Segments ``(track_id, …, text, at)`` of a stream without repeats, in the order of their times ``at``.
 
     The rows are those of :func:`versetime.operators.windows.without_repeats` for ``start_ms`` that differ as ``at`` does,
     in whatever order and batches they come: a segment is held until the watermark, ``delay`` behind the latest time seen,
     has passed it, and is then compared with the last kept of its track.  What comes behind the watermark is late, and
-    dropped by Spark.  Of equal times ``order`` decides.  What is held is bounded by ``delay``; a timer a track releases it
-    and later forgets what no segment can repeat any more, so tracks that have ended leave no state.  The last ``delay`` of
+    dropped by Spark.  Of equal times ``order`` decides.  What is held is bounded by ``delay``; timeouts release it
+    and later forget what no segment can repeat any more, so tracks that have ended leave no state.  The last ``delay`` of
     a stream comes out when later times, of any track, move the watermark on.
 
-    A track's state is in one task, as each kept segment changes what the next is compared with.  Null tracks are one
-    track; segments without a time come out at once, unless their text has no letter or digit; others of that kind never do.
+    Tracks are dealt into ``groups`` by a hash; a group shares its state and its timeout, so a batch costs a call for a
+    group, not for each track.  A stream goes on from its checkpoint with the number of groups that it began with.  A track's
+    state is in one task, as each kept segment changes what the next is compared with.  Null tracks are one track; segments without a time come out at once, unless their text has no letter or digit; others of that kind never do.
     Columns beside these are carried along, whatever their types.  The query must run with ``STORE``.
     """
     spoken = F.expr(f"cast(ceil(unix_micros(`{at}`) / 1000D) as bigint)")
     rows = segments.withWatermark(at, delay).select(
-        F.col(key).alias("_key"), F.col(at).alias("_time"), F.coalesce(spoken, F.lit(_NO_TIME)).alias("_at"),
-        normalized(F.col("text")).alias("_norm"), _whole_row(segments).alias("_row"),
+        _group(key, groups), F.col(at).alias("_time"), _named(key).alias("name"), F.coalesce(spoken, F.lit(_NO_TIME)).alias("at"),
+        normalized(F.col("text")).alias("norm"), _whole_row(segments).alias("row"),
     )
-    found = rows.groupBy("_key").transformWithStateInPandas(_Repeats(order), "row string", "append", "EventTime")
+    state = "held array<binary>, kept array<binary>"
+    found = rows.groupBy("_group").applyInPandasWithState(_repeats(order), "row string", state, "append", GroupStateTimeout.EventTimeTimeout)
     return _rows_again(found, segments, "row")
 
 
