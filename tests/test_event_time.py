@@ -119,3 +119,29 @@ def test_streaming_clock_gives_the_rows_of_the_batch_lookup(spark, tmp_path, fir
     odd = "text0 = 0.5"
     assert listed(got.where(f"not ({odd})"), *want.columns) == listed(want, *want.columns)
     assert listed(got.where(odd), "track_id", "line_no") == [("a", None), ("no lines", None)]
+
+
+def test_clock_reads_the_state_of_a_group_without_texts(spark, tmp_path):
+    """Tracks share a state, which has times alone; a group has more rows of lines and clock than an Arrow batch."""
+    source, out, state = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    r = random.Random(8)
+    own = [(f"t{t}" if t else None, n, f"line {t} {n}", r.randrange(0, 30) * 1000, 40_000) for t in range(30) for n in range(8)]
+    own = spark.createDataFrame(own, "track_id string, line_no int, text string, start_ms long, end_ms long").coalesce(1)
+    ticks = [(f"t{t}" if t else None, r.choice([None, *range(-500, 32_000, 700)])) for t in range(35) for _ in range(12)]
+    ticks = spark.createDataFrame(ticks, "track_id string, time_ms long").coalesce(1)
+    ticks.where("pmod(time_ms, 1400) < 700").write.mode("append").parquet(source)
+    stream = active_lines_stream(spark.readStream.schema(ticks.schema).parquet(source), own, groups=3)
+    with_slices = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        run_to_end(stream, out, state)
+        ticks.where("time_ms is null or pmod(time_ms, 1400) >= 700").write.mode("append").parquet(source)
+        got = run_to_end(stream, out, state)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_slices)
+    want = asof.active_lines(ticks.where("time_ms is not null"), own)
+    assert listed(got.where("time_ms is not null"), *want.columns) == listed(want, *want.columns)
+    assert got.where("time_ms is null and line_no is null").count() == ticks.where("time_ms is null").count() > 0
+    held = spark.read.format("statestore").option("stateVarName", "changes").load(state)
+    assert held.select("key").distinct().count() == 3
+    assert not [c for c in held.toPandas().astype(str).to_numpy().ravel() if "line " in c]

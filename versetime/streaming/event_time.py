@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
@@ -20,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from versetime.functions.text import normalized
 from versetime.operators.asof import line_changes
 from versetime.operators.windows import REPEAT_MS, accepted_segments
+from versetime.staging import staged
 
 #: The setting and the store that keeps these operators' state, on disk and in the stream's checkpoint.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -44,7 +44,7 @@ def _named(key: str) -> Column:
 
 
 def _group(key: str, groups: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(groups)).alias("_group")
+    return F.pmod(F.xxhash64(_named(key)), F.lit(groups)).alias("_group")
 
 
 def _packed(rows: pa.Table) -> list[bytes]:
@@ -63,6 +63,7 @@ def _unpacked(values: Iterable[bytes], schema: pa.Schema) -> pa.Table:
 
 
 _HELD = pa.schema([("name", pa.large_string()), ("at", pa.int64()), ("norm", pa.large_string()), ("row", pa.large_string())])
+_CHANGES = pa.schema([("name", pa.large_string()), ("from_ms", pa.int64())])
 _KEPT = pa.schema([("name", pa.large_string()), ("at", pa.int64()), ("norm", pa.large_string())])
 
 
@@ -142,63 +143,52 @@ def without_repeats_by_time(segments: DataFrame, at: str = "at", delay: str = "1
 
 
 class _ActiveLine(StatefulProcessor):
-    """A track's changes of line, and the stretch in which the clock was last."""
+    """The times at which the tracks of a group change their line."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.changes = handle.getListState("changes", "from_ms long, line string")
-        self.now = handle.getValueState("now", "from_ms long, until_ms long, line string")
+        self.changes = handle.getListState("changes", "rows binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        own = initialState.set_axis(["key", "from_ms", "line"], axis=1)
-        self.changes.appendList([(int(a), line) for a, line in zip(own["from_ms"], own["line"], strict=True)])
+        own = initialState.set_axis(["group", "name", "from_ms"], axis=1)
+        for value in _packed(pa.Table.from_pandas(own[_CHANGES.names], _CHANGES, preserve_index=False)):
+            self.changes.appendValue((value,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        stretch = tuple(self.now.get()) if self.now.exists() else None
-        starts: list[int] | None = None
-        lines: list[str] = []
+        known = _unpacked((value for (value,) in self.changes.get()), _CHANGES).to_pandas().sort_values("from_ms", ignore_index=True)
+        codes, names = pd.factorize(known["name"])
+        starts, names = known["from_ms"].to_numpy(np.int64), pd.Index(names)
+        right = pd.DataFrame({"code": codes.astype(np.int64), "from_ms": starts, "place": np.arange(len(known))})
         for own in rows:
-            own = own.set_axis(["key", "_at", "_row"], axis=1)
-            times, untimed = own["_at"].to_numpy(np.int64), own["_at"].to_numpy(np.int64) == _NO_TIME
-            found = np.full(len(own), None, object)
-            if stretch is not None:
-                inside = (times >= stretch[0]) & (times < stretch[1]) & ~untimed
-                found[inside] = stretch[2]
-            else:
-                inside = np.zeros(len(own), bool)
-            if not (inside | untimed).all():
-                if starts is None:
-                    known = sorted((int(a), line) for a, line in self.changes.get())
-                    starts, lines = [a for a, _ in known], [line for _, line in known]
-                for i in np.flatnonzero(~inside & ~untimed):
-                    place = bisect_right(starts, times[i])
-                    found[i] = lines[place - 1] if place else None
-                latest = times[~untimed].max()
-                place = bisect_right(starts, latest)
-                if place:
-                    stretch = (starts[place - 1], starts[place] if place < len(starts) else -_NO_TIME, lines[place - 1])
-                    self.now.update(stretch)
-            yield pd.DataFrame({"row": own["_row"], "line": found})
+            own = own.set_axis(["group", "name", "at", "row"], axis=1)
+            left = pd.DataFrame({"code": names.get_indexer(own["name"]).astype(np.int64), "at": own["at"].to_numpy(np.int64), "own": np.arange(len(own))}).sort_values("at")
+            found = pd.merge_asof(left, right, left_on="at", right_on="from_ms", by="code")
+            shown, at = found["place"].notna().to_numpy(), np.full(len(own), _NO_TIME)
+            at[found["own"].to_numpy()[shown]] = starts[found["place"].to_numpy()[shown].astype(np.int64)]
+            yield pd.DataFrame({"row": own["row"].to_numpy(), "_name": own["name"].to_numpy(), "_from": at})
 
     def close(self) -> None:
         pass
 
 
-def active_lines_stream(clock: DataFrame, lines: DataFrame, key: str = "track_id", *, first_line: bool = True) -> DataFrame:
+def active_lines_stream(clock: DataFrame, lines: DataFrame, key: str = "track_id", *, first_line: bool = True, groups: int = GROUPS) -> DataFrame:
     """The rows of :func:`versetime.operators.asof.active_lines` for a ``clock`` that streams in and ``lines`` that don't.
 
-    The first batch puts each track's changes of line (:func:`versetime.operators.asof.line_changes`) into the state, so no
-    later batch reads ``lines`` again.  The state also has the stretch in which the clock was last: a clock that runs on
-    within it needs no search, one that leaves it, jumps, or goes back does.  Neither order nor batches change the rows.
+    The changes of line (:func:`versetime.operators.asof.line_changes`) are written to the shared folder here.  The first
+    batch puts their times into the state, where rows of the clock are looked up; what the line says joins by track and
+    time of change afterwards, so no text goes through the state.  Neither order nor batches change the rows.
 
-    A row whose ``time_ms`` is null, and one of a track without lines, has null lines.  Tracks whose clock has stopped
-    keep their changes.  The query must run with ``STORE``.
+    Tracks are dealt into ``groups`` by a hash, and a group shares its state; a stream goes on from its checkpoint with the
+    number of groups and the ``lines`` that it began with.  A row whose ``time_ms`` is null, and one of a track without
+    lines, has null lines.  Tracks whose clock has stopped keep their changes.  The query must run with ``STORE``.
     """
-    changes = line_changes(lines, key, first_line=first_line)
+    changes = staged(line_changes(lines, key, first_line=first_line), "changes")
     shown = changes.drop(key, "from_ms", "until_ms")
-    initial = changes.select(F.col(key).alias("_key"), F.coalesce("from_ms", F.lit(_NO_TIME + 1)).alias("from_ms"), _whole_row(shown).alias("line"))
-    rows = clock.select(F.col(key).alias("_key"), F.coalesce(F.col("time_ms").cast("long"), F.lit(_NO_TIME)).alias("_at"), _whole_row(clock).alias("_row"))
-    found = rows.groupBy("_key").transformWithStateInPandas(_ActiveLine(), "row string, line string", "append", "None", initialState=initial.groupBy("_key"))
-    own = found.select(F.from_json("row", clock.schema, _JSON).alias("_own"), F.from_json("line", shown.schema, _JSON).alias("_line"))
+    since = F.coalesce("from_ms", F.lit(_NO_TIME + 1))
+    initial = changes.select(_group(key, groups), _named(key).alias("_name"), since.alias("_from"))
+    rows = clock.select(_group(key, groups), _named(key).alias("_name"), F.coalesce(F.col("time_ms").cast("long"), F.lit(_NO_TIME)).alias("_at"), _whole_row(clock).alias("_row"))
+    found = rows.groupBy("_group").transformWithStateInPandas(_ActiveLine(), "row string, _name string, _from long", "append", "None", initialState=initial.groupBy("_group"))
+    said = changes.select(_named(key).alias("_name"), since.alias("_from"), F.struct(*shown.columns).alias("_line"))
+    own = found.join(said, ["_name", "_from"], "left").select(F.from_json("row", clock.schema, _JSON).alias("_own"), "_line")
     return own.select(f"_own.{key}", *(f"_own.`{c}`" for c in clock.columns if c != key), "_line.*")
 
 
