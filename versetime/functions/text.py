@@ -33,9 +33,9 @@ def visible_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
-def normalized(text: Column) -> Column:
-    """Lower case; letters, digits and apostrophes of the basic plane only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}']|[\x{10000}-\x{10FFFF}]", "")
+def normalized(text: Column, kept: str = "") -> Column:
+    """Lower case; letters, digits and apostrophes of the basic plane only, and what separates words, if ``kept``."""
+    return F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{Nd}}'{kept}]|[\x{{10000}}-\x{{10FFFF}}]", "")
 
 
 def clean_spacing(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ REFERENCE_WORDS, TRANSCRIPT_WORDS = 2500, 3500
 TABLE_CELLS = 10_000_000
 #: Least time of a matched word and of one after the last match, and of a line.
 WORD_MS, TRAILING_WORD_MS, LINE_MS = 60, 80, 200
+#: Words of like letters that a word is compared with before it counts as one that may have a match.
+ALIKE = 64
 
 
 def _deletions(word: str) -> set[str]:
@@ -57,12 +61,137 @@ def near_words(reference: list[str], transcript: list[str]) -> dict[str, list[st
     return found
 
 
+@lru_cache(maxsize=1 << 16)
+def near_word(a: str, b: str) -> bool:
+    """Whether two different words nearly match, see :func:`versetime.functions.text.near_match`."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    return len(short) >= 4 and (long.startswith(short) or (len(long) <= 12 and _one_edit(a, b)))
+
+
+def _may_match(own: set[str], others: set[str], exactly: bool) -> set[str]:
+    """The words with an equal or, as it may be, a near one on the other side; of near words both begin or both end with the same two letters."""
+    alone = {word for word in own - others if len(word) >= 4}
+    heads, tails = ({word[:2] for word in others}, {word[-2:] for word in others}) if alone else ((), ())
+    close = {word for word in alone if word[:2] in heads or word[-2:] in tails}
+    if exactly and close:
+        alike = defaultdict(list)
+        for word in others:
+            alike[word[:2]].append(word)
+            alike["", word[-2:]].append(word)
+        for word in [*close]:
+            like = [*alike[word[:2]], *alike["", word[-2:]]]
+            if len(like) <= ALIKE and not any(near_word(word, other) for other in like):
+                close.remove(word)
+    return (own & others) | close
+
+
+def _reached(a: list[str], b: list[str], most: int) -> list[tuple[int, array]] | None:
+    """By cost, and by the words that the transcript is ahead, how many words of the text are reached at most; null beyond ``most`` such states.
+
+    ``(first, rows)`` of each cost up to the cheapest script's.  A state from which the end costs more than a limit is left
+    out, and the limit grows until the end is reached; so each state that a cheapest script goes through is there.
+    """
+    n, m = len(a), len(b)
+    ahead, extra = m - n, 0
+    while True:
+        limit = abs(ahead) + extra
+        if (limit + 1) * (extra + 1) > most:
+            return None
+        levels: list[tuple[int, array]] = []
+        for cost in range(limit + 1):
+            low, high = max(-cost, ahead - limit + cost, -n), min(cost, ahead + limit - cost, m)
+            row = array("i", [-1]) * max(high - low + 1, 0)
+            first, before = levels[-1] if levels else (0, array("i"))
+            for k in range(low, high + 1):
+                at = k - first
+                i = -1 if cost else 0
+                if 0 <= at < len(before) and before[at] >= 0:
+                    i = before[at]
+                    if i < n and i + k < m and near_word(a[i], b[i + k]):
+                        i += 1
+                if 0 < at <= len(before) and before[at - 1] > i:
+                    i = before[at - 1]
+                if -1 <= at < len(before) - 1 and before[at + 1] >= i and before[at + 1] >= 0:
+                    i = before[at + 1] + 1
+                if i < 0:
+                    continue
+                i = min(i, n, m - k)
+                while i < n and i + k < m and a[i] == b[i + k]:
+                    i += 1
+                row[k - low] = i
+            levels.append((low, row))
+            if low <= ahead <= high and row[ahead - low] == n:
+                return levels
+        extra = 2 * extra + 4
+
+
+def _sparse_words(reference: list[str], transcript: list[str]) -> list[int] | None:
+    """:func:`align_words` in time that grows with the length times what the sides differ by; null where a table is less work.
+
+    Words without a match on the other side cost the same in every script, so only the others are compared; the way back
+    goes through all words, so it chooses between equal scripts as the table does.
+    """
+    texts, heards = set(reference), set(transcript)
+    for exactly in (False, True):
+        mine, theirs = _may_match(texts, heards, exactly), _may_match(heards, texts, exactly)
+        a, b = [w for w in reference if w in mine], [w for w in transcript if w in theirs]
+        levels = _reached(a, b, 64 + len(a) * (20 + len(b) // 100) if exactly else 2 * (len(a) + len(b)))
+        if levels is not None:
+            break
+    if levels is None:
+        return None
+
+    def reaches(cost: int, k: int, rows: int) -> bool:
+        if cost < 0:
+            return False
+        first, row = levels[cost]
+        return 0 <= k - first < len(row) and row[k - first] >= rows
+
+    i, j, x, y, cost = len(reference), len(transcript), len(a), len(b), len(levels) - 1
+    mapping = [-1] * i
+    while i and j:
+        word, other = reference[i - 1], transcript[j - 1]
+        if word == other:
+            i, j, x, y = i - 1, j - 1, x - 1, y - 1
+            mapping[i] = j
+        elif (text := word in mine) & (heard := other in theirs):
+            price = 1 if near_word(word, other) else 2
+            if reaches(cost - price, y - x, x - 1):
+                i, j, x, y, cost = i - 1, j - 1, x - 1, y - 1, cost - price
+                if price == 1:
+                    mapping[i] = j
+            elif reaches(cost - 1, y - x + 1, x - 1):
+                i, x, cost = i - 1, x - 1, cost - 1
+            else:
+                j, y, cost = j - 1, y - 1, cost - 1
+        elif text:
+            if reaches(cost - 1, y - x + 1, x - 1):
+                i, x, cost = i - 1, x - 1, cost - 1
+            j -= 1
+        elif heard:
+            if reaches(cost - 1, y - x - 1, x):
+                j, y, cost = j - 1, y - 1, cost - 1
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+    return mapping
+
+
 def align_words(reference: list[str], transcript: list[str], cells: int = TABLE_CELLS) -> list[int]:
     """For each word of the text the position of its match in the transcript, or -1.
 
     The cheapest edit script (equal 0, near 1, other 2, a gap 1), read back from the end: a diagonal step
     first, then a word of the text alone, then one of the transcript.  Diagonals that cost 2 match nothing.
 
+    Where the sides agree in most words, only states near the cheapest script are made, else a table of all.
+    """
+    sparse = _sparse_words(reference, transcript)
+    return table_words(reference, transcript, cells) if sparse is None else sparse
+
+
+def table_words(reference: list[str], transcript: list[str], cells: int = TABLE_CELLS) -> list[int]:
+    """:func:`align_words` by a table of all pairs of positions.
+
     A table of more than ``cells`` is made twice: first one row in so many is kept, about the root of their number, then,
     from the end, the rows between two of them.  The script is the same, at twice the time.
     """
@@ -171,6 +300,34 @@ def filled_gaps(words: DataFrame, key: str = "track_id", order: str = "pos") ->
     return out.drop("_p", "_n", "_low", "_high", "_slots", "_slot")
 
 
+def gap_times(hits: list[int], begin: np.ndarray, end: np.ndarray, begun: np.ndarray, ended: np.ndarray, duration_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`filled_gaps` of one text in memory: ``(start_ms, end_ms, matched, without a time)`` of its words.
+
+    ``hits`` are the positions of its matches, or -1, among words that ``begin`` and ``end`` at these times; ``begun`` and
+    ``ended`` tell which of the times are not null.
+    """
+    hit = np.array(hits, np.int64)
+    matched = (hit >= 0) & begun[hit]
+    at, n, i = np.flatnonzero(matched), len(hit), np.arange(len(hit))
+    # One more match stands for none, before the first word and after the last.
+    place, own = np.append(at, -1), np.append(hit[at], -1)
+    p, q = np.searchsorted(at, i) - 1, np.searchsorted(at, i, "right")
+    before, after = p >= 0, q < len(at)
+    over, known = np.where(before, end[own[p]], 0), ~before | ended[own[p]]
+    trailing = np.where(before, np.maximum(duration_ms, over + TRAILING_WORD_MS * np.maximum(n - place[p] - 1, 1)), duration_ms)
+    high = np.where(after, np.where(before, np.maximum(begin[own[q]], over), begin[own[q]]), trailing)
+    slots = np.maximum(np.where(after, place[q] - np.where(before, place[p], 0), n - np.where(before, place[p], -1) - 1), 1)
+    slot = i - np.where(before, place[p], -1) - 1
+
+    def shared(k: np.ndarray) -> np.ndarray:
+        whole, rest = np.divmod((high - over) * k, slots)
+        return over + whole + ((whole < 0) & (rest > 0))  # cut off towards zero
+
+    start, stop = shared(slot), shared(slot + 1)
+    start[at], stop[at] = begin[hit[at]], np.where(ended[hit[at]], end[hit[at]], begin[hit[at]])
+    return start, np.maximum(stop, start + WORD_MS), matched, ~matched & ~known
+
+
 def aligned_lines(words: DataFrame, key: str = "track_id") -> DataFrame:
     """Lines ``(track_id, line_no, start_ms, end_ms, n_words, n_matched)`` of timed words."""
     start = F.min("start_ms")

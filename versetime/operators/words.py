@@ -17,7 +17,7 @@ SEGMENT_WORD_MS, WORD_MS = 70, 80
 def reference_lines(text: Column) -> Column:
     """Lines with words that aren't section headings, trimmed."""
     lines = F.transform(F.split(text, LINE_BREAK, -1), trimmed)
-    return F.filter(lines, lambda x: (x != "") & ~is_section_heading(x) & (F.size(visible_tokens(x)) > 0))
+    return F.filter(lines, lambda x: (x != "") & ~is_section_heading(x) & x.rlike(r"\S"))
 
 
 def token_rows(texts: DataFrame, text_col: str = "text") -> DataFrame:
