@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +20,6 @@ REFERENCE_WORDS, TRANSCRIPT_WORDS = 2500, 3500
 TABLE_CELLS = 10_000_000
 #: Least time of a matched word and of one after the last match, and of a line.
 WORD_MS, TRAILING_WORD_MS, LINE_MS = 60, 80, 200
-#: Words of like letters that a word is compared with before it counts as one that may have a match.
-ALIKE = 64
 
 
 def _deletions(word: str) -> set[str]:
@@ -68,31 +66,25 @@ def near_word(a: str, b: str) -> bool:
     return len(short) >= 4 and (long.startswith(short) or (len(long) <= 12 and _one_edit(a, b)))
 
 
-def _may_match(own: set[str], others: set[str], exactly: bool) -> set[str]:
-    """The words with an equal or, as it may be, a near one on the other side; of near words both begin or both end with the same two letters."""
+def _may_match(own: set[str], others: set[str]) -> set[str]:
+    """The words with an equal or, as it may be, a near one on the other side.
+
+    Of two near words one begins with the other, or both have 12 letters at most and begin or end with the same two.
+    """
     alone = {word for word in own - others if len(word) >= 4}
-    heads, tails = ({word[:2] for word in others}, {word[-2:] for word in others}) if alone else ((), ())
-    close = {word for word in alone if word[:2] in heads or word[-2:] in tails}
-    if exactly and close:
-        alike = defaultdict(list)
-        for word in others:
-            alike[word[:2]].append(word)
-            alike["", word[-2:]].append(word)
-        for word in [*close]:
-            like = [*alike[word[:2]], *alike["", word[-2:]]]
-            if len(like) <= ALIKE and not any(near_word(word, other) for other in like):
-                close.remove(word)
-    return (own & others) | close
+    heads, firsts, tails = ({word[:2] for word in others}, {word[:4] for word in others}, {word[-2:] for word in others}) if alone else ((), (), ())
+    return (own & others) | {word for word in alone if (word[:4] in firsts if len(word) > 12 else word[:2] in heads or word[-2:] in tails)}
 
 
 def _reached(a: list[str], b: list[str], most: int) -> list[tuple[int, array]] | None:
     """By cost, and by the words that the transcript is ahead, how many words of the text are reached at most; null beyond ``most`` such states.
 
     ``(first, rows)`` of each cost up to the cheapest script's.  A state from which the end costs more than a limit is left
-    out, and the limit grows until the end is reached; so each state that a cheapest script goes through is there.
+    out, and the limit grows until the end is reached; so each state that a cheapest script goes through is there.  It
+    begins with the cost if all words that could be equal were, and the others of the shorter side near.
     """
     n, m = len(a), len(b)
-    ahead, extra = m - n, 0
+    ahead, extra = m - n, min(n, m) - (Counter(a) & Counter(b)).total()
     while True:
         limit = abs(ahead) + extra
         if (limit + 1) * (extra + 1) > most:
@@ -132,12 +124,9 @@ def _sparse_words(reference: list[str], transcript: list[str]) -> list[int] | No
     goes through all words, so it chooses between equal scripts as the table does.
     """
     texts, heards = set(reference), set(transcript)
-    for exactly in (False, True):
-        mine, theirs = _may_match(texts, heards, exactly), _may_match(heards, texts, exactly)
-        a, b = [w for w in reference if w in mine], [w for w in transcript if w in theirs]
-        levels = _reached(a, b, 64 + len(a) * (20 + len(b) // 100) if exactly else 2 * (len(a) + len(b)))
-        if levels is not None:
-            break
+    mine, theirs = _may_match(texts, heards), _may_match(heards, texts)
+    a, b = [w for w in reference if w in mine], [w for w in transcript if w in theirs]
+    levels = _reached(a, b, 64 + len(a) * (20 + len(b) // 100))
     if levels is None:
         return None
 

@@ -163,8 +163,8 @@ def track_kind(text: Column) -> Column:
     return F.when(F.size(lrc_lines(text)) > 0, "timed").when(is_blank(F.coalesce(text, F.lit(""))), "blank").otherwise("plain")
 
 
-def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Aligned words and lines of tracks ``(track_id, text, audio_ms, transcript_ms)``.
+def align(tracks: DataFrame, words: DataFrame, segments: DataFrame, *, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Aligned words and lines of tracks ``(track_id, text, audio_ms, transcript_ms)``; with ``whole``, plain texts by :func:`whole_words`.
 
     A text with timestamps gives its own times; a blank one its transcript's; any other is aligned with the
     transcript, or, where there are no words, with those of the segments ``(track_id, ord, text, start_ms,
@@ -182,8 +182,11 @@ def align(tracks: DataFrame, words: DataFrame, segments: DataFrame) -> tuple[Dat
     blank = kinds.where("kind = 'blank'").select("track_id")
     alone = transcript_words(words.join(blank, "track_id", "left_semi"))
     lines_of = by_segment.join(blank, "track_id", "left_semi").withColumn("line_no", F.col("seg")).withColumn("matched", F.lit(True)).select(*WORD_COLUMNS)
+    # A few bytes are much work here: tracks are dealt over all tasks, not over as few as their size asks for.
+    dealt = lambda df: df.repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+    aligned = whole_words(dealt(plain), dealt(spoken)) if whole else plain_words(plain, spoken)
     ok = lambda df: df.withColumn("status", F.lit("ok"))
-    found = ok(timed_words(kinds.where("kind = 'timed'"))).unionByName(ok(alone)).unionByName(ok(lines_of)).unionByName(plain_words(plain, spoken))
+    found = ok(timed_words(kinds.where("kind = 'timed'"))).unionByName(ok(alone)).unionByName(ok(lines_of)).unionByName(aligned)
     return found, aligned_lines(found.where("status = 'ok'"))
 
 
